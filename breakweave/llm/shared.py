@@ -1,50 +1,17 @@
-"""Pieces that several training-data operators share: work tables, fold rules, samples, components."""
+"""Pieces that several training-data operators share: fold rules, counts, samples, and the engine's work tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes that count as white space in the text contracts: blank, tab, LF, VT, FF, CR.
-SPACE = r"[\x20\x09-\x0D]"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (local tests) a temporary folder is made, once per session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("breakweave.work.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="breakweave-")
-        spark.conf.set("breakweave.work.dir", folder)
-    return folder.rstrip("/")
-
+from ..operators.components import connected_components
+from ..operators.work import WorkTables, shared_folder
 
-class WorkTables:
-    """Tables written into the shared folder to cut lineage; each can be read by any executor at any time."""
+__all__ = ["SPACE", "WorkTables", "class_sample", "connected_components", "fold", "shared_folder", "word_count"]
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.folder = f"{shared_folder(spark)}/breakweave-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.folder}/{self.n:03d}-{name}"
-        frame.write.parquet(path)
-        saved = self.spark.read.schema(frame.schema).parquet(path)
-        saved.work_path = path
-        return saved
-
-    def drop(self, frame: DataFrame) -> None:
-        """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(frame.work_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Bytes that count as white space in the text contracts: blank, tab, LF, VT, FF, CR.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def fold(id_column: str | Column, folds: int) -> Column:
@@ -71,30 +38,3 @@ def class_sample(frame: DataFrame, label: str, key: str, per_class: int) -> Data
     for row in counts:
         share = F.when(F.col(label) == F.lit(row[label]), F.lit(min(span, int(per_class / row["count"] * span) + 1))).otherwise(share)
     return frame.where(F.col(label).isNotNull() & (F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(span)) < share))
-
-
-def connected_components(edges: DataFrame, tables: WorkTables) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``; the root is the smallest node reachable.
-
-    Alternates the two star contractions until the edge set is a set of stars. Every round is joins and
-    minimum aggregations on node keys (partial sums before the shuffle, skewed joins split by the
-    adaptive planner); nothing but a count and a checksum comes to the driver.
-    """
-    current = tables.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
-        # A summary of the edge set: equal before and after a round means that nothing moved.
-        row = current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (row["n"], row["x"]) == mark or row["n"] == 0:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = (row["n"], row["x"])
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = tables.save(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = tables.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        tables.drop(large)
-        tables.drop(current)
-        current = after
