@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,58 +101,63 @@ class ToxicityModel:
         return total
 
 
-def find_voters(traits: list[set[str]], y: np.ndarray, most: int = 400) -> tuple[list[str], np.ndarray]:
-    """Traits that speak for toxic documents beyond chance, and their precision where both labels are equally frequent.
+def find_voters(names: list[str], toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int, most: int = 400) -> dict[str, float]:
+    """Traits that speak for toxic documents beyond chance, with their precision where both labels are equally frequent.
 
-    There are very many candidates, so a trait must pass a likelihood-ratio test that chance alone would
-    hardly pass anywhere, unless it belongs to the seed lexicon.
+    ``toxic`` and ``clean`` count the documents with each trait. There are very many candidates, so a
+    trait must pass a likelihood-ratio test that chance alone would hardly pass anywhere, unless it
+    belongs to the seed lexicon.
     """
-    tally = {0: Counter(), 1: Counter()}
-    for own, label in zip(traits, y, strict=True):
-        tally[int(label)].update(own)
-    tally[1] = Counter({t: c for t, c in tally[1].items() if c >= 3 or t in SEED_LEXICON})
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    found = {}
-    for t, c in tally[1].items():
-        d = tally[0][t]
-        odds = np.log((c + 0.5) / (n1 + 1)) - np.log((d + 0.5) / (n0 + 1))
-        even = (c + d) / (n1 + n0)
-        gain = 2 * (c * np.log(c / n1 / even) + (d * np.log(d / n0 / even) if d else 0.0))
-        if (odds > 1.5 and gain > 22) or (t in SEED_LEXICON and odds > 0):
-            found[t] = (gain, 1 / (1 + np.exp(-odds)))
-    names = sorted(found, key=lambda t: (-found[t][0], t))[:most]
-    names += [t for t in SEED_LEXICON if t not in found]
-    return names, np.array([found[t][1] if t in found else 0.8 for t in names])
-
-
-def fit(texts: list[set[str]], y: np.ndarray, share: float) -> ToxicityModel:
-    """Voters, label model and classifier from a sample; ``share``: of toxic rows among all labelled ones."""
-    if not len(texts) or y.min() == y.max():
+    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+    even = (toxic + clean) / (n1 + n0)
+    part = lambda c, n: np.where(c > 0, c * np.log(np.maximum(c, 1) / n / even), 0)
+    gain = 2 * (part(toxic, n1) + part(clean, n0))
+    seeds = set(SEED_LEXICON)
+    good = [k for k in np.flatnonzero(odds > 0) if (odds[k] > 1.5 and gain[k] > 22) or names[k] in seeds]
+    good = sorted(good, key=lambda k: (-gain[k], names[k]))[:most]
+    return {names[k]: float(1 / (1 + np.exp(-odds[k]))) for k in good}
+
+
+def fit(texts: Iterable[list[str]], y: np.ndarray, share: float) -> ToxicityModel:
+    """Voters, label model and classifier from a sample (distinct words of each text); ``share``: of toxic rows among all labelled ones."""
+    if not len(y) or y.min() == y.max():
         return ToxicityModel(-2.0, dict.fromkeys(SEED_LEXICON, 4.0), list(SEED_LEXICON))
-    traits = [traits_of(t) for t in texts]
-    voters, precision = find_voters(traits, y)
-    place = {t: k for k, t in enumerate(voters)}
-    spoken = np.zeros((len(traits), len(voters)), np.float32)
-    for i, own in enumerate(traits):
-        spoken[i, [place[t] for t in own if t in place]] = 1
+    number: dict[str, int] = {}
+    traits = [np.fromiter({number.setdefault(t, len(number)) for t in traits_of(set(words))}, np.int32) for words in texts]
+    names = list(number)
+    counts = [np.bincount(np.concatenate([t for t, k in zip(traits, y, strict=True) if k == label]), minlength=len(names)) for label in (0, 1)]
+    found = find_voters(names, counts[1], counts[0], int(y.sum()), int((1 - y).sum()))
+    found |= {t: 0.8 for t in SEED_LEXICON if t not in found}
+    voters = list(found)
+
+    def presence(columns: list[str]) -> np.ndarray:
+        place = np.full(len(names) + 1, -1)
+        for k, t in enumerate(columns):
+            place[number.get(t, -1)] = k
+        place[-1] = -1
+        x = np.zeros((len(traits), len(columns)), np.float32)
+        for i, own in enumerate(traits):
+            at = place[own]
+            x[i, at[at >= 0]] = 1
+        return x
+
+    spoken = presence(voters)
     # One more voter says clean where no lexicon word and no pattern is found.
     silent = (spoken.sum(axis=1, keepdims=True) == 0).astype(np.float32)
-    start = np.r_[precision, ((1 - y) * silent[:, 0]).sum() / max(1.0, silent.sum())]
+    start = np.r_[list(found.values()), ((1 - y) * silent[:, 0]).sum() / max(1.0, silent.sum())]
     votes = np.hstack([spoken, -silent])
-    # The sample holds the labels in other shares than the table; rows count by what they stand for.
     model = fit_label_model(votes, np.clip(start, 0.05, 0.995), float(np.clip(y.mean(), 0.02, 0.98)))
     q = model.posterior(votes)
     # The classifier sees the voters and other frequent traits, so that it can also use what no voter names.
-    count = Counter(t for own in traits for t in own)
-    names = voters + [t for t, c in count.most_common(1000 + len(voters)) if c >= 10 and t not in place][:1000]
-    place = {t: k for k, t in enumerate(names)}
-    x = np.zeros((len(traits), len(names)), np.float32)
-    for i, own in enumerate(traits):
-        x[i, [place[t] for t in own if t in place]] = 1
+    both = counts[0] + counts[1]
+    often = [names[k] for k in np.argsort(-both, kind="stable")[: 1000 + len(voters)] if both[k] >= 10 and names[k] not in found][:1000]
+    columns = voters + often
+    x = presence(columns)
+    # The sample holds the labels in other shares than the table; rows count by what they stand for.
     importance = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    w, b = np.zeros(len(names), np.float32), float(np.log(share / (1 - share)))
+    w, b = np.zeros(len(columns), np.float32), float(np.log(share / (1 - share)))
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    penalty = np.where(np.arange(len(names)) < len(voters), 1e-5, 1e-2).astype(np.float32)
+    penalty = np.where(np.arange(len(columns)) < len(voters), 1e-5, 1e-2).astype(np.float32)
     for k in range(1, 201):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         err = (importance * (p - q) / len(x)).astype(np.float32)
@@ -163,7 +167,7 @@ def fit(texts: list[set[str]], y: np.ndarray, share: float) -> ToxicityModel:
         lr = 0.1 * (1 - 0.9 * k / 200)
         w -= lr * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
         b -= lr * (mb / (1 - 0.9**k)) / (np.sqrt(sb / (1 - 0.99**k)) + 1e-8)
-    return ToxicityModel(float(b), {t: float(v) for t, v in zip(names, w, strict=True) if abs(v) > 1e-3}, voters)
+    return ToxicityModel(float(b), {t: float(v) for t, v in zip(columns, w, strict=True) if abs(v) > 1e-3}, voters)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> ToxicityModel:
@@ -179,7 +183,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     found = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, words array<string>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     y = np.array(found.column("label").to_pylist(), np.int64)
-    return fit([set(w.as_py()) for w in found.column("words")], y, (share.get(1, 0) + 1) / (sum(share.values()) + 2))
+    return fit((w.as_py() for w in found.column("words")), y, (share.get(1, 0) + 1) / (sum(share.values()) + 2))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
