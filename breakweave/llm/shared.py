@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.work import WorkTables, shared_folder
 
-__all__ = ["SPACE", "WorkTables", "class_sample", "connected_components", "fold", "shared_folder", "word_count"]
+__all__ = ["SPACE", "WorkTables", "class_rule", "class_sample", "connected_components", "fold", "shared_folder", "word_count"]
 
 #: Bytes that count as white space in the text contracts: blank, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]"
@@ -26,8 +26,8 @@ def word_count(text: Column) -> Column:
     return F.length(F.rtrim(marks, F.lit(" \t\n\x0b\x0c\r"))).cast("bigint")
 
 
-def class_sample(frame: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of every label value, chosen by a hash of ``key``; at most 1.3 times that many.
+def class_rule(frame: DataFrame, label: str, key: str, per_class: int) -> tuple[Column, int]:
+    """A condition that keeps about ``per_class`` rows of every label value, by a hash of ``key``; and a bound on their number.
 
     Counts each class first (one row per class reaches the driver) and keeps the rows whose hash falls
     under the class's share, so no rows are sorted or gathered to choose them.
@@ -37,4 +37,10 @@ def class_sample(frame: DataFrame, label: str, key: str, per_class: int) -> Data
     share = F.lit(0)
     for row in counts:
         share = F.when(F.col(label) == F.lit(row[label]), F.lit(min(span, int(per_class / row["count"] * span) + 1))).otherwise(share)
-    return frame.where(F.col(label).isNotNull() & (F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(span)) < share))
+    return F.col(label).isNotNull() & (F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(span)) < share), (2 * per_class + 100) * len(counts)
+
+
+def class_sample(frame: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+    """Such rows of a table of keys and labels, marked for broadcast: they never exceed the bound."""
+    rule, most = class_rule(frame, label, key, per_class)
+    return F.broadcast(frame.where(rule).limit(most))
