@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_cnn import ByteCnn, scored, train
-from .shared import class_sample, fold
+from .shared import class_rule, fold
 from .training import sampled_windows
 
 FOLDS, HELD_OUT = 4, 2
@@ -27,9 +27,9 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Network and its languages, from rows with text and language outside the held-out fold."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold("doc_id", FOLDS) != HELD_OUT))
-    ids = class_sample(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where(fold("doc_id", FOLDS) != HELD_OUT), "lang", "doc_id", per_language)
-    rows = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("lang").isNotNull())
-    bags, names = sampled_windows(rows, "lang", "text", "doc_id", WINDOWS)
+    # The shares come from ids and languages alone; the texts are read once, and those chosen leave the executors as windows.
+    chosen, _ = class_rule(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where(fold("doc_id", FOLDS) != HELD_OUT), "lang", "doc_id", per_language)
+    bags, names = sampled_windows(rows.where(chosen), "lang", "text", "doc_id", WINDOWS)
     languages = sorted(set(names))
     labels = np.array([languages.index(n) for n in names], np.int64)
     return train(bags, labels, max(1, len(languages)), whole_max=False), languages or [UNKNOWN]
