@@ -74,7 +74,7 @@ ORACLE_SQL = {
         SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g ON t.norm = g.norm
     """,
-    # An escape is one character that becomes three. The template adds 15 characters to a user turn, 14 to a
+    # An escape is one character that becomes three. The template adds 15 characters to a user turn and to a
     # system turn, 9 to an assistant turn and 3 to a conversation.
     "op4_chat_format": r"""
         WITH t AS (
@@ -84,7 +84,7 @@ ORACLE_SQL = {
         ), s AS (
             SELECT *, length(text) + 2 * (len(regexp_extract_all(text, '%(25|3C|5B|7C)')) + len(regexp_extract_all(text, '\[/?INST\]'))
                 + len(regexp_extract_all(text, '</?s>|<</?SYS>>|<<A>>|<</?ROLE>>')))
-                + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 14 WHEN 'assistant' THEN 9 END AS size
+                + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 15 WHEN 'assistant' THEN 9 END AS size
             FROM t
         )
         SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,

@@ -77,6 +77,10 @@ def fit_label_model(votes: np.ndarray, accuracy: np.ndarray, prior: float, round
             # Against the whole spread of a vote: what the label explains leaves nothing to correlate.
             scale = votes.std(axis=0) + 1e-6
             corr = (rest.T @ rest) / len(votes) / np.outer(scale, scale)
+            # Voters that say the same nearly always are one voter, however well the label explains them.
+            apart = votes - votes.mean(axis=0)
+            alike = (apart.T @ apart) / len(votes) / np.outer(scale, scale)
+            corr = np.where(alike > 0.9, alike, corr)
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + np.where(corr > dependent, corr, 0).sum(axis=1))
         model = LabelModel(prior, accuracy, weight, corr)
