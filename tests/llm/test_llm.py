@@ -211,7 +211,7 @@ def test_label_model_finds_bad_and_dependent_voters():
     good, fair, bad = speak(0.9), speak(0.75), speak(0.5)
     votes = np.stack([good, fair, bad, fair], axis=1).astype(np.float32)
     model = toxicity.fit_label_model(votes, np.full(4, 0.7), 0.4)
-    assert model.accuracy[0] > model.accuracy[1] > model.accuracy[2] - 0.05
+    assert min(model.accuracy[0], model.accuracy[1]) > model.accuracy[2] + 0.1
     assert model.weight[0] > 0.9 and model.weight[1] < 0.7 and model.weight[3] < 0.7
 
 
