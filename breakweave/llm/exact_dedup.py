@@ -92,7 +92,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     identities = tables.save(identities, "identities")
     groups = identities.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid")).alias("first"))
-    copies = identities.select("rid", "level", "name").join(groups.where("group_size > 1"), ["level", "name"]).select("rid", "group_size", "first")
+    # Written first: the adaptive planner splits a large group only where both sides of the join are plain tables.
+    groups = tables.save(groups.where("group_size > 1"), "groups")
+    copies = identities.select("rid", "level", "name").join(groups, ["level", "name"]).select("rid", "group_size", "first")
     return rows.select("rid", "doc_id", "text_sha256").join(copies, "rid", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
