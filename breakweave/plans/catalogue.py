@@ -69,20 +69,35 @@ def disc_pairs(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT chrom, CAST(max("end") AS BIGINT) AS len FROM reads GROUP BY chrom) AS c""")
 def contig_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Lengths and genome-wide offsets of the contigs that the reads cover."""
+    return _with_offsets(reads(spark, d).groupBy("chrom").agg(F.max("end").alias("len")))
+
+
+def _with_offsets(lengths: DataFrame) -> DataFrame:
     order = Window.orderBy("chrom")  # one row per contig
-    return reads(spark, d).groupBy("chrom").agg(F.max("end").alias("len")).withColumn("offset", F.coalesce(F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return lengths.withColumn("offset", F.coalesce(F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _absolute(spark: SparkSession, d: str, catalog: DataFrame) -> DataFrame:
+    return genes(spark, d).join(F.broadcast(catalog), "chrom").select("gene", "chrom", "start", (F.col("start") + F.col("offset")).alias("abs_pos"))
 
 
 @query("""SELECT gene, chrom, "start", "start" + (SELECT coalesce(sum(len), 0) FROM (SELECT chrom, max("end") AS len FROM reads GROUP BY chrom) AS c WHERE c.chrom < genes.chrom)::BIGINT AS abs_pos FROM genes""")
 def abs_pos(spark: SparkSession, d: str) -> DataFrame:
-    return genes(spark, d).join(F.broadcast(contig_offsets(spark, d)), "chrom").select("gene", "chrom", "start", (F.col("start") + F.col("offset")).alias("abs_pos"))
+    """Genes on the genome-wide axis; a contig without reads has no length and starts where the one before it ends."""
+    lengths = reads(spark, d).select("chrom", F.col("end").alias("len")).unionByName(genes(spark, d).select("chrom", F.lit(0).cast("bigint").alias("len")))
+    return _absolute(spark, d, _with_offsets(lengths.groupBy("chrom").agg(F.max("len").alias("len"))))
 
 
 @query("""SELECT gene, chrom, "start" FROM genes""")
 def chr_pos(spark: SparkSession, d: str) -> DataFrame:
-    """Genome-wide positions back to contig and place (offset < p <= offset + length)."""
-    places = abs_pos(spark, d).select("gene", F.lit("genome").alias("chrom"), F.col("abs_pos").alias("pos"))
-    steps = contig_offsets(spark, d).select(F.lit("genome").alias("chrom"), F.col("offset").alias("pos"), F.struct("offset", F.col("chrom").alias("name")).alias("at"))
+    """Genome-wide positions back to contig and place.
+
+    Here a contig is as long as its reads and genes need, places 0 to its last: the inverse is defined for every gene only then.
+    """
+    ends = reads(spark, d).select("chrom", "end").unionByName(genes(spark, d).select("chrom", "end"))
+    catalog = _with_offsets(ends.groupBy("chrom").agg((F.max("end") + 1).alias("len")))
+    places = _absolute(spark, d, catalog).select("gene", F.lit("genome").alias("chrom"), F.col("abs_pos").alias("pos"))
+    steps = catalog.select(F.lit("genome").alias("chrom"), F.col("offset").alias("pos"), F.struct("offset", F.col("chrom").alias("name")).alias("at"))
     return O.asof_join(places, steps, "at").select("gene", F.col("at.name").alias("chrom"), (F.col("pos") - F.col("at.offset")).alias("start"))
 
 
