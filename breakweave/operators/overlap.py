@@ -40,19 +40,25 @@ def point_join(points: DataFrame, spans: DataFrame, width: int = 256) -> DataFra
     return points.join(r, met).drop("r_bin", "r_chrom")
 
 
-def asof_join(points: DataFrame, steps: DataFrame, value: str) -> DataFrame:
+def asof_join(points: DataFrame, steps: DataFrame, value: str, bin_width: int = 4096) -> DataFrame:
     """Each point (chrom, pos, ...) with ``value`` of the last step (chrom, pos, value) at or before it on its chromosome.
 
-    One sort of both sides together; steps sort before points at the same place, and of steps at one
-    place the largest value counts.
+    Steps sort before points at the same place, and of steps at one place the largest value counts. The
+    last value runs within bins of the genome, and over one row per bin to carry it from bin to bin, so
+    no chromosome is one task's sort.
     """
     steps = steps.groupBy("chrom", "pos").agg(F.max(value).alias(value))
     rest = [c for c in points.columns if c not in ("chrom", "pos")]
-    both = points.select("chrom", "pos", F.struct(*rest).alias("__p"), F.lit(None).cast(dict(steps.dtypes)[value]).alias("__v"), F.lit(1).alias("__side")).unionByName(
+    both = points.select("chrom", "pos", F.struct(*rest).alias("__p"), F.lit(None).cast(steps.schema[value].dataType).alias("__v"), F.lit(1).alias("__side")).unionByName(
         steps.select("chrom", "pos", F.lit(None).cast(points.select(F.struct(*rest).alias("x")).schema["x"].dataType).alias("__p"), F.col(value).alias("__v"), F.lit(0).alias("__side"))
     )
-    order = Window.partitionBy("chrom").orderBy("pos", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(order)).where("__side = 1").select("chrom", "pos", *[F.col("__p")[c].alias(c) for c in rest], value)
+    both = both.withColumn("__bin", F.floor(F.col("pos") / bin_width))
+    over_bins = Window.partitionBy("chrom").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy("chrom", "__bin").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("pos"))).alias("__top"))
+    bins = bins.select("chrom", "__bin", F.last("__top", ignorenulls=True).over(over_bins).alias("__carry"))
+    inside = Window.partitionBy("chrom", "__bin").orderBy("pos", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__last", F.last("__v", ignorenulls=True).over(inside)).where("__side = 1").join(bins, ["chrom", "__bin"])
+    return found.select("chrom", "pos", *[F.col("__p")[c].alias(c) for c in rest], F.coalesce("__last", "__carry").alias(value))
 
 
 def band_top1(left: DataFrame, right: DataFrame, band: int, order: list[Column], key: list[str]) -> DataFrame:

@@ -97,8 +97,8 @@ def chr_pos(spark: SparkSession, d: str) -> DataFrame:
     ends = reads(spark, d).select("chrom", "end").unionByName(genes(spark, d).select("chrom", "end"))
     catalog = _with_offsets(ends.groupBy("chrom").agg((F.max("end") + 1).alias("len")))
     places = _absolute(spark, d, catalog).select("gene", F.lit("genome").alias("chrom"), F.col("abs_pos").alias("pos"))
-    steps = catalog.select(F.lit("genome").alias("chrom"), F.col("offset").alias("pos"), F.struct("offset", F.col("chrom").alias("name")).alias("at"))
-    return O.asof_join(places, steps, "at").select("gene", F.col("at.name").alias("chrom"), (F.col("pos") - F.col("at.offset")).alias("start"))
+    spans = catalog.select(F.lit("genome").alias("chrom"), F.col("offset").alias("start"), (F.col("offset") + F.col("len") - 1).alias("end"), F.col("chrom").alias("name"))
+    return O.point_join(places, spans, width=4096).select("gene", F.col("r_name").alias("chrom"), (F.col("pos") - F.col("r_start")).alias("start"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN 'chr' || CAST(o_custkey % 22 + 1 AS VARCHAR) WHEN o_custkey % 3 = 1 THEN 'chr' || CAST(o_custkey % 22 + 1 AS VARCHAR) ELSE 'ctg' || CAST(o_custkey AS VARCHAR) END AS chrom,
