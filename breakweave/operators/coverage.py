@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def upper_median(values: Column) -> Column:
-    """The value at n // 2 of the sorted values, from Spark's mergeable frequency map of them."""
+    """The value at n // 2 of the sorted values; for windows, of which there are as many as the genome has, not the reads."""
     n = F.count(values)
     return F.try_element_at(F.array_sort(F.collect_list(values)), (F.floor(n / 2) + 1).cast("int"))
 
@@ -90,3 +90,36 @@ def segdup_uniqueness(intervals: DataFrame, duplicated: DataFrame, width: int =
     sums = hit.groupBy(*intervals.columns).agg(F.sum(overlap_size(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("covered"))
     own = F.col("end") - F.col("start") + 1
     return intervals.join(sums, intervals.columns, "left").withColumn("uniqueness", own / (own + F.coalesce("covered", F.lit(0)))).drop("covered")
+
+
+def arm_gained(calls: DataFrame, arms: DataFrame, whole: DataFrame, gain: float, large: int = 10_000_000) -> DataFrame:
+    """Calls (chrom, start, end, cn) whose copy number exceeds the gain that their arm's depth asks for.
+
+    ``arms`` (chrom, arm) and ``whole`` (one row: median) hold median depths. An arm above the genome's median raises
+    the limit by two copies per median; a call of ``large`` bases or more also needs 1.5 times the gain.
+    """
+    ratios = arms.crossJoin(F.broadcast(whole)).select("chrom", (F.col("arm") / F.col("median")).alias("ratio")).where("ratio > 0")  # one row against the arms
+    needed = F.lit(gain) + 2 * F.greatest(F.lit(1.0), F.col("ratio")) - 2
+    small = F.col("end") - F.col("start") + 1 < large
+    return calls.join(F.broadcast(ratios), "chrom").where((F.col("cn") > needed) & (small | (F.col("cn") > 1.5 * gain))).drop("ratio")
+
+
+def high_level(windows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """The value that a twentieth of the windows reach (with fewer than 20 windows the least): ``keys, level``.
+
+    Ranks run over distinct values and their counts, never over the windows themselves.
+    """
+    counts = windows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    rank = F.when(F.col("total") < 20, 1).otherwise(F.col("total") - F.floor(F.col("total") / 20) + 1)
+    return counts.where(F.col("upto") >= rank).groupBy(*keys).agg(F.min(value).alias("level"))
+
+
+def amplicon_summary(segments: DataFrame, keys: list[str], amplified: float = 2.5, high: float = 5.0) -> DataFrame:
+    """Per amplicon, of its segments (start, end, cn): sizes, size-weighted copy number of what is amplified, segments above ``high``."""
+    size, gained = F.col("end") - F.col("start") + 1, F.col("cn") >= amplified
+    return segments.groupBy(*keys).agg(
+        F.count("*").alias("n_segments"), F.sum(size).alias("total_size"), F.coalesce(F.sum(F.when(gained, size)), F.lit(0)).alias("amplified_size"),
+        (F.sum(F.when(gained, size * F.col("cn"))) / F.sum(F.when(gained, size))).alias("average_cn"), F.sum((F.col("cn") > high).cast("bigint")).alias("n_high"),
+    )

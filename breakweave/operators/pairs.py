@@ -93,3 +93,30 @@ def add_external(own: DataFrame, external: DataFrame, cutoff: int = 100) -> Data
         & (F.abs(F.col("pos1") - F.col("o_pos1")) + F.abs(F.col("pos2") - F.col("o_pos2")) < cutoff)
     )
     return own.withColumn("external", F.lit(False)).unionByName(external.join(near, same, "left_anti").withColumn("external", F.lit(True)))
+
+
+def densest_window(reads: DataFrame, span: int) -> DataFrame:
+    """Per chromosome and strand, the start with most reads starting at it or up to ``span`` before it (ties: the first): ``chrom, strand, start, n``.
+
+    Starts are counted first, then summed in bins that also hold the starts of the bin before, so a
+    chromosome is spread over many tasks.
+    """
+    width = max(4096, span + 1)
+    own = F.floor(F.col("start") / width)
+    places = reads.groupBy("chrom", "strand", "start").agg(F.count("*").alias("k")).withColumn("bin", F.explode(F.array(own, own + 1)))
+    before = Window.partitionBy("chrom", "strand", "bin").orderBy("start").rangeBetween(-span, 0)
+    sums = places.withColumn("n", F.sum("k").over(before)).where(F.col("bin") == own)
+    return sums.groupBy("chrom", "strand").agg(F.max(F.struct("n", (-F.col("start")).alias("at"))).alias("m")).select("chrom", "strand", (-F.col("m.at")).alias("start"), F.col("m.n").alias("n"))
+
+
+def foldup_count(places: DataFrame, pairs: DataFrame, reach: int = 10_000, apart: int = 100_000) -> DataFrame:
+    """``places`` (chrom, pos, ...) with ``foldups``: pairs of one strand, at most ``apart`` from each other, that start within ``reach``."""
+    from .overlap import point_join
+
+    folded = pairs.where((F.col("chrom") == F.col("m_chrom")) & (F.col("strand") == F.col("m_strand")) & (F.abs(F.col("start") - F.col("m_start")) <= apart))
+    starts = folded.groupBy("chrom", F.col("start").alias("pos")).agg(F.count("*").alias("k"))
+    around = places.select(*places.columns, (F.col("pos") - reach).alias("start"), (F.col("pos") + reach).alias("end"))
+    names = [f"r_{c}" for c in places.columns if c != "chrom"]
+    met = point_join(starts, around, width=max(256, reach)).groupBy("chrom", *names).agg(F.sum("k").alias("foldups"))
+    met = met.select("chrom", *[F.col(c).alias(c[2:]) for c in names], "foldups")
+    return places.join(met, places.columns, "left").withColumn("foldups", F.coalesce("foldups", F.lit(0)))

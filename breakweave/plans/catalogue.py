@@ -26,6 +26,7 @@ from .seeds import prepare_seeds
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WIN = 100
+SEED_GAIN = 4.5
 
 
 def query(sql: str | None = None) -> Callable:
@@ -440,6 +441,41 @@ def hash_downsample(spark: SparkSession, d: str) -> DataFrame:
     return V.keep_share(reads(spark, d), "qname", 0.4).groupBy("chrom").agg(F.count("*").alias("n"), F.count_distinct("qname").alias("names"))
 
 
+@query(f"""SELECT c.id, c.chrom, c."start", c."end", c.cn FROM calls c JOIN ({STATS_SQL}) AS a USING (chrom), ({GENOME_SQL}) AS g
+    WHERE a.median > 0 AND c.cn > 4.5 + 2 * greatest(1.0::DOUBLE, a.median::DOUBLE / g.median) - 2 AND (c."end" - c."start" + 1 < 10000000 OR c.cn > 6.75)""")
+def arm_gain(spark: SparkSession, d: str) -> DataFrame:
+    """Calls above the gain that their contig's median depth asks for."""
+    w = windows(spark, d)
+    arm = V.coverage_stats(w, "bases", ["chrom"]).select("chrom", F.col("median").alias("arm"))
+    return V.arm_gained(calls(spark, d), arm, V.coverage_stats(w, "bases", []).select("median"), SEED_GAIN).select("id", "chrom", "start", "end", "cn")
+
+
+@query("""SELECT chrom, CAST(list_sort(list(bases))[CASE WHEN count(*) < 20 THEN 1 ELSE count(*) - count(*) // 20 + 1 END] AS BIGINT) AS level FROM win_cov GROUP BY chrom""")
+def high_level(spark: SparkSession, d: str) -> DataFrame:
+    """The depth that a twentieth of each contig's windows reach."""
+    return V.high_level(windows(spark, d), "bases", ["chrom"])
+
+
+@query("""SELECT chrom, CAST(count(*) AS BIGINT) AS n_segments, CAST(sum("end" - "start" + 1) AS BIGINT) AS total_size, CAST(coalesce(sum(CASE WHEN cn >= 2.5 THEN "end" - "start" + 1 END), 0) AS BIGINT) AS amplified_size,
+    round(sum(CASE WHEN cn >= 2.5 THEN ("end" - "start" + 1) * cn END) / sum(CASE WHEN cn >= 2.5 THEN "end" - "start" + 1 END), 6) AS average_cn, CAST(sum(CASE WHEN cn > 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_high FROM calls GROUP BY chrom""")
+def amplicon_summary(spark: SparkSession, d: str) -> DataFrame:
+    return V.amplicon_summary(calls(spark, d), ["chrom"]).withColumn("average_cn", F.round("average_cn", 6))
+
+
+@query("""SELECT chrom, strand, "start", n FROM (SELECT *, row_number() OVER (PARTITION BY chrom, strand ORDER BY n DESC, "start") AS place FROM (
+    SELECT DISTINCT chrom, strand, "start", CAST(count(*) OVER (PARTITION BY chrom, strand ORDER BY "start" RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM reads WHERE NOT proper AND mapq > 5) AS a) AS b WHERE place = 1""")
+def densest_window(spark: SparkSession, d: str) -> DataFrame:
+    return P.densest_window(P.discordant(reads(spark, d)), 300)
+
+
+@query("""SELECT g.chrom, g."start" AS pos, g.gene, CAST(count(p.qname) AS BIGINT) AS foldups FROM genes g LEFT JOIN (SELECT * FROM pair_rows WHERE chrom = m_chrom AND strand = m_strand AND abs("start" - m_start) <= 5000) AS p
+    ON p.chrom = g.chrom AND p."start" BETWEEN g."start" - 500 AND g."start" + 500 GROUP BY ALL""")
+def foldup_count(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs folded back near the start of each gene."""
+    places = genes(spark, d).select("chrom", F.col("start").alias("pos"), "gene")
+    return P.foldup_count(places, disc_pairs(spark, d), 500, 5000)
+
+
 # --- segmentation -------------------------------------------------------------------------------------
 
 HEIGHT, REFERENCE = 400.0, 600.0
@@ -510,7 +546,7 @@ def band_match_top1(spark: SparkSession, d: str) -> DataFrame:
 
 # --- seeds, pairs, graphs -----------------------------------------------------------------------------
 
-SEED = {"gain": 4.5, "pad": PAD, "extend": 300, "least": 150}
+SEED = {"gain": SEED_GAIN, "pad": PAD, "extend": 300, "least": 150}
 
 
 @query(f"""SELECT chrom, min("start") AS "start", max("end") AS "end", round(sum(("end" - "start" + 1) * cn) / sum("end" - "start" + 1), 6) AS cn, CAST(count(*) AS BIGINT) AS members FROM (
