@@ -5,6 +5,9 @@ in at most r. So every distinct fingerprint emits itself and all variants within
 shuffle brings equal variants together. All fingerprints that meet on a variant lie within the full
 radius of each other, so linking each to the smallest one there keeps the components and needs no pairs
 within a group, and a group never holds more than one ball of distinct fingerprints.
+
+The pipeline's stage takes similar texts, not near-identical ones: there, several short fingerprints a
+text only find candidates, and an exact comparison of shingle sets decides.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +26,9 @@ from .shared import WorkTables, connected_components
 
 SEED = 42
 _STEP = 1 << 15
+#: The stage's similarity; its short fingerprints per text; the share of their bits in which similar texts may differ
+#: (0.15 is expected at 0.8, at most 0.19 for texts of a few shingles, and 0.25 is four deviations above that).
+SIMILARITY, PRINTS, MOST_APART = 0.8, 20, 0.25
 
 
 def text_fingerprint(text: str | None, words: int = 3) -> int:
@@ -90,11 +96,122 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
-    """``docs`` reduced to one row of each near-duplicate component, the one with the smallest id.
-
-    Rows with a null id are kept (they can't be told apart); repeated rows with the same id stay together.
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles (A-Z lower-cased; a shorter text is one shingle, one without a word none)."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    width = min(words, len(parts))
+    joined = b" ".join(parts)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(size + 1) - 1
+    starts = (ends - size)[: len(parts) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def short_fingerprints(shingles: np.ndarray, count: int) -> np.ndarray:
+    """``count`` independent 32-bit SimHashes of a set of hashes, each with its own number in the upper half, as signed longs."""
+    wide = -(-count // 2)
+    ones = np.zeros(64 * wide, np.int64)
+    steps = (np.arange(1, wide + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(shingles), 255):  # sums of 255 bits fit a byte
+        z = shingles[at : at + 255, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    prints = np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint32)[:count]
+    return prints.astype(np.int64) | (np.arange(count, dtype=np.int64) << 32)
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], words: int, count: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            sets = [shingle_set(t.as_py(), words) for t in part.column(2)]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+            prints = np.concatenate([short_fingerprints(x, count) for x in sets])
+            prints = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * count, pa.int32()), pa.array(prints))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), prints], ["id", "mark", "node", "prints"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _near(a: str, b: str, count: int) -> Column:
+    """Whether two rows of short fingerprints may belong to similar sets: a first filter, never the verdict."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return apart <= int(MOST_APART * 32 * count)
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, count: int = PRINTS) -> DataFrame:
+    """``docs`` reduced to one text of each near-duplicate component, the one with the smallest id.
+
+    Texts are linked whose sets of distinct word shingles have a Jaccard similarity of ``similarity`` or
+    more. Candidates come from ball hashing over ``count`` short fingerprints of 32 bits: each emits itself
+    and its 32 neighbours, so two texts meet where one of their fingerprints differs in at most two bits.
+    Every candidate pair is compared exactly on the sets, unless its texts are in one component already.
+
+    Defined cases: texts with the same set of shingles are alike, so are texts without a word; rows with
+    the same id and text stay together; different texts under one id are told apart; a null id is larger
+    than every other, and a null text the same as an empty one.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, radius)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    tables = WorkTables(docs.sparkSession)
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    rows = tables.save(source.mapInArrow(lambda b: _nodes(b, words, count), "id bigint, mark bigint, node bigint, prints array<bigint>"), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "mark")).alias("first")
+    nodes = tables.save(rows.groupBy("node").agg(first, F.any_value("prints").alias("prints")), "nodes")
+
+    # Equal short fingerprints are one class, so that no group of copies emits its variants again and again.
+    members = tables.save(nodes.select("node", F.explode("prints").alias("key")), "members")
+    classes = tables.save(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")), "classes")
+    variants = classes.select("key", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(m)) for m in (0, *(1 << b for b in range(32)))])).alias("variant"))
+    here = Window.partitionBy("variant")  # at most one ball of 33 distinct keys
+    met = tables.save(variants.withColumn("head", F.min("key").over(here)).withColumn("last", F.max("key").over(here)).where("head <> last").select("variant", "key"), "met")
+    links = met.select("variant", F.col("key").alias("a")).join(met.select("variant", F.col("key").alias("b")), "variant").where("a < b").select("a", "b").distinct()
+    links = tables.save(links.unionByName(classes.where("low <> high").select(F.col("key").alias("a"), F.col("key").alias("b"))), "class-links")
+
+    # First only the ends of each class, as many pairs as members: they join most of every component.
+    ends = links.join(classes.select(F.col("key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), "a").join(classes.select(F.col("key").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "b")
+    ends = ends.select(F.explode(F.array(*[F.struct(F.col(f"a_{x}").alias("u"), F.col(f"b_{y}").alias("v")) for x in ("low", "high") for y in ("low", "high")])).alias("p")).select("p.u", "p.v")
+    within = members.join(classes.where("low <> high"), "key").select(F.explode(F.array(F.struct(F.col("low").alias("u"), F.col("node").alias("v")), F.struct(F.col("high").alias("u"), F.col("node").alias("v")))).alias("p")).select("p.u", "p.v")
+    ends = ends.unionByName(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    prints = nodes.select("node", "prints")
+    ends = ends.join(prints.select(F.col("node").alias("u"), F.col("prints").alias("pu")), "u").join(prints.select(F.col("node").alias("v"), F.col("prints").alias("pv")), "v").where(_near("pu", "pv", count)).select("u", "v")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = tables.save(pairs, "pairs")
+        asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        wanted = nodes.join(asked, "node").select("node", "first.id", "first.mark")
+        texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"]) & (source["mark"] == wanted["mark"])).select("node", "text")
+        sets = tables.save(texts.mapInArrow(lambda b: _sets(b, words), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+        shared = F.size(F.array_intersect("su", "sv"))
+        good = both.where(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared))
+        return tables.save(good.select(F.col("u").alias("a"), F.col("v").alias("b")), "verified")
+
+    edges = verified(ends)
+    roots = tables.save(connected_components(edges, tables), "roots")
+    # Then every pair that met and is still in two components.
+    linked = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+    placed = members.join(linked, "key").join(nodes.select("node", "prints"), "node").join(roots, "node", "left").select("key", "node", "prints", F.coalesce("root", "node").alias("root"))
+    placed = tables.save(placed, "placed")
+    left = placed.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("prints").alias("pu"), F.col("root").alias("ru"))
+    right = placed.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("prints").alias("pv"), F.col("root").alias("rv"))
+    apart = F.col("ru") != F.col("rv")
+    once = (F.col("a") != F.col("b")) | (F.col("u") < F.col("v"))
+    rest = left.join(links, "a").join(right, "b").where(apart & once & _near("pu", "pv", count)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    roots = tables.save(connected_components(edges.unionByName(verified(rest)), tables), "roots")
+
+    kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("kept"))
+    dropped = rows.select("id", "mark", "node").join(nodes.select("node", "first"), "node").join(roots, "node", "left").join(kept, "root", "left")
+    dropped = dropped.where(F.struct(F.col("id").isNull(), "id", "mark") != F.coalesce("kept", "first")).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    dropped = tables.save(dropped, "dropped")
+    return docs.join(dropped, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")

@@ -115,6 +115,68 @@ def test_simhash_equals_brute_force(docs, edge, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def similar_pairs(texts, words=5, least=0.8):
+    """Pairs of places whose sets of distinct shingles have that Jaccard similarity, by brute force."""
+    def shingles(text):
+        parts = (text or "").encode().lower().split()
+        return frozenset(tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))) if parts else frozenset()
+
+    sets = [shingles(t) for t in texts]
+    by = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(i)
+    shared = {}
+    for group in by.values():
+        for k, i in enumerate(group):
+            for j in group[k + 1 :]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+    return {p for p, n in shared.items() if n >= least * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+
+
+def changed_texts(seed=5, bases=150, size=200):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(bases):
+        parts = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        texts.append(" ".join(parts))
+        for changes in (1, 2, 4):  # similarity 0.95, 0.90 and 0.81 or so
+            copy = list(parts)
+            for at in rng.sample(range(size), changes):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_stage_recall_against_brute_force(spark):
+    texts = changed_texts()
+    kept = {r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in similar_pairs(texts):
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    want = {find(i) for i in range(len(texts))}
+    assert want <= kept  # nothing goes that brute force keeps
+    assert len(kept - want) <= 0.05 * (len(texts) - len(want))
+
+
+def test_near_stage_edges(spark, edge, nothing):
+    assert simhash.keep_one_of_each(nothing).count() == 0
+    got = sorted((r.doc_id or -1, r.text or "") for r in simhash.keep_one_of_each(edge).collect())
+    # Wordless texts are alike (1 to 3), so are long ones (4, 5) and "a b" however spaced, with repeated rows together.
+    assert [i for i, _ in got] == [1, 4, 6, 8]
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(1, LONG), (1, other), (2, LONG), (2, other + " more"), (None, other), (None, "alone here"), (3, "x y"), (3, "x y")]
+    got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted([(1, LONG), (1, other), (-1, "alone here"), (3, "x y"), (3, "x y")])
+
+
 def test_fingerprint_links_keep_all_components(spark):
     rng = random.Random(5)
     seeds = [rng.getrandbits(64) for _ in range(40)]
