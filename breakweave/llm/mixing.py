@@ -2,15 +2,16 @@
 
 A classifier made from a table of labelled documents gives every document a posterior over domains. The
 document rates are then fitted by projected gradient descent on the squared distance between expected
-token totals per domain and their targets. A step needs one number per domain from all documents (an
-aggregation); a document's rate is a fold over the residuals so far, so no state moves between steps
-and the driver holds only residuals.
+token totals per domain and their targets. A posterior depends on a few bucketed features only, so all
+documents with the same buckets have one rate: the steps run over one row per combination of buckets
+(``CELLS`` at most, summed by Spark) until the totals match, however many documents there are.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,12 @@ from .shared import WorkTables, word_count
 
 #: Domains of the labels table, and the shares of tokens that the mixture should have.
 TARGETS = {"clean": 0.93, "junk": 0.04, "toxic": 0.03}
-STEPS = 16
+#: The fit ends when every domain's expected total is this near to its target (relative), or moves no more.
+TOLERANCE, STEPS = 1e-3, 4000
+#: Combinations of buckets: 16 * 16 * 16 * 4.
+CELLS = 16_384
 #: Words that mark abuse for the classifier's features (fixed values: common English insults).
 INSULTS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
-#: The total aimed at, relative to what the first domain can fill at the highest rate; above 1 its documents saturate there.
-HEADROOM = 1.03
 
 
 def surface_features(text: Column) -> dict[str, Column]:
@@ -65,25 +67,59 @@ def domain_posteriors(features: DataFrame, labels: DataFrame, names: list[str],
     return logs.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))).drop("s", "e")
 
 
-def _rate(steps: list[list[float]], top: float) -> Column:
-    """A document's rate after the steps: from 1, along minus the gradient, held between 0 and ``top``."""
-    rate: Column = F.lit(1.0)
-    if not steps:
-        return rate
-    pushes = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-    return F.aggregate(pushes, rate, lambda r, s: F.least(F.lit(top), F.greatest(F.lit(0.0), r + F.aggregate(F.zip_with(s, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))))
+def fit_rates(tokens: np.ndarray, p: np.ndarray, wanted: np.ndarray, top: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Rates in [0, ``top``] of cells with such tokens and posteriors, and the largest relative residual of the domains' totals.
 
-
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, max_rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, tokens, p_<domain> ..., rate, copies``.
-
-    Targets are shares of tokens; the total is what the first domain's documents fill at ``max_rate``
-    (with 1 nothing is repeated), and a little more, so that they stay at that rate. ``copies`` rounds the rate by a hash of the id.
+    Accelerated projected gradient descent from 1. Residuals are taken relative to each domain's own
+    mass, which makes a step of 1 safe: the preconditioned normal matrix has no eigenvalue above 1.
+    """
+    mass = np.maximum(tokens @ p, 1e-9)
+    rate = np.minimum(np.ones(len(tokens)), top)
+    ahead, pace, error = rate, 1.0, math.inf
+    for step in range(steps):
+        residual = wanted - (tokens * ahead) @ p
+        after = np.clip(ahead + p @ (residual / mass), 0, top)
+        if ((ahead - after) * tokens) @ (after - rate) > 0:  # overshot: slow down
+            pace = 1.0
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, rate, pace = after + (pace - 1) / faster * (after - rate), after, faster
+        if step % 10 == 9 or step == steps - 1:
+            error = float(np.max(np.abs((tokens * rate) @ p - wanted) / np.maximum(wanted, 1.0), initial=0.0))
+            if error <= TOLERANCE / 2:
+                break
+    return rate, error
+
+
+def fit_total(tokens: np.ndarray, p: np.ndarray, shares: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of the cells and the totals wanted: of the corpus' own size without a bound on rates, else the most that the scarcest domain can fill."""
+    mass = tokens @ p
+    fillable = (mass > 1e-6 * mass.sum()) & (shares > 0)
+    if not fillable.any():
+        return np.minimum(np.ones(len(tokens)), top), 0 * shares
+    size = mass.sum() if math.isinf(top) else top * float(np.min(mass[fillable] / shares[fillable]))
+    first = None
+    for _ in range(30):
+        rate, error = fit_rates(tokens, p, size * shares, top)
+        first = first or (rate, size * shares)
+        if error <= TOLERANCE or math.isinf(top) or not fillable[shares > 0].all():
+            return rate, size * shares
+        size *= 0.85  # soft posteriors: part of a scarce domain lies in documents that others must drop
+    return first  # out of reach at every size: the nearest totals, with their residuals in the result
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, tokens, p_<domain> ..., rate, copies, wanted_<domain> ..., fitted_<domain> ...``.
+
+    Targets are shares of tokens. Without a bound (``max_rate`` infinite) the total is that of the corpus
+    and scarce domains are repeated; with one, it is the most at which every domain can hold its share.
+    ``wanted_`` and ``fitted_`` are the domains' totals aimed at and expected, the same in every row: their
+    difference is the residual. ``copies`` rounds the rate by a hash of the id.
 
     Defined cases: a null text has no tokens and the features of an empty one; a null or repeated id is
     handled like any other row (its labels join only where the id is known, and repeated label rows
     count as often); labels with null marks are left out; without any usable label all posteriors
-    are alike; an empty table gives an empty result.
+    are alike and targets out of reach; a domain without tokens bounds nothing and keeps its residual;
+    an empty table gives an empty result.
     """
     targets = targets or TARGETS
     domains = sorted(targets)
@@ -91,26 +127,20 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     made = surface_features(F.col(text_col))
     features = tables.save(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_count(F.col(text_col)).alias("tokens"), *[c.alias(n) for n, c in made.items()]), "features")
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), label_domain(F.col("quality"), F.col("toxic")).alias("domain")).where("doc_id is not null and domain is not null")
-    soft = tables.save(domain_posteriors(features, marked, list(made), domains).select("doc_id", "tokens", "p"), "posteriors")
-
-    def totals(weight: Column) -> list[float]:
-        # Whole thousandths: exact sums, whatever the order of the rows.
-        row = soft.agg(*[F.coalesce(F.sum(F.round(weight * F.col("tokens") * F.col("p")[k] * 1000).cast("decimal(38,0)")), F.lit(0)).alias(f"t{k}") for k in range(len(domains))]).first()
-        return [float(x) / 1000 for x in row]
-
-    whole = totals(F.lit(1.0))
-    lead = next(iter(targets))
-    size = HEADROOM * max_rate * whole[domains.index(lead)] / targets[lead]
-    wanted = [size * targets[d] for d in domains]
-    pushes: list[list[float]] = []
-    for _ in range(steps):
-        have = totals(_rate(pushes, max_rate)) if pushes else whole
-        # Each domain's residual relative to its own mass: a diagonal preconditioner for the normal equations.
-        pushes.append([0.5 * (w - h) / max(t, 1.0) for w, h, t in zip(wanted, have, whole, strict=True)])
-    rated = soft.withColumn("rate", _rate(pushes, max_rate))
+    cell = ((F.col("insults") * 16 + F.col("size")) * 16 + F.col("echo")) * 16 + F.col("marks")
+    soft = tables.save(domain_posteriors(features, marked, list(made), domains).select("doc_id", "tokens", "p", cell.cast("int").alias("cell")), "posteriors")
+
+    cells = soft.groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.any_value("p").alias("p")).orderBy("cell").limit(CELLS).collect()
+    tokens = np.array([r["tokens"] for r in cells], float)
+    p = np.array([r["p"] for r in cells], float).reshape(-1, len(domains))
+    rate, wanted = fit_total(tokens, p, np.array([targets[d] for d in domains], float), max_rate)
+    fitted = (tokens * rate) @ p
+    rates = docs.sparkSession.createDataFrame([(r["cell"], float(x)) for r, x in zip(cells, rate, strict=True)], "cell int, rate double")
+    rated = soft.join(F.broadcast(rates), "cell")  # CELLS rows at most
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("bigint")
-    return rated.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate", copies.alias("copies"))
+    totals = [F.lit(float(x[k])).alias(f"{n}_{d}") for n, x in (("wanted", wanted), ("fitted", fitted)) for k, d in enumerate(domains)]
+    return rated.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate", copies.alias("copies"), *totals)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -286,6 +286,19 @@ def test_mixing_moves_token_totals_to_targets(docs, labels):
     assert all(abs(r.p_clean + r.p_junk + r.p_toxic - 1) < 1e-9 for r in rows)
 
 
+def test_mixing_reaches_a_scarce_domain(spark):
+    rows = [(i, "you stupid idiot moron loser fool " * 3 if i < 4 else "@#! $%^ &*( " * 6 if i < 60 else "plain words about a quiet town by the sea " * 4) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i >= 60 or i < 4), int(i < 4)) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    for top in (float("inf"), 1.0):
+        got = mixing.mixing_rates(frame, marks, max_rate=top).collect()
+        total = {d: sum(r.rate * r.tokens * r[f"p_{d}"] for r in got) for d in mixing.TARGETS}
+        for d, share in mixing.TARGETS.items():
+            assert abs(total[d] / sum(total.values()) - share) < 0.003 * share + 1e-9
+            assert abs(got[0][f"fitted_{d}"] - total[d]) < 1e-6 * total[d] and abs(got[0][f"wanted_{d}"] - total[d]) <= 1.01e-3 * total[d]
+        assert max(r.rate for r in got) > 1 if top > 1 else max(r.rate for r in got) <= 1
+
+
 def test_packing_keeps_every_token_once(docs, edge, nothing):
     assert packing.pack_documents(nothing).count() == 0
     for frame in (docs, edge):
