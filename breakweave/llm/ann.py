@@ -3,8 +3,9 @@
 Centroids are trained on a bounded sample by k-means with a penalty on full clusters. Every distinct
 vector is written to the list of its nearest centroid, and a vector near a boundary to the lists of
 further centroids that are hardly farther. Centroids are found through an in-memory neighbour graph,
-searched best-first for a whole batch of vectors at once. A query reads the lists whose centroid's
-distance is within a ratio of the nearest one's. Lists are cut into blocks of bounded size, so a large
+searched best-first for a whole batch of vectors at once. A query reads every list whose centroid's
+distance is within a ratio of the nearest one's; the ratio is measured on the table itself: the one at
+which a bounded sample of queries, compared with all vectors, finds the wanted share of its neighbours. Lists are cut into blocks of bounded size, so a large
 list is many tasks' work, and each block is compared with its queries by one matrix product.
 """
 
@@ -25,10 +26,12 @@ from .shared import WorkTables
 SAMPLE, MOST_LISTS = 40_000, 8192
 LIST_SIZE = 128
 DEGREE = 24
-#: Distance ratios: a vector is replicated up to the first, a query reads lists up to the second.
+#: A vector is replicated up to this distance ratio.
 COPY_RATIO, COPIES = 1.03, 3
-READ_RATIO, BEAM = 1.25, 64
-BLOCK = 4096
+#: Share of true neighbours that the measured reading ratio must reach on the sampled queries; how many are sampled; the beam to start with.
+RECALL, PROBES, BEAM = 0.95, 256, 64
+#: Vectors in a block of a list; lists compared in one group, so that a query has one answer from several lists.
+BLOCK, TOGETHER = 4096, 8
 
 
 @dataclass
@@ -69,6 +72,18 @@ class Centroids:
         found = score[rows, best]
         return best, np.sqrt(np.maximum(0, 2 - 2 * found))
 
+    def within(self, vectors: np.ndarray, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids up to ``ratio`` times the nearest one's distance, nearest first: the beam grows until it holds a farther one."""
+        k = len(self.points)
+        while beam < k // 2:
+            place, distance = self.search(vectors, beam)
+            if (distance[:, -1] > distance[:, 0] * ratio + 1e-6).all():
+                return place, distance
+            beam *= 2
+        like = vectors @ self.points.T  # most centroids are in reach: no graph is needed
+        place = np.argsort(-like, axis=1, kind="stable")
+        return place, np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(like, place, axis=1)))
+
 
 def train_centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 11) -> Centroids:
     """Balanced k-means on unit vectors, then the exact neighbour graph of the centroids."""
@@ -109,11 +124,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", read_ratio: float = READ_RATIO, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", read_ratio: float | None = None, beam: int = BEAM) -> DataFrame:
     """The ``k`` nearest rows by cosine of each row that ``queries`` marks: ``query_id, rank, vec_id, score``.
 
     Every usable row is in the index. Equal vectors are indexed once, with their k + 1 smallest ids,
     which is all that a result can show of them; that keeps groups of copies small and loses nothing.
+    Without a ``read_ratio`` it is measured (``reading_ratio``).
 
     Defined cases: rows with a null id and vectors that are null, empty, zero or hold null or non-finite
     components take no part, as do vectors of another dimension than the most common one (the smallest
@@ -158,11 +174,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     size_of = np.array([sizes.get(i, 0) for i in range(len(centroids.points))])
     blocks = np.maximum(1, -(-size_of // BLOCK))
 
+    # Equal query vectors are searched once.
+    asked = rows.where("asks").select("vec_id", "v").distinct()
+    asking = tables.save(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "queries")
+    if read_ratio is None:
+        read_ratio = reading_ratio(asking, classes, posted, centroids, k, width)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                place, distance = held.value.search(_unit(_matrix(part.column(1), width)), beam)
+                place, distance = held.value.within(_unit(_matrix(part.column(1), width)), read_ratio, beam)
                 reach = distance <= distance[:, :1] * read_ratio + 1e-6
                 before = np.cumsum(size_of[place], axis=1) - size_of[place]
                 reach |= before < 8 * (k + 1)  # lists enough for a whole answer
@@ -173,9 +195,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
                 block = np.arange(len(where)) - np.repeat(np.cumsum(again) - again, again)
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(block, pa.int64()), part.column(0).take(pa.array(who)), part.column(1).take(pa.array(who))], ["list", "block", "qid", "q"])
 
-    # Equal query vectors are searched once.
-    asked = rows.where("asks").select("vec_id", "v").distinct()
-    asking = tables.save(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "queries")
     routed = asking.select("qid", "v").mapInArrow(route, "list bigint, block bigint, qid bigint, q array<double>")
     # Queries of one block are dealt over several groups where there are many.
     routed = tables.save(routed, "routed")
@@ -190,18 +209,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
 
     def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        p = p.sort_values("least", kind="stable")
-        a, b = np.stack(q["q"].to_numpy()), np.stack(p["v"].to_numpy())
-        top = min(len(b), k + 1)
-        like = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-        part = np.argpartition(-like, top - 1, axis=1)[:, :top] if top < len(b) else np.tile(np.arange(len(b)), (len(a), 1))
-        i, j = np.repeat(np.arange(len(a)), part.shape[1]), part.ravel()
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[i], "cid": p["cid"].to_numpy()[j], "score": cosine(a[i], b[j])})
-
-    found = left.groupBy("list", "block", "deal").cogroup(right.groupBy("list", "block", "deal")).applyInPandas(compare, "qid bigint, cid bigint, score double")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    found = found.groupBy("qid", "cid").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * (k + 1))
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "least": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        parts, lists = [], dict(list(p.groupby("list")))
+        for number, own in q.groupby("list"):
+            if (held := lists.get(number)) is not None:
+                i, j, score = best_of(np.stack(own["q"].to_numpy()), np.stack(held["v"].to_numpy()), held["least"].to_numpy(), k + 1)
+                parts.append(pd.DataFrame({"qid": own["qid"].to_numpy()[i], "cid": held["cid"].to_numpy()[j], "least": held["least"].to_numpy()[j], "score": score}))
+        if not parts:
+            return compare(q.iloc[:0], p)
+        found = pd.concat(parts).drop_duplicates(["qid", "cid"])  # copies in several lists
+        return found.sort_values(["qid", "score", "least"], ascending=[True, False, True]).groupby("qid").head(k + 1)
+
+    group = [F.floor(F.col("list") / TOGETHER).alias("part"), "block", "deal"]
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, "qid bigint, cid bigint, least bigint, score double")
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "least")
+    found = found.groupBy("qid", "cid", "least").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * (k + 1)).drop("least")
     found = found.join(classes.select("cid", "ids"), "cid")
     # Back to the single queries of each vector, and to the single rows of each neighbour.
     each = asked.withColumnRenamed("vec_id", "query_id").join(asking, "v").select("query_id", "qid")
@@ -211,6 +233,60 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def best_of(a: np.ndarray, b: np.ndarray, least: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a``, rows of ``b`` and cosines: the ``top`` best of each row of ``a`` by (score, smallest id)."""
+    top = min(top, len(b))
+    like = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    last = np.partition(like, len(b) - top, axis=1)[:, len(b) - top]
+    i, j = np.nonzero(like >= last[:, None] - 1e-9)  # with all that may tie with the last
+    score = cosine(a[i], b[j])
+    order = np.lexsort((least[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < top
+    return i[keep], j[keep], score[keep]
+
+
+def reading_ratio(asking: DataFrame, classes: DataFrame, posted: DataFrame, centroids: Centroids, k: int, width: int) -> float:
+    """The distance ratio at which a bounded sample of queries reaches ``RECALL`` of its true neighbours.
+
+    The sample is compared with every vector of the table. A neighbour is found once the nearest of its
+    lists is in reach, so the ratio is a quantile of (distance of that list / distance of the nearest).
+    """
+    span = 1 << 30
+    share = int(min(1.0, PROBES / max(1, asking.count())) * span)
+    rule = F.pmod(F.xxhash64("v", F.lit("probe")), F.lit(span)) <= share
+    probes = asking.where(rule).orderBy(F.xxhash64("v")).limit(2 * PROBES).select("qid", "v").toArrow()
+    if not probes.num_rows:
+        return 1.0
+    ids, vectors = probes.column("qid").to_numpy(), _matrix(probes.column("v"), width)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] = (np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                i, j, score = best_of(vectors, _matrix(part.column(2), width), least := part.column(1).to_numpy(), k + 1)
+                both = [np.concatenate(x) for x in zip(held, (i, part.column(0).to_numpy()[j], least[j], score), strict=True)]
+                order = np.lexsort((both[2], -both[3], both[0]))
+                who = both[0][order]
+                order = order[np.arange(len(who)) - np.searchsorted(who, who) <= k]
+                held = tuple(x[order] for x in both)
+        yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), *map(pa.array, held[1:])], ["probe", "cid", "least", "score"])
+
+    near = classes.select("cid", F.col("ids")[0].alias("least"), "v").mapInArrow(scan, "probe bigint, cid bigint, least bigint, score double")
+    best = Window.partitionBy("probe").orderBy(F.desc("score"), "least")
+    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    asks = asking.sparkSession.createDataFrame(pd.DataFrame({"probe": np.arange(len(ids)), "qid": ids}), "probe bigint, qid bigint")
+    near = near.join(F.broadcast(asks), "probe").where("least <> qid").select("probe", "cid")
+    at = posted.join(F.broadcast(near), "cid").select("probe", "cid", "list").toPandas()  # 2 * PROBES * (k + 1) * COPIES rows at most
+    if not len(at):
+        return 1.0
+    unit = _unit(vectors)
+    distance = np.sqrt(np.maximum(0, 2 - 2 * unit @ centroids.points.T))
+    at["ratio"] = distance[at["probe"], at["list"]] / np.maximum(distance.min(axis=1)[at["probe"]], 1e-6)
+    return max(1.0, float(np.quantile(at.groupby(["probe", "cid"])["ratio"].min(), RECALL, method="higher")))
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise cosine in double precision, the same for a pair wherever it is computed."""
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))

@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -358,6 +359,21 @@ def test_nearest_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_nearest_recall_holds_as_the_table_grows(spark):
+    v = np.random.default_rng(3).normal(size=(30_000, 64)).astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}), "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 150 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = []
+    for q in range(0, len(v), 150):
+        s = v @ v[q]
+        s[q] = -9
+        hits.append(len(got[q] & set(np.argsort(-s)[:5].tolist())) / 5)
+    assert np.mean(hits) >= 0.9
+
+
 def test_pseudonyms(edge, nothing):
     text = "mail a.b34@mail7.example.com card 4111111111111111 and 4111-1111-1111-1111 call +1 (212) 555-0147 from 10.0.0.7 on 2024-02-29 or 29.02.2024, ssn 123-45-6789 iban DE89 3704 0044 0532 0130 00 key d0a1b2c3d4e5f60718293a4b5c6d7e8f90a1b2c3 bad 999.1.1.1 2023-02-30"
     new, spans = pii.pseudonymise(text)
