@@ -37,12 +37,6 @@ def windows(data: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[which * STRIDE]
 
 
-def spread_windows(data: np.ndarray, most: int) -> np.ndarray:
-    """At most ``most`` windows, evenly spread over the whole text."""
-    n = window_count(len(data))
-    return windows(data, np.unique(np.linspace(0, n - 1, min(n, most)).astype(int)))
-
-
 @dataclass
 class ByteCnn:
     """``embed`` (256, d); ``filters`` (TAPS * d, F), zero beyond a filter's width; ``out`` (F or 2F, classes)."""
@@ -129,8 +123,29 @@ class Applied:
         return e / e.sum(axis=1, keepdims=True)
 
 
+#: Windows whose convolutions are held at once while training.
+_CHUNK = 256
+
+
+def _patches(emb: np.ndarray, dim: int) -> np.ndarray:
+    """(n, places, TAPS * dim) view of embedded windows."""
+    return np.lib.stride_tricks.sliding_window_view(emb.reshape(len(emb), -1), TAPS * dim, axis=1)[:, ::dim]
+
+
+def _pooled(p: dict[str, np.ndarray], x: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of each filter's maximum in each window, a bounded number of windows at a time."""
+    tops, raws = [], []
+    for at in range(0, len(x), _CHUNK):
+        cols = _patches(p["e"][x[at : at + _CHUNK]], dim)
+        conv = (cols.reshape(-1, TAPS * dim) @ p["w"]).reshape(len(cols), cols.shape[1], -1)
+        top = conv.argmax(axis=1)
+        tops.append(top)
+        raws.append(np.take_along_axis(conv, top[:, None, :], 1)[:, 0] + p["b"])
+    return np.concatenate(tops), np.concatenate(raws)
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, n_classes: int, whole_max: bool, widths: tuple[int, ...] = (2, 3, 4), per_width: int = 12, dim: int = 8, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ByteCnn:
-    """Fit by Adam on bags of windows (one bag per document). The gradient runs through each filter's maximum only."""
+    """Fit by Adam on bags of windows (one bag per document, all its windows). The gradient runs through each filter's maximum only."""
     rng = np.random.default_rng(seed)
     n_filters = len(widths) * per_width
     mask = np.zeros((TAPS, dim, n_filters), np.float32)
@@ -143,7 +158,6 @@ def train(bags: list[np.ndarray], labels: np.ndarray, n_classes: int, whole_max:
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    places = WINDOW - TAPS + 1
     if not bags:
         return ByteCnn(p["e"], p["w"], p["b"], p["v"] * 0, p["c"], whole_max)
     sizes = np.array([len(x) for x in bags])
@@ -155,17 +169,12 @@ def train(bags: list[np.ndarray], labels: np.ndarray, n_classes: int, whole_max:
             x = np.concatenate([bags[i] for i in pick])
             starts = np.r_[0, np.cumsum(sizes[pick])[:-1]]
             owner = np.repeat(np.arange(len(pick)), sizes[pick])
-            emb = p["e"][x]  # (n, WINDOW, dim)
-            cols = np.lib.stride_tricks.sliding_window_view(emb.reshape(len(x), -1), TAPS * dim, axis=1)[:, ::dim]
-            conv = (cols.reshape(-1, TAPS * dim) @ p["w"]).reshape(len(x), places, n_filters)
-            top = conv.argmax(axis=1)
-            raw = np.take_along_axis(conv, top[:, None, :], 1)[:, 0] + p["b"]
+            top, raw = _pooled(p, x, dim)
             h = np.maximum(raw, 0)
-            mean = np.add.reduceat(h, starts, axis=0) / sizes[pick][:, None]
-            features = mean
+            features = np.add.reduceat(h, starts, axis=0) / sizes[pick][:, None]
             if whole_max:
                 high = np.maximum.reduceat(h, starts, axis=0)
-                features = np.concatenate([mean, high], axis=1)
+                features = np.concatenate([features, high], axis=1)
             z = features @ p["v"] + p["c"]
             q = np.exp(z - z.max(axis=1, keepdims=True))
             q /= q.sum(axis=1, keepdims=True)
@@ -176,15 +185,16 @@ def train(bags: list[np.ndarray], labels: np.ndarray, n_classes: int, whole_max:
             dh = (df[:, :n_filters] / sizes[pick][:, None])[owner]
             if whole_max:
                 dh = dh + df[owner, n_filters:] * (h == high[owner])
-            dh = dh * (raw > 0)
-            g["b"] = dh.sum(axis=0)
-            patch = cols[np.arange(len(x))[:, None], top]  # (n, F, TAPS * dim)
-            g["w"] = np.einsum("nf,nfk->kf", dh, patch, optimize=True) * mask
-            back = dh[:, :, None] * p["w"].T[None]  # (n, F, TAPS * dim)
-            g["e"] = np.zeros_like(p["e"])
-            touched = x[np.arange(len(x))[:, None, None], top[:, :, None] + np.arange(TAPS)]
-            for d in range(dim):
-                g["e"][:, d] = np.bincount(touched.ravel(), back.reshape(len(x), n_filters, TAPS, dim)[..., d].ravel(), 256)
+            dh = (dh * (raw > 0)).astype(np.float32)
+            g["b"], g["w"], g["e"] = dh.sum(axis=0), np.zeros_like(p["w"]), np.zeros_like(p["e"])
+            for lo in range(0, len(x), 8 * _CHUNK):
+                part = slice(lo, lo + 8 * _CHUNK)
+                own, d = x[part], dh[part]
+                touched = own[np.arange(len(own))[:, None, None], top[part][:, :, None] + np.arange(TAPS)]  # (n, F, TAPS)
+                g["w"] += np.einsum("nf,nfk->kf", d, p["e"][touched].reshape(len(own), n_filters, -1), optimize=True) * mask
+                back = (d[:, :, None] * p["w"].T[None]).reshape(-1, dim)
+                for j in range(dim):
+                    g["e"][:, j] += np.bincount(touched.ravel(), back[:, j], 256).astype(np.float32)
             step += 1
             lr = rate * min(1, step / 20) * (1 - 0.9 * step / total)
             for k in p:

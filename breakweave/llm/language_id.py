@@ -14,22 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_cnn import ByteCnn, scored, train
-from .shared import class_rule, fold
+from .shared import fold
 from .training import sampled_windows
 
 FOLDS, HELD_OUT = 4, 2
-#: Bound of the training sample: documents per language, windows per document.
-PER_LANGUAGE, WINDOWS = 1500, 3
+#: Bound of the training sample: documents per language, read whole.
+PER_LANGUAGE = 500
 UNKNOWN = "und"
 
 
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[ByteCnn, list[str]]:
     """Network and its languages, from rows with text and language outside the held-out fold."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold("doc_id", FOLDS) != HELD_OUT))
-    # The shares come from ids and languages alone; the texts are read once, and those chosen leave the executors as windows.
-    chosen, _ = class_rule(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where(fold("doc_id", FOLDS) != HELD_OUT), "lang", "doc_id", per_language)
-    bags, names = sampled_windows(rows.where(chosen), "lang", "text", "doc_id", WINDOWS)
+    rows = docs.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}") & (fold("key", FOLDS) != HELD_OUT))
+    bags, names = sampled_windows(rows, per_language)
     languages = sorted(set(names))
     labels = np.array([languages.index(n) for n in names], np.int64)
     return train(bags, labels, max(1, len(languages)), whole_max=False), languages or [UNKNOWN]
@@ -60,7 +58,22 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without rows whose language can't be told (``und``, or a score under ``least``); rows with a null id go too."""
-    found = identify_languages(docs, id_col, text_col, lang_col)
-    keep = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("__kept"), "left_semi")
+    """``docs`` without the rows whose language can't be told (``und``, or a score under ``least``).
+
+    Every row is decided by its own text and keeps all its columns, of any type and name.
+
+    Defined cases: null texts and texts without a letter go; a null id and very long texts are handled
+    like any other; repeated rows and rows with equal texts share one decision; a table without any
+    labelled row is dropped whole (nothing can be told); an empty table gives an empty result.
+    """
+    net, languages = train_languages(docs, id_col, text_col, lang_col)
+    known = languages != [UNKNOWN]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, p in scored(batches, net):
+            letters = np.asarray(batch.column(2).fill_null(False))
+            yield batch.select([0]).filter(pa.array(letters & known & (p.max(axis=1) >= least)))
+
+    # The row travels as one struct, so that none of its columns can clash with what is added here.
+    whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
+    return whole.mapInArrow(run, whole.select("row").schema).select("row.*")

@@ -20,17 +20,17 @@ from .training import sampled_windows
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-#: Bound of the training sample: documents per label, chunks per document.
-PER_LABEL, CHUNKS = 2500, 6
+#: Bound of the training sample: documents per label, read whole.
+PER_LABEL = 1500
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> tuple[ByteCnn, float]:
     """Network, and the log-odds to add so that scores follow the labels' own share rather than the balanced sample's."""
-    marked = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT))
+    marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT))
     share = {r["label"]: r["count"] for r in marked.groupBy("label").count().limit(2).collect()}
-    sample = class_sample(marked.distinct(), "label", "doc_id", per_label)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
-    bags, y = sampled_windows(rows, "label", "text", "doc_id", CHUNKS)
+    sample = class_sample(marked, "label", "doc_id", per_label)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
+    bags, y = sampled_windows(rows.select(F.col("doc_id").alias("key"), "label", "text"), per_label)
     y = np.array(y, np.int64)
     shift = float(np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)) - np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)))
     return train(bags, y, 2, whole_max=True), shift

@@ -1,27 +1,19 @@
-"""Bounded training samples: a few windows or words of each chosen row travel to the driver, never whole tables."""
+"""Bounded training samples: the chosen rows travel to the driver with their whole texts, never whole tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .byte_cnn import WINDOW, spread_windows
-from .byte_cnn import encode
-
+from .byte_cnn import encode, windows
+from .shared import bounded_rows
 
-def sampled_windows(rows: DataFrame, label: str, text_col: str, key: str, most: int) -> tuple[list[np.ndarray], list]:
-    """Bags of at most ``most`` windows with their labels, in the order of ``key``, for a sample that is bounded already."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = [spread_windows(encode(t.as_py()), most).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], ["key", "label", "bag"])
+def sampled_windows(rows: DataFrame, per_class: int) -> tuple[list[np.ndarray], list]:
+    """All windows of each sampled row's text (one bag per row) with the rows' labels, in a fixed order.
 
-    kind = dict(rows.dtypes)
-    found = rows.select(key, label, text_col).mapInArrow(run, f"key {kind[key]}, label {kind[label]}, bag binary").toArrow()
-    found = found.sort_by([("key", "ascending"), ("label", "ascending")])
-    bags = [np.frombuffer(b.as_py(), np.uint8).reshape(-1, WINDOW) for b in found.column("bag")]
-    return bags, found.column("label").to_pylist()
+    ``rows`` has key, label and text. Texts are read whole; ``per_class`` bounds the rows of a label.
+    """
+    found = bounded_rows(rows, per_class).toPandas()
+    found = found.sort_values(["key", "label", "text"], kind="stable")
+    return [windows(encode(t)) for t in found["text"]], found["label"].tolist()
