@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Key used where none is given; a production run passes its own secret.
-DEFAULT_KEY = b"breakweave demonstration key"
 ROUNDS = 10
+#: Longest run that is one value of the permutation; longer ones are permuted in parts, so that time stays in proportion.
+PART = 64
+#: Country calling codes of one and two digits (fixed values); all others have three.
+CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 def _round(key: bytes, tweak: str, turn: int, value: int, modulus: int) -> int:
@@ -44,7 +47,7 @@ def feistel(value: int, left: int, right: int, key: bytes, tweak: str, undo: boo
 
 def permute(value: int, size: int, key: bytes, tweak: str, valid: Callable[[int], bool] = lambda v: True, undo: bool = False) -> int:
     """Permutation of the valid values below ``size``, by walking the Feistel cycle; 0 stays if nothing else is valid."""
-    left = max(1, int(size**0.5))
+    left = max(1, math.isqrt(size))
     right = -(-size // left)
     while True:
         value = feistel(value, left, right, key, tweak, undo)
@@ -70,6 +73,8 @@ def over_alphabet(text: str, alphabet: str, key: bytes, tweak: str, valid: Calla
 
 
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+#: Small accented letters up to U+024F whose capitals are single letters that lead back to them.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.islower() and len(c.upper()) == 1 and c.upper() != c and 0xC0 <= ord(c.upper()) < 0x250 and c.upper().lower() == c)
 
 
 def luhn(digits: str) -> bool:
@@ -97,20 +102,18 @@ def _number(kind: str, valid: Callable[[str], bool]) -> Callable[..., str | None
     return change
 
 
-def _account(text: str, key: bytes, undo: bool) -> str:
-    """Card and account numbers: those with a right check digit stay right, others stay wrong."""
-    digits = _digits(text)
-    right = luhn(digits)
-    return _in_place(text, over_alphabet(digits, DIGITS, key, f"account{right}", lambda d: luhn(d) == right, undo), lambda c: c.isascii() and c.isdigit())
-
-
 def _phone(text: str, key: bytes, undo: bool) -> str | None:
-    """Country code and the marks stay; the rest of the number is permuted."""
+    """Country code and marks stay, the national number is permuted.
+
+    The permutation depends on country code and length only, so a number has one pseudonym however it is
+    written; ten digits without a country code are read as a number of country code 1.
+    """
     digits = _digits(text)
-    keep = 1 if text.startswith("+1") else 2 if text.startswith("+") else 0
-    if not 7 <= len(digits) - keep <= 13:
+    keep = next((n for n in (1, 2) if digits[:n] in CALLING_CODES), 3) if text.startswith("+") else 0
+    country, national = digits[:keep] or "1", digits[keep:]
+    if not 6 <= len(national) <= 12 or (country == "1" and len(national) != 10):
         return None
-    new = digits[:keep] + over_alphabet(digits[keep:], DIGITS, key, f"phone{digits[:keep]}", lambda d: True, undo)
+    new = digits[:keep] + over_alphabet(national, DIGITS, key, f"phone{country}", undo=undo)
     return _in_place(text, new, lambda c: c.isascii() and c.isdigit())
 
 
@@ -126,16 +129,19 @@ def _ip(text: str, key: bytes, undo: bool) -> str | None:
 
 
 def _letters_digits(text: str, key: bytes, tweak: str, undo: bool) -> str:
-    """Runs of letters and runs of digits permuted within their class; case and marks stay."""
+    """Runs of letters, of accented letters and of digits permuted within their class, ``PART`` characters at a time; case and marks stay."""
     out = []
-    for m in re.finditer(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", text):
-        run = m.group()
-        if run[0].isascii() and run[0].isdigit():
-            run = over_alphabet(run, DIGITS, key, tweak + "d", undo=undo)
-        elif run[0].isascii() and run[0].isalpha():
-            new = over_alphabet(run.lower(), LETTERS, key, tweak + "l", undo=undo)
-            run = "".join(n.upper() if o.isupper() else n for n, o in zip(new, run, strict=True))
-        out.append(run)
+    for m in re.finditer(rf"[A-Za-z]+|[0-9]+|[{ACCENTED}{ACCENTED.upper()}]+|[^A-Za-z0-9{ACCENTED}{ACCENTED.upper()}]+", text):
+        for at in range(0, len(m.group()), PART):
+            run = m.group()[at : at + PART]
+            own = tweak if not at else f"{tweak}{at}"
+            if run[0] in DIGITS:
+                run = over_alphabet(run, DIGITS, key, own + "d", undo=undo)
+            elif run[0].lower() in LETTERS + ACCENTED:
+                plain = run[0].isascii()
+                new = over_alphabet(run.lower(), LETTERS if plain else ACCENTED, key, own + ("l" if plain else "a"), undo=undo)
+                run = "".join(n.upper() if o.isupper() else n for n, o in zip(new, run, strict=True))
+            out.append(run)
     return "".join(out)
 
 
@@ -188,17 +194,19 @@ def _iban(text: str, key: bytes, undo: bool) -> str | None:
     return _in_place(text, plain[:2] + f"{98 - number:02d}" + body, lambda c: c != " ")
 
 
-#: Kinds in the order in which they are tried at a place: (name, pattern, change).
+_LOCAL = r"A-Za-z0-9._%+\-À-ɏ"
+#: Kinds in the order in which they are tried at a place: (name, pattern, change). Every run that a pattern can repeat over
+#: is entered at its first character only and never given back in parts, so the search takes time in proportion to the text.
 KINDS: list[tuple[str, str, Callable[..., str | None]]] = [
-    ("email", r"[A-Za-z0-9._%+\-À-ɏ]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9\-À-ɏ]++(?:\.[A-Za-z0-9\-À-ɏ]++)*\.[A-Za-z]{{2,}}", _email),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])", _secret),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", _iban),
-    ("date", r"(?<![\d./\-])\d{4}-\d{2}-\d{2}(?![\d./\-]*\d)", _date("ymd")),
+    ("date", r"(?<![\d./\-])\d{4}-\d{2}-\d{2}(?!\d|[./\-]\d)", _date("ymd")),
     ("date", r"(?<![\d./\-])\d{2}\.\d{2}\.\d{4}(?!\d)", _date("dmy")),
     ("date", r"(?<![\d./\-])\d{2}/\d{2}/\d{4}(?!\d)", _date("mdy")),
     ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", _ip),
     ("social", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _number("social", _social)),
-    ("account", r"(?<![\d\-])\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}(?![\d\-])|(?<![\d\-])\d{13,19}(?!\d)", _account),
+    ("account", r"(?<![\d\-])\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}(?![\d\-])|(?<![\d\-])\d{13,19}(?!\d)", _number("account", luhn)),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\w\-])", _phone),
 ]
 _ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p, _) in enumerate(KINDS)))
@@ -206,7 +214,7 @@ _ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p, _) in enumerate(KINDS)
 _HINT = re.compile(r"[0-9@]")
 
 
-def pseudonymise(text: str | None, key: bytes = DEFAULT_KEY, undo: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
+def pseudonymise(text: str | None, key: bytes, undo: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, length) of each in the new text; lengths may change only for addresses."""
     if text is None or not _HINT.search(text):
         return text, []
@@ -229,13 +237,13 @@ def _changed(change: Callable[..., str | None], found: str, key: bytes, undo: bo
     return change(found, key, undo)
 
 
-def pseudonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, text, found, kinds``.
+def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, text, found, kinds``; ``key`` is the caller's secret.
 
     ``text`` has pseudonyms in place of all personal data found, ``found`` is their number, ``kinds`` one
     (kind, start, length) each, by code points of the new text. Defined cases: a null text stays null and
     an empty one empty, with none found; values that fail validation (an impossible date, an octet over
-    255, a wrong check number) are no personal data and stay; null ids and repeated rows are handled like
+    255, a wrong check number or check digit) are no personal data and stay; null ids and repeated rows are handled like
     any other row; an empty table gives an empty result.
     """
 
