@@ -74,11 +74,13 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     ``formatted`` is the rendered text, ``turns`` what the parser reads back from it, ``spans`` the loss
     mask: for each assistant turn, in order, the place (from 1) and length in code points of its text
-    within ``formatted``. Fails if a conversation doesn't come back as it was.
+    within ``formatted``. A conversation that doesn't come back as it was is rendered again with every
+    character escaped that a control string can start with.
 
     Defined cases: null texts and null roles are empty; rows are ordered by turn (null first), then role
-    and text; repeated rows are turns of their own; a null conversation id is a conversation like any
-    other. An empty table gives an empty result.
+    and text; repeated rows are turns of their own; rows without a conversation id belong to no common
+    conversation: each is one of its own, so they never gather in one group. Texts of any length are
+    formatted whole. An empty table gives an empty result. Other columns are ignored.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
@@ -88,16 +90,29 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     source = F.array(F.struct("role", "text"))
     clean = ~F.col("text").rlike(CONTROLS)
     rows = rows.withColumn("piece", F.when(clean & (parse(shown[0]) == source), shown[0]).when(parse(shown[1]) == source, shown[1]).otherwise(shown[2]))
+    known = rows.where(F.col("conv_id").isNotNull())
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("before", F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("piece") + len(BEGIN)).withColumn("k", F.row_number().over(order))
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "role", "text", "piece", "before"))).alias("all"))
-    chats = chats.select(
-        "conv_id",
-        F.concat(F.lit(BEGIN), F.array_join(F.transform("all", lambda x: x["piece"]), "")).alias("formatted"),
-        F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"),
-        F.transform(F.filter("all", lambda x: x["role"] == "assistant"), lambda x: F.struct((x["before"] + 6).alias("start"), (F.length(x["piece"]) - 9).alias("length"))).alias("spans"),
-    )
-    chats = chats.withColumn("turns", parse(F.col("formatted")))
+    known = known.withColumn("before", F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("piece") + len(BEGIN)).withColumn("k", F.row_number().over(order))
+    chats = known.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "role", "text", "piece", F.col("before").cast("bigint").alias("before")))).alias("all"))
+    single = F.array(F.struct(F.lit(1).alias("k"), "role", "text", "piece", F.lit(len(BEGIN)).cast("bigint").alias("before"))).alias("all")
+    chats = chats.unionByName(rows.where(F.col("conv_id").isNull()).select("conv_id", single))
+
+    def whole(pieces: Column) -> Column:
+        return F.concat(F.lit(BEGIN), F.array_join(pieces, ""))
+
+    def hard(x: Column) -> Column:
+        return render(x["role"], escape(x["text"], 2))
+
+    said = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    chats = chats.select("conv_id", "all", said.alias("source"), whole(F.transform("all", lambda x: x["piece"])).alias("formatted"))
+    chats = chats.withColumn("turns", parse(F.col("formatted"))).withColumn("fine", F.col("turns") == F.col("source"))
+    # Only where the conversation as a whole was read otherwise than its turns one by one.
+    size = lambda i: F.aggregate(F.slice("again", 1, i), F.lit(0), lambda n, x: n + F.length(x))
+    chats = chats.withColumn("again", F.when(F.col("fine"), F.array().cast("array<string>")).otherwise(F.transform("all", hard)))
+    places = F.transform("all", lambda x, i: F.struct(x["role"].alias("role"), F.when(F.col("fine"), x["before"]).otherwise(size(i) + len(BEGIN)).alias("before"), F.when(F.col("fine"), F.length(x["piece"])).otherwise(F.length(F.col("again")[i])).alias("size")))
+    spans = F.transform(F.filter(places, lambda x: x["role"] == "assistant"), lambda x: F.struct((x["before"] + 6).alias("start"), (x["size"] - 9).alias("length")))
+    formatted = F.when(F.col("fine"), F.col("formatted")).otherwise(whole(F.col("again")))
+    chats = chats.select("conv_id", "source", spans.alias("spans"), formatted.alias("formatted"), F.when(F.col("fine"), F.col("turns")).otherwise(parse(whole(F.col("again")))).alias("turns"))
     same = F.when(F.col("turns") == F.col("source"), F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("no round trip for conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
     return chats.select("conv_id", same.alias("formatted"), "spans", "turns")
 

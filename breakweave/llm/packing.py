@@ -1,7 +1,7 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Documents longer than the largest permitted length are cut into full-length pieces and a rest. Pieces
-are dealt by a hash into shards of a few thousand; each shard is packed on its own, longest piece
+are dealt by a hash of their row into shards of a few thousand; each shard is packed on its own, longest piece
 first. A piece goes into the open bin that it fills best. If none has room, a new bin is opened in the
 permitted length whose cost per token is least, counting what the shorter pieces still to come can put
 into its free space. At the end each bin shrinks to the smallest permitted length that holds its
@@ -65,20 +65,22 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A token is a word; ``start`` is the piece's first word in its document. Defined cases: null, empty
     and blank texts have no tokens and take one piece of 0 tokens with null shard, bin, offset and
     length; a null id is an ordinary value; repeated rows are packed as often as they come; ties in size
-    are broken by id and piece. An empty table gives an empty result.
+    are broken by id, piece and row. A text of any length is cut without being held as an array. An empty table gives an empty result.
     """
     longest = max(lengths)
     tables = WorkTables(docs.sparkSession)
-    counted = tables.save(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_count(F.col(text_col)).alias("n")), "counts")
+    # Rows are numbered and written: shards go by row, so that one id (or none) on most rows can't fill a shard.
+    counted = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_count(F.col(text_col)).alias("n")).withColumn("row", F.monotonically_increasing_id())
+    counted = tables.save(counted, "counts")
     pieces = counted.where("n > 0").select(
-        "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("piece")
-    ).select("doc_id", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest).cast("bigint"), F.col("n") - F.col("piece") * longest).alias("n_tokens"))
+        "doc_id", "row", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("piece")
+    ).select("doc_id", "row", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest).cast("bigint"), F.col("n") - F.col("piece") * longest).alias("n_tokens"))
     many = counted.agg(F.sum(F.ceil(F.col("n") / longest))).first()[0] or 0
     shards = max(1, -(-int(many) // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece", F.lit("shard")), F.lit(shards)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        frame = frame.sort_values(["n_tokens", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable").drop(columns="row")
         frame["bin"], frame["bin_offset"], frame["bin_length"] = pack_shard(frame["n_tokens"].to_numpy(np.int64), lengths)
         return frame
 
