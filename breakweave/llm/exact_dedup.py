@@ -33,7 +33,11 @@ def _key(block: Column, salt: int) -> Column:
 
 
 def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Integer names for distinct rows: sorted within their shard, numbered from the shard's own range."""
+    """Integer names for distinct rows: sorted within their shard, numbered from the shard's own range.
+
+    Names are used within one call only: which rows share a name, and so the result, depends on contents
+    alone; the numbers also depend on how many shards there are.
+    """
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
@@ -105,17 +109,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay.
+    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay, of any type and name.
 
-    Kept rows are found again by id and text digest. Repeated rows (same id, same text) are told apart
-    by nothing but their other columns; one of them stays.
+    Defined cases: a null text is an empty one; a null id ranks after all others; kept rows are found
+    again by id and text digest, so different texts under one id are told apart; repeated rows (same id,
+    same text) differ in nothing but other columns, and the one whose columns, written as JSON, have the
+    smallest hash stays; very long texts are compared whole; an empty table gives an empty result.
     """
-    verdict = WorkTables(docs.sparkSession).save(exact_dedup(docs, id_col, text_col), "verdict")
-    keep = verdict.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    repeated = verdict.groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.lit(True).alias("__again"))
-    keep = keep.join(repeated, keep["__id"].eqNullSafe(repeated["__id"]) & (keep["__sha"] == repeated["__sha"]), "left").select(keep["__id"], keep["__sha"], F.coalesce("__again", F.lit(False)).alias("__again"))
-    columns = docs.columns
-    digest = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
-    found = digest.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")))
-    once = found.where("__again").groupBy("__id", "__sha").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
-    return found.where("not __again").select(*columns).unionByName(once)
+    tables = WorkTables(docs.sparkSession)
+    verdict = tables.save(exact_dedup(docs, id_col, text_col), "verdict")
+    kept = verdict.where("kept").groupBy("doc_id", "text_sha256").agg(F.lit(True).alias("kept"))
+    many = verdict.groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256", F.lit(True).alias("again"))
+    keep = kept.join(many, kept["doc_id"].eqNullSafe(many["doc_id"]) & (kept["text_sha256"] == many["text_sha256"]), "left")
+    keep = keep.select(kept["doc_id"].alias("id"), kept["text_sha256"].alias("sha"), F.coalesce("again", F.lit(False)).alias("again"))
+    # The row is one struct, so that none of its columns can clash with what is added here.
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"))
+    found = whole.join(keep, F.col("own").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")))
+    once = found.where("again").groupBy("id", "sha").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return found.where("not again").select("row").unionByName(once.select("row")).select("row.*")

@@ -160,7 +160,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Defined cases: texts with the same set of shingles are alike, so are texts without a word; rows with
     the same id and text stay together; different texts under one id are told apart; a null id is larger
-    than every other, and a null text the same as an empty one.
+    than every other, and a null text the same as an empty one; texts of any length are read whole, a few
+    at a time; columns of any type and name pass through; an empty table gives an empty result.
     """
     tables = WorkTables(docs.sparkSession)
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -199,19 +200,22 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     edges = verified(ends)
     roots = tables.save(connected_components(edges, tables), "roots")
-    # Then every pair that met and is still in two components.
-    linked = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+    # Then every pair that met and is still in two components. Classes are matched by the components in them first,
+    # so that texts which are in one component already, the bulk of a large group of copies, are never paired.
+    linked = links.select(F.col("a").alias("key")).union(links.select("b")).union(classes.where("low <> high").select("key")).distinct()
     placed = members.join(linked, "key").join(nodes.select("node", "prints"), "node").join(roots, "node", "left").select("key", "node", "prints", F.coalesce("root", "node").alias("root"))
     placed = tables.save(placed, "placed")
+    parts = placed.select("key", "root").distinct()
+    near = links.where("a <> b").union(links.where("a <> b").select("b", "a")).union(linked.select("key", "key"))
+    met = near.join(parts.select(F.col("key").alias("a"), F.col("root").alias("ru")), "a").join(parts.select(F.col("key").alias("b"), F.col("root").alias("rv")), "b").where("ru < rv")
     left = placed.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("prints").alias("pu"), F.col("root").alias("ru"))
     right = placed.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("prints").alias("pv"), F.col("root").alias("rv"))
-    apart = F.col("ru") != F.col("rv")
-    once = (F.col("a") != F.col("b")) | (F.col("u") < F.col("v"))
-    rest = left.join(links, "a").join(right, "b").where(apart & once & _near("pu", "pv", count)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rest = met.join(left, ["a", "ru"]).join(right, ["b", "rv"]).where(_near("pu", "pv", count)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     roots = tables.save(connected_components(edges.unionByName(verified(rest)), tables), "roots")
 
     kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("kept"))
     dropped = rows.select("id", "mark", "node").join(nodes.select("node", "first"), "node").join(roots, "node", "left").join(kept, "root", "left")
-    dropped = dropped.where(F.struct(F.col("id").isNull(), "id", "mark") != F.coalesce("kept", "first")).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    dropped = tables.save(dropped, "dropped")
-    return docs.join(dropped, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    dropped = tables.save(dropped.where(F.struct(F.col("id").isNull(), "id", "mark") != F.coalesce("kept", "first")).select("id", "mark").distinct(), "dropped")
+    # The row is one struct, so that none of its columns can clash with what is added here.
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own"), mark.alias("own_mark"))
+    return whole.join(dropped, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")), "left_anti").select("row.*")
