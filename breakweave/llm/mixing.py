@@ -161,7 +161,7 @@ def fit_rates(cells: DataFrame, shares: np.ndarray, top: float) -> tuple[Column,
 
     Without a bound on rates the corpus keeps its size; with one, the size is the largest that every
     domain can fill, found by lowering it from what the scarcest domain holds. Where no size will do, the
-    rates come as near as they can to the largest, and the residual shows.
+    one stays at which the rates come nearest, and the residual shows.
     """
     rates = Rates(cells, len(shares), top)
     mass = rates.totals([])[0] / min(1.0, top)
@@ -169,14 +169,15 @@ def fit_rates(cells: DataFrame, shares: np.ndarray, top: float) -> tuple[Column,
     if not fillable.any():
         return rates.column(), 0 * shares, mass * min(1.0, top)
     size = mass.sum() if math.isinf(top) else min(top * float(np.min(mass[fillable] / shares[fillable])), top * mass.sum())
-    first = None
+    best, least = None, math.inf
     for _ in range(1 if math.isinf(top) or not fillable[shares > 0].all() else 20):
         total, error = rates.fit(size * shares)
-        first = first or (rates.column(), size * shares, total)
+        if error < least:
+            best, least = (rates.column(), size * shares, total), error
         if error <= TOLERANCE:
-            return rates.column(), size * shares, total
+            break
         size *= 0.95  # soft posteriors: part of a scarce domain lies in documents that others must drop
-    return first
+    return best or (rates.column(), size * shares, mass * min(1.0, top))
 
 
 def _soft(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_rate: float, keep: Column, tables: WorkTables) -> tuple[DataFrame, Column, list[Column]]:
