@@ -74,18 +74,20 @@ def atomize(first: DataFrame, second: DataFrame) -> DataFrame:
 def subtract(intervals: DataFrame, masks: DataFrame, pad: int = 0, width: int = 256) -> DataFrame:
     """What is left of each interval outside the masks widened by ``pad``; a piece starts and ends on the padded bounds.
 
-    Other columns of ``intervals`` are kept on every piece. Masks are merged first.
+    Other columns of ``intervals`` are kept on every piece, and repeated rows are cut each. Masks are merged
+    first; what is left depends on a row's place alone, so each distinct place meets the masks once.
     """
     from .overlap import overlap_join
 
-    solid = merge_clusters(masks, extend=2 * pad).drop("members")
-    key = intervals.columns
-    hits = overlap_join(intervals, solid.select("chrom", F.greatest(F.lit(0), F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end")), width=width)
-    free = overlap_join(intervals, solid.select("chrom", F.greatest(F.lit(0), F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end")), width=width, how="left_anti")
-    own = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("r_start", "r_end"))).alias("m"))
+    solid = merge_clusters(masks, extend=2 * pad).select("chrom", F.greatest(F.lit(0), F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end"))
+    places = intervals.select("chrom", "start", "end").distinct()
+    hits = overlap_join(places, solid, width=width).groupBy("chrom", "start", "end").agg(F.array_sort(F.collect_set(F.struct("r_start", "r_end"))).alias("m"))
     # Gaps lie between the end of one mask and the start of the next.
     lefts = F.concat(F.array("start"), F.transform("m", lambda x: x["r_end"]))
     rights = F.concat(F.transform("m", lambda x: x["r_start"]), F.array("end"))
     gaps = F.filter(F.arrays_zip(lefts.alias("a"), rights.alias("b")), lambda g: g["a"] < g["b"])
-    cut = own.withColumn("g", F.explode(gaps)).withColumn("start", F.col("g.a")).withColumn("end", F.col("g.b")).select(*key)
-    return free.select(*key).unionByName(cut)
+    whole = F.array(F.struct(F.col("start").alias("a"), F.col("end").alias("b")))
+    hits = hits.select(F.col("chrom").alias("h_chrom"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), gaps.alias("gaps"))
+    same = (F.col("chrom") == F.col("h_chrom")) & (F.col("start") == F.col("h_start")) & (F.col("end") == F.col("h_end"))
+    cut = intervals.join(hits, same, "left").withColumn("g", F.explode(F.when(F.col("h_chrom").isNull(), whole).otherwise(F.col("gaps"))))
+    return cut.select(*[F.col("g.a").alias(c) if c == "start" else F.col("g.b").alias(c) if c == "end" else F.col(c) for c in intervals.columns])

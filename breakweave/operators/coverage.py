@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upper_median(values: Column) -> Column:
-    """The value at n // 2 of the sorted values; for windows, of which there are as many as the genome has, not the reads."""
-    n = F.count(values)
-    return F.try_element_at(F.array_sort(F.collect_list(values)), (F.floor(n / 2) + 1).cast("int"))
+def _ranked(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Distinct values and their counts ``n`` with ``upto`` (values up to this one) and ``total``, in each group."""
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def _at(rank: Column, value: str) -> Column:
+    """The value at a rank (from 1), as an aggregate over a group's ranked values."""
+    return F.min(F.when(F.col("upto") >= rank, F.col(value)))
 
 
 def window_counts(reads: DataFrame, width: int, least_mapq: int = 5) -> DataFrame:
@@ -24,18 +29,30 @@ def window_counts(reads: DataFrame, width: int, least_mapq: int = 5) -> DataFram
 
 
 def interval_coverage(intervals: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """Mean depth of whole windows over each interval (chrom, start, end): ``..., n_windows, depth``."""
-    spread = intervals.withColumn("win", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    """Mean depth of whole windows over each interval (chrom, start, end, ...): ``..., n_windows, depth``.
+
+    It depends on the place alone, so distinct places are summed and repeated rows get the same values.
+    """
+    places = intervals.select("chrom", "start", "end").distinct()
+    spread = places.withColumn("win", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
     joined = spread.join(windows.select("chrom", "win", "bases"), ["chrom", "win"], "left")
-    return joined.groupBy(*intervals.columns).agg(F.count("*").alias("n_windows"), (F.sum(F.coalesce("bases", F.lit(0))) / (F.count("*") * width)).alias("depth"))
+    sums = joined.groupBy("chrom", "start", "end").agg(F.count("*").alias("n_windows"), (F.sum(F.coalesce("bases", F.lit(0))) / (F.count("*") * width)).alias("depth"))
+    return intervals.join(sums, ["chrom", "start", "end"], "left").select(*intervals.columns, "n_windows", "depth")
 
 
 def coverage_stats(windows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Upper median, mean and population deviation of a value over windows, outliers (0, or 5 medians and more) left out."""
-    middle = windows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("rough"))
-    fine = windows.join(middle, keys) if keys else windows.crossJoin(F.broadcast(middle))  # one row
-    return fine.where((F.col(value) > 0) & (F.col(value) < 5 * F.col("rough"))).groupBy(*keys).agg(
-        F.count("*").alias("n_windows"), upper_median(F.col(value)).alias("median"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation")
+    """Upper median, mean and population deviation of a value over windows, outliers (0, or 5 medians and more) left out.
+
+    Everything runs over distinct values and their counts, never over the windows themselves.
+    """
+    group, v, n = Window.partitionBy(*keys), F.col(value), F.col("n")
+    counts = _ranked(windows.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), value, keys)
+    half = F.col("total") / 2
+    rough = (_at(F.ceil(half), value).over(group) + _at(F.floor(half) + 1, value).over(group)) / 2
+    fine = counts.withColumn("rough", rough).where((v > 0) & (v < 5 * F.col("rough"))).select(*keys, value, "n")
+    fine = _ranked(fine, value, keys).withColumn("mean", F.sum(n * v).over(group) / F.col("total"))
+    return fine.groupBy(*keys).agg(
+        F.sum("n").alias("n_windows"), _at(F.floor(half) + 1, value).alias("median"), F.first("mean").alias("mean"), F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum("n")).alias("deviation")
     )
 
 
@@ -74,11 +91,11 @@ def weighted_mappability(intervals: DataFrame, track: DataFrame, width: int = 25
     from ..functions.intervals import overlap_size
     from .overlap import overlap_join
 
-    hit = overlap_join(intervals, track, width=width)
+    hit = overlap_join(intervals.select("chrom", "start", "end").distinct(), track, width=width)
     shared = overlap_size(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
     weight = F.when(F.col("r_score") == 0, 5.0).otherwise(1 / F.col("r_score"))
-    sums = hit.groupBy(*intervals.columns).agg((F.sum(shared * weight) / F.sum(shared)).alias("rep_content"))
-    return intervals.join(sums, intervals.columns, "left").withColumn("rep_content", F.coalesce("rep_content", F.lit(1.0)))
+    sums = hit.groupBy("chrom", "start", "end").agg((F.sum(shared * weight) / F.sum(shared)).alias("rep_content"))
+    return intervals.join(sums, ["chrom", "start", "end"], "left").select(*intervals.columns, F.coalesce("rep_content", F.lit(1.0)).alias("rep_content"))
 
 
 def segdup_uniqueness(intervals: DataFrame, duplicated: DataFrame, width: int = 256) -> DataFrame:
@@ -86,10 +103,10 @@ def segdup_uniqueness(intervals: DataFrame, duplicated: DataFrame, width: int =
     from ..functions.intervals import overlap_size
     from .overlap import overlap_join
 
-    hit = overlap_join(intervals, duplicated, width=width)
-    sums = hit.groupBy(*intervals.columns).agg(F.sum(overlap_size(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("covered"))
+    hit = overlap_join(intervals.select("chrom", "start", "end").distinct(), duplicated, width=width)
+    sums = hit.groupBy("chrom", "start", "end").agg(F.sum(overlap_size(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("covered"))
     own = F.col("end") - F.col("start") + 1
-    return intervals.join(sums, intervals.columns, "left").withColumn("uniqueness", own / (own + F.coalesce("covered", F.lit(0)))).drop("covered")
+    return intervals.join(sums, ["chrom", "start", "end"], "left").select(*intervals.columns, (own / (own + F.coalesce("covered", F.lit(0)))).alias("uniqueness"))
 
 
 def arm_gained(calls: DataFrame, arms: DataFrame, whole: DataFrame, gain: float, large: int = 10_000_000) -> DataFrame:
@@ -101,7 +118,7 @@ def arm_gained(calls: DataFrame, arms: DataFrame, whole: DataFrame, gain: float,
     ratios = arms.crossJoin(F.broadcast(whole)).select("chrom", (F.col("arm") / F.col("median")).alias("ratio")).where("ratio > 0")  # one row against the arms
     needed = F.lit(gain) + 2 * F.greatest(F.lit(1.0), F.col("ratio")) - 2
     small = F.col("end") - F.col("start") + 1 < large
-    return calls.join(F.broadcast(ratios), "chrom").where((F.col("cn") > needed) & (small | (F.col("cn") > 1.5 * gain))).drop("ratio")
+    return calls.join(ratios, "chrom").where((F.col("cn") > needed) & (small | (F.col("cn") > 1.5 * gain))).drop("ratio")
 
 
 def high_level(windows: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -109,11 +126,9 @@ def high_level(windows: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
     Ranks run over distinct values and their counts, never over the windows themselves.
     """
-    counts = windows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    counts = _ranked(windows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), value, keys)
     rank = F.when(F.col("total") < 20, 1).otherwise(F.col("total") - F.floor(F.col("total") / 20) + 1)
-    return counts.where(F.col("upto") >= rank).groupBy(*keys).agg(F.min(value).alias("level"))
+    return counts.groupBy(*keys).agg(_at(rank, value).alias("level"))
 
 
 def amplicon_summary(segments: DataFrame, keys: list[str], amplified: float = 2.5, high: float = 5.0) -> DataFrame:

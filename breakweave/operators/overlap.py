@@ -27,10 +27,10 @@ def overlap_join(left: DataFrame, right: DataFrame, extend: int = 0, width: int
     if how == "inner":
         once = F.col("bin") == F.floor(F.greatest(low, F.col("r_start")) / width)
         return left.withColumn("bin", _bins(low, high, width)).join(r, met & once).drop("bin", "r_bin", "r_chrom")
-    rows = left.withColumn("__row", F.struct(*left.columns))
-    hit = rows.withColumn("bin", _bins(low, high, width)).join(r, met, "left_semi").select("__row").distinct()
-    rows = rows.join(hit, "__row", how)
-    return rows.drop("__row")
+    # Whether a row overlaps anything depends on its place alone, so only distinct places are joined and sent back.
+    places = left.select("chrom", "start", "end").distinct()
+    hit = places.withColumn("bin", _bins(low, high, width)).join(r, met, "left_semi").select("chrom", "start", "end").distinct()
+    return left.join(hit, ["chrom", "start", "end"], how).select(*left.columns)
 
 
 def point_join(points: DataFrame, spans: DataFrame, width: int = 256) -> DataFrame:

@@ -29,9 +29,9 @@ def pair_edges(pairs: DataFrame, extend: int, support: int) -> DataFrame:
     """
     side = lambda f, p, s: f.select(F.concat_ws("/", f"{p}chrom", f"{p}strand").alias("chrom"), F.col(f"{p}start").alias("start"), F.col(f"{p}end").alias("end"), "pair").withColumn("side", F.lit(s))
     spans = label_clusters(side(pairs, "", 0).unionByName(side(pairs, "m_", 1)), extend)
-    left = spans.where("side = 0").select("pair", F.concat_ws("/", "chrom", "cluster").alias("c1"))
-    right = spans.where("side = 1").select("pair", F.concat_ws("/", "chrom", "cluster").alias("c2"))
-    rows = pairs.join(left, "pair").join(right, "pair")
+    name = F.concat_ws("/", "chrom", "cluster")
+    ends = spans.groupBy("pair").agg(F.max(F.when(F.col("side") == 0, name)).alias("c1"), F.max(F.when(F.col("side") == 1, name)).alias("c2"))
+    rows = pairs.join(ends, "pair")
     place = lambda p: F.when(F.first(f"{p}strand") == 1, F.max(f"{p}end")).otherwise(F.min(f"{p}start"))
     edges = rows.groupBy("c1", "c2").agg(
         F.first("chrom").alias("chrom1"), place("").alias("pos1"), F.first("strand").alias("strand1"),
@@ -115,8 +115,7 @@ def foldup_count(places: DataFrame, pairs: DataFrame, reach: int = 10_000, apart
 
     folded = pairs.where((F.col("chrom") == F.col("m_chrom")) & (F.col("strand") == F.col("m_strand")) & (F.abs(F.col("start") - F.col("m_start")) <= apart))
     starts = folded.groupBy("chrom", F.col("start").alias("pos")).agg(F.count("*").alias("k"))
-    around = places.select(*places.columns, (F.col("pos") - reach).alias("start"), (F.col("pos") + reach).alias("end"))
-    names = [f"r_{c}" for c in places.columns if c != "chrom"]
-    met = point_join(starts, around, width=max(256, reach)).groupBy("chrom", *names).agg(F.sum("k").alias("foldups"))
-    met = met.select("chrom", *[F.col(c).alias(c[2:]) for c in names], "foldups")
-    return places.join(met, places.columns, "left").withColumn("foldups", F.coalesce("foldups", F.lit(0)))
+    # A count depends on the place alone; repeated places get the same.
+    around = places.select("chrom", "pos").distinct().select("chrom", F.col("pos").alias("at"), (F.col("pos") - reach).alias("start"), (F.col("pos") + reach).alias("end"))
+    met = point_join(starts, around, width=max(256, reach)).groupBy("chrom", F.col("r_at").alias("pos")).agg(F.sum("k").alias("foldups"))
+    return places.join(met, ["chrom", "pos"], "left").select(*places.columns, F.coalesce("foldups", F.lit(0)).alias("foldups"))

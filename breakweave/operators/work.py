@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder from ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one, made once per session."""
+    """The folder from ``spark.checkpoint.dir``; where that is unset, on a local master only, a temporary one made once per session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("breakweave.work.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="breakweave-")
         spark.conf.set("breakweave.work.dir", folder)
     return folder.rstrip("/")

@@ -79,7 +79,7 @@ def _with_offsets(lengths: DataFrame) -> DataFrame:
 
 
 def _absolute(spark: SparkSession, d: str, catalog: DataFrame) -> DataFrame:
-    return genes(spark, d).join(F.broadcast(catalog), "chrom").select("gene", "chrom", "start", (F.col("start") + F.col("offset")).alias("abs_pos"))
+    return genes(spark, d).join(catalog, "chrom").select("gene", "chrom", "start", (F.col("start") + F.col("offset")).alias("abs_pos"))
 
 
 @query("""SELECT gene, chrom, "start", "start" + (SELECT coalesce(sum(len), 0) FROM (SELECT chrom, max("end") AS len FROM reads GROUP BY chrom) AS c WHERE c.chrom < genes.chrom)::BIGINT AS abs_pos FROM genes""")
@@ -218,11 +218,11 @@ def edge_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT a.v1, a.v2, CAST(count(*) AS BIGINT) AS n, CAST(sum(b.support) AS BIGINT) AS support FROM flows a JOIN flows b ON a.chrom1 = b.chrom1 AND a.chrom2 = b.chrom2 AND a.strand1 * a.strand2 * b.strand1 * b.strand2 > 0 AND abs(a.pos1 - b.pos1) + abs(a.pos2 - b.pos2) < 700 GROUP BY ALL""")
 def edge_similar(spark: SparkSession, d: str) -> DataFrame:
-    """Edges with similar ones, counted; the chromosomes are the join key."""
-    a = flows(spark, d)
-    b = a.select(*[F.col(c).alias(f"b_{c}") for c in a.columns])
+    """Edges with similar ones, counted; both chromosomes and cells of the first position are the join key."""
+    a = flows(spark, d).withColumn("cell", F.floor(F.col("pos1") / 700))
+    b = a.select(*[F.col(c).alias(f"b_{c}") for c in a.columns]).withColumn("cell", F.explode(F.sequence(F.col("b_cell") - 1, F.col("b_cell") + 1))).withColumnRenamed("cell", "near")
     six = lambda p: tuple(F.col(f"{p}{c}") for c in ("chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2"))
-    return a.join(b, E.similar(six(""), six("b_"), 700)).groupBy("v1", "v2").agg(F.count("*").alias("n"), F.sum("b_support").alias("support"))
+    return a.join(b, (F.col("cell") == F.col("near")) & E.similar(six(""), six("b_"), 700)).groupBy("v1", "v2").agg(F.count("*").alias("n"), F.sum("b_support").alias("support"))
 
 
 @query("""SELECT v1, v2, strand1, CASE WHEN strand1 = 1 THEN (CASE WHEN strand2 = 1 THEN 1 ELSE -1 END) ELSE (CASE WHEN strand2 = 1 THEN 1 ELSE -1 END) END AS strand2, chrom2, pos2, CASE WHEN support % 2 = 0 THEN 'CG' ELSE '' END AS inserted FROM flows""")
@@ -580,22 +580,38 @@ def crossing_arcs(spark: SparkSession, d: str) -> DataFrame:
     return P.discordant(all_reads).join(mates, near, "left_anti").groupBy("chrom", "strand").agg(F.count("*").alias("n"))
 
 
-def _numbered_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with a number made of their own values: names, places of both reads."""
-    p = disc_pairs(spark, d).dropDuplicates(["qname", "number", "m_number", "start", "m_start", "chrom", "m_chrom"])
-    return p.withColumn("pair", F.xxhash64("qname", "number", "m_number", "start", "m_start", "chrom", "m_chrom"))
+PAIR = ("qname", "number", "m_number", "chrom", "start", "end", "strand", "m_chrom", "m_start", "m_end", "m_strand")
+PAIR_SQL = "SELECT DISTINCT concat_ws('/', " + ", ".join(f'"{c}"' for c in PAIR) + ") AS pair, " + ", ".join(f'"{c}"' for c in PAIR) + " FROM pair_rows"
 
 
-@query()
+SHARED["cluster_ends"] = f"""SELECT pair, side, chrom, strand, sum(CASE WHEN f IS NULL OR "start" > f + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS cl FROM (
+        SELECT *, max("end") OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM (
+        SELECT pair, 0 AS side, chrom, strand, "start", "end" FROM ({PAIR_SQL}) AS x UNION ALL SELECT pair, 1, m_chrom, m_strand, m_start, m_end FROM ({PAIR_SQL}) AS y) AS s) AS t"""
+
+
+def _named_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct pairs with a name made of all their values."""
+    return disc_pairs(spark, d).select(F.concat_ws("/", *PAIR).alias("pair"), *PAIR).distinct()
+
+
+@query(f"""SELECT chrom AS chrom1, CASE WHEN strand = 1 THEN max("end") ELSE min("start") END AS pos1, strand AS strand1, m_chrom AS chrom2, CASE WHEN m_strand = 1 THEN max(m_end) ELSE min(m_start) END AS pos2, m_strand AS strand2,
+    CAST(count(*) AS BIGINT) AS support, CAST(count(DISTINCT ("start", "end")) AS BIGINT) AS spans1, CAST(count(DISTINCT (m_start, m_end)) AS BIGINT) AS spans2
+    FROM (SELECT q.*, a.cl AS c1, b.cl AS c2 FROM ({PAIR_SQL}) AS q JOIN cluster_ends AS a ON a.pair = q.pair AND a.side = 0 JOIN cluster_ends AS b ON b.pair = q.pair AND b.side = 1) AS g
+    GROUP BY chrom, strand, m_chrom, m_strand, c1, c2 HAVING count(*) >= CASE WHEN chrom = m_chrom AND strand = m_strand AND c1 = c2 THEN 4 ELSE 2 END AND count(DISTINCT ("start", "end")) >= 2 AND count(DISTINCT (m_start, m_end)) >= 2""")
 def pair_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Supported edges between clusters of read ends."""
-    return P.pair_edges(_numbered_pairs(spark, d), 200, 2)
+    return P.pair_edges(WorkTables(spark).save(_named_pairs(spark, d), "pairs"), 200, 2)
 
 
-@query()
+@query(f"""SELECT * FROM (WITH RECURSIVE p AS ({PAIR_SQL}),
+    u AS (SELECT a.pair AS a, b.pair AS b FROM p AS a JOIN p AS b ON a.chrom = b.chrom AND a.strand = b.strand AND a.m_chrom = b.m_chrom AND a.m_strand = b.m_strand AND abs(a."start" - b."start") < 200 AND abs(a.m_start - b.m_start) < 200),
+    r(node, seen) AS (SELECT a, b FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen),
+    m AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
+    SELECT root, CAST(count(*) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS members FROM m GROUP BY root HAVING count(*) >= 2) AS z""")
 def pair_components(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the groups of pairs near each other on both sides."""
-    return P.pair_components(_numbered_pairs(spark, d), 200, WorkTables(spark), least=2).groupBy("root", "size").agg(F.count("*").alias("members"))
+    tables = WorkTables(spark)
+    return P.pair_components(tables.save(_named_pairs(spark, d), "pairs"), 200, tables, least=2).groupBy("root", "size").agg(F.count("*").alias("members"))
 
 
 @query("""SELECT chrom, m_chrom, span, n FROM (SELECT *, count(*) OVER (PARTITION BY chrom, m_chrom) AS ties FROM (SELECT *, max(n) OVER (PARTITION BY chrom, m_chrom) AS most FROM (

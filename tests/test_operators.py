@@ -2,13 +2,14 @@
 
 import math
 import random
+import statistics
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from breakweave.functions import edges as E
-from breakweave.operators import clusters, graph, overlap, segmentation
+from breakweave.operators import clusters, coverage, graph, overlap, pairs, segmentation
 from breakweave.operators.components import connected_components
 from breakweave.operators.coverage import keep_share
 from breakweave.operators.pairs import modal_split, pair_components
@@ -186,3 +187,34 @@ def test_entry_without_training_operators(tmp_path):
 
     code = "import sys; sys.modules.update({'breakweave.llm': None, 'corpus_pipeline': None}); import importlib; e = importlib.import_module('__spark_entry__'); assert 'seeds_pipeline' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_repeated_and_null_rows_count_once_each(spark):
+    rows = [("c", 1, 100, "x", 1.0), ("c", 1, 100, "x", 1.0), ("c", 1, 100, None, 2.0), ("c", 500, 600, None, None), ("d", 1, 100, "y", 3.0)]
+    frame = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, name string, cn double")
+    half = spark.createDataFrame([("c", 51, 150, 0.5)], "chrom string, start bigint, end bigint, score double")
+    got = sorted(round(r.uniqueness, 6) for r in coverage.segdup_uniqueness(frame, half.drop("score")).collect())
+    assert got == [round(100 / 150, 6)] * 3 + [1.0] * 2
+    assert sorted(r.rep_content for r in coverage.weighted_mappability(frame, half).collect()) == [1.0, 1.0, 2.0, 2.0, 2.0]
+    pieces = sorted((r.chrom, r.start, r.end, r.name or "") for r in clusters.subtract(frame, half.drop("score")).collect())
+    assert pieces == [("c", 1, 51, ""), ("c", 1, 51, "x"), ("c", 1, 51, "x"), ("c", 500, 600, ""), ("d", 1, 100, "y")]
+    windows = spark.createDataFrame([("c", 0, 500), ("c", 1, 100)], "chrom string, win bigint, bases bigint")
+    covered = coverage.interval_coverage(frame, windows, 100).collect()
+    assert len(covered) == 5 and [(r.n_windows, r.depth) for r in covered if (r.chrom, r.start) == ("c", 1)] == [(2, 3.0)] * 3
+    places = spark.createDataFrame([("c", 10, None), ("c", 10, None), ("c", 90_000, "z")], "chrom string, pos bigint, name string")
+    pairs_ = spark.createDataFrame([("c", 5, 1, "c", 70, 1)], "chrom string, start bigint, strand int, m_chrom string, m_start bigint, m_strand int")
+    assert sorted(r.foldups for r in pairs.foldup_count(places, pairs_).collect()) == [0, 1, 1]
+
+
+def test_coverage_stats_equal_brute_force(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.choice([0, 1, 2, 3, 5, 8, 100, None])) for _ in range(301)]
+    frame = spark.createDataFrame(rows, "chrom string, bases bigint")
+    for keys in ([], ["chrom"]):
+        got = {tuple(r[k] for k in keys): r for r in coverage.coverage_stats(frame, "bases", keys).collect()}
+        for key in {tuple(c for c, _ in [row] if keys) for row in rows}:
+            own = sorted(v for c, v in rows if v is not None and (not keys or (c,) == key))
+            fine = [v for v in own if 0 < v < 5 * statistics.median(own)]
+            r = got[key]
+            assert (r.n_windows, r.median) == (len(fine), fine[len(fine) // 2])
+            assert abs(r["mean"] - statistics.fmean(fine)) < 1e-9 and abs(r.deviation - statistics.pstdev(fine)) < 1e-9
