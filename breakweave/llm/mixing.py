@@ -172,12 +172,11 @@ def fit_rates(cells: DataFrame, shares: np.ndarray, top: float) -> tuple[Column,
     best, least = None, math.inf
     for _ in range(1 if math.isinf(top) or not fillable[shares > 0].all() else 20):
         total, error = rates.fit(size * shares)
-        if error < least:
-            best, least = (rates.column(), size * shares, total), error
-        if error <= TOLERANCE:
-            break
+        if error <= TOLERANCE or error > 0.97 * least:  # met, or a smaller size no longer helps
+            return (rates.column(), size * shares, total) if error < least else best
+        best, least = (rates.column(), size * shares, total), error
         size *= 0.95  # soft posteriors: part of a scarce domain lies in documents that others must drop
-    return best or (rates.column(), size * shares, mass * min(1.0, top))
+    return best
 
 
 def _soft(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_rate: float, keep: Column, tables: WorkTables) -> tuple[DataFrame, Column, list[Column]]:
