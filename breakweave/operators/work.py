@@ -23,7 +23,7 @@ class WorkTables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/breakweave-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.held = 0, []
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -31,9 +31,17 @@ class WorkTables:
         frame.write.parquet(path)
         saved = self.spark.read.schema(frame.schema).parquet(path)
         saved.work_path = path
+        self.held.append(saved)
         return saved
 
     def drop(self, frame: DataFrame) -> None:
         """Delete a table that no later plan reads."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.work_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables but these."""
+        for frame in self.held:
+            if not any(frame is x for x in frames):
+                self.drop(frame)
+        self.held = list(frames)
