@@ -41,7 +41,7 @@ def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096, tables: WorkTables | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Defined cases: a null text is an empty text, and empty texts are equal to each other. Of equal texts
@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and text exactly one stays. An empty table gives an empty result. Other columns are ignored, so
     their names can't clash.
     """
-    tables = WorkTables(docs.sparkSession)
+    tables = tables or WorkTables(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
 
     salt = 0
@@ -98,6 +98,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = identities.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid")).alias("first"))
     # Written first: the adaptive planner splits a large group only where both sides of the join are plain tables.
     groups = tables.save(groups.where("group_size > 1"), "groups")
+    tables.keep(rows, identities, groups)
     copies = identities.select("rid", "level", "name").join(groups, ["level", "name"]).select("rid", "group_size", "first")
     return rows.select("rid", "doc_id", "text_sha256").join(copies, "rid", "left").select(
         "doc_id",
@@ -117,7 +118,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     smallest hash stays; very long texts are compared whole; an empty table gives an empty result.
     """
     tables = WorkTables(docs.sparkSession)
-    verdict = tables.save(exact_dedup(docs, id_col, text_col), "verdict")
+    verdict = tables.save(exact_dedup(docs, id_col, text_col, tables=tables), "verdict")
+    tables.keep(verdict)
     kept = verdict.where("kept").groupBy("doc_id", "text_sha256").agg(F.lit(True).alias("kept"))
     many = verdict.groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256", F.lit(True).alias("again"))
     keep = kept.join(many, kept["doc_id"].eqNullSafe(many["doc_id"]) & (kept["text_sha256"] == many["text_sha256"]), "left")

@@ -29,6 +29,8 @@ _STEP = 1 << 15
 #: The stage's similarity; its short fingerprints per text; the share of their bits in which similar texts may differ
 #: (0.15 is expected at 0.8, at most 0.19 for texts of a few shingles, and 0.25 is four deviations above that).
 SIMILARITY, PRINTS, MOST_APART = 0.8, 20, 0.25
+#: Fingerprints whose variants are shuffled at once.
+PRINTS_AT_ONCE = 5
 
 
 def text_fingerprint(text: str | None, words: int = 3) -> int:
@@ -173,9 +175,19 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Equal short fingerprints are one class, so that no group of copies emits its variants again and again.
     members = tables.save(nodes.select("node", F.explode("prints").alias("key")), "members")
     classes = tables.save(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")), "classes")
-    variants = classes.select("key", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(m)) for m in (0, *(1 << b for b in range(32)))])).alias("variant"))
+    # A variant travels with the place of the bit that was flipped (32: none), which is shorter than the key itself; some
+    # fingerprints at a time, so that only their variants are on disk at once.
+    flips = [*(1 << b for b in range(32)), 0]
+    key = F.col("variant").bitwiseXOR(F.get(F.array(*[F.lit(m).cast("bigint") for m in flips]), F.col("bit").cast("int")))
     here = Window.partitionBy("variant")  # at most one ball of 33 distinct keys
-    met = tables.save(variants.withColumn("head", F.min("key").over(here)).withColumn("last", F.max("key").over(here)).where("head <> last").select("variant", "key"), "met")
+    met = None
+    for at in range(0, count, PRINTS_AT_ONCE):
+        own = classes.where(F.shiftright("key", 32).between(at, at + PRINTS_AT_ONCE - 1))
+        variants = own.select(F.explode(F.array(*[F.struct(F.col("key").bitwiseXOR(F.lit(m)).alias("variant"), F.lit(b).cast("byte").alias("bit")) for b, m in enumerate(flips)])).alias("v")).select("v.*")
+        # The keys of one variant are distinct, so a count over 1 is a meeting.
+        near = variants.withColumn("n", F.count("*").over(here)).where("n > 1").select("variant", key.alias("key"))
+        near = tables.save(near, "met")
+        met = near if met is None else met.unionByName(near)
     links = met.select("variant", F.col("key").alias("a")).join(met.select("variant", F.col("key").alias("b")), "variant").where("a < b").select("a", "b").distinct()
     links = tables.save(links.unionByName(classes.where("low <> high").select(F.col("key").alias("a"), F.col("key").alias("b"))), "class-links")
 
@@ -216,6 +228,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("kept"))
     dropped = rows.select("id", "mark", "node").join(nodes.select("node", "first"), "node").join(roots, "node", "left").join(kept, "root", "left")
     dropped = tables.save(dropped.where(F.struct(F.col("id").isNull(), "id", "mark") != F.coalesce("kept", "first")).select("id", "mark").distinct(), "dropped")
+    tables.keep(dropped)
     # The row is one struct, so that none of its columns can clash with what is added here.
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own"), mark.alias("own_mark"))
     return whole.join(dropped, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")), "left_anti").select("row.*")
