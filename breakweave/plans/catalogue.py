@@ -36,9 +36,13 @@ def query(sql: str | None = None) -> Callable:
         QUERIES[f.__name__] = f
         if sql is not None:
             has = lambda name, text: re.search(rf"\b{name}\b", text)
-            derived = {n: t for n, t in SHARED.items() if has(n, sql)}
-            base = {n: t for n, t in SQL.items() if has(n, sql) or any(has(n, t2) for t2 in derived.values())}
-            used = ", ".join(f"{n} AS ({t})" for n, t in {**base, **derived}.items())
+            virtual, needed, texts = {**SQL, **SHARED}, set(), [sql]
+            while texts:  # a virtual table may name earlier ones
+                text = texts.pop()
+                fresh = {n for n in virtual if n not in needed and has(n, text)}
+                needed |= fresh
+                texts += [virtual[n] for n in fresh]
+            used = ", ".join(f"{n} AS ({t})" for n, t in virtual.items() if n in needed)
             ORACLES[f.__name__] = f"WITH {used} {sql}" if used else sql
         return f
 
@@ -594,10 +598,13 @@ def _named_pairs(spark: SparkSession, d: str) -> DataFrame:
     return disc_pairs(spark, d).select(F.concat_ws("/", *PAIR).alias("pair"), *PAIR).distinct()
 
 
-@query(f"""SELECT chrom AS chrom1, CASE WHEN strand = 1 THEN max("end") ELSE min("start") END AS pos1, strand AS strand1, m_chrom AS chrom2, CASE WHEN m_strand = 1 THEN max(m_end) ELSE min(m_start) END AS pos2, m_strand AS strand2,
+EDGE_SQL = f"""SELECT chrom AS chrom1, CASE WHEN strand = 1 THEN max("end") ELSE min("start") END AS pos1, strand AS strand1, m_chrom AS chrom2, CASE WHEN m_strand = 1 THEN max(m_end) ELSE min(m_start) END AS pos2, m_strand AS strand2,
     CAST(count(*) AS BIGINT) AS support, CAST(count(DISTINCT ("start", "end")) AS BIGINT) AS spans1, CAST(count(DISTINCT (m_start, m_end)) AS BIGINT) AS spans2
     FROM (SELECT q.*, a.cl AS c1, b.cl AS c2 FROM ({PAIR_SQL}) AS q JOIN cluster_ends AS a ON a.pair = q.pair AND a.side = 0 JOIN cluster_ends AS b ON b.pair = q.pair AND b.side = 1) AS g
-    GROUP BY chrom, strand, m_chrom, m_strand, c1, c2 HAVING count(*) >= CASE WHEN chrom = m_chrom AND strand = m_strand AND c1 = c2 THEN 4 ELSE 2 END AND count(DISTINCT ("start", "end")) >= 2 AND count(DISTINCT (m_start, m_end)) >= 2""")
+    GROUP BY chrom, strand, m_chrom, m_strand, c1, c2 HAVING count(*) >= CASE WHEN chrom = m_chrom AND strand = m_strand AND c1 = c2 THEN 4 ELSE 2 END AND count(DISTINCT ("start", "end")) >= 2 AND count(DISTINCT (m_start, m_end)) >= 2"""
+
+
+@query(EDGE_SQL)
 def pair_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Supported edges between clusters of read ends."""
     return P.pair_edges(WorkTables(spark).save(_named_pairs(spark, d), "pairs"), 200, 2)
@@ -655,48 +662,6 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return tiles.select(F.lit("sequence").alias("kind"), "chrom", F.col("start").alias("pos1"), F.col("end").alias("pos2")).unionByName(G.concordant_edges(tiles).select(F.lit("concordant").alias("kind"), "chrom", "pos1", "pos2"))
 
 
-def _small_graph(spark: SparkSession, d: str) -> DataFrame:
-    """One graph per contig: a tile per thousand-base stretch, joined to the next, closed through discordant arcs; counts from the reads."""
-    width = 2000
-    r = reads(spark, d).where("mapq > 5").withColumn("tile", F.floor(F.col("start") / width))
-    tiles = r.groupBy("chrom", "tile").agg(F.count("*").alias("n"))
-    name = lambda p, s: F.concat(F.col("chrom"), F.lit(":"), p.cast("string"), F.lit(s))
-    low, high = F.col("tile") * width, F.col("tile") * width + width - 1
-    flat = lambda f, kind, v1, v2, size, n: f.select(F.col("chrom").alias("amplicon"), F.concat(F.lit(kind[:1]), F.lit(":"), v1, F.lit(">"), v2).alias("edge"), F.lit(kind).alias("kind"), v1.alias("v1"), v2.alias("v2"), F.lit(size).cast("double").alias("size"), n.cast("double").alias("count"))
-    span = flat(tiles, "sequence", name(low, "-"), name(high, "+"), width, F.col("n"))
-    order = Window.partitionBy("chrom").orderBy("tile")
-    after = tiles.withColumn("next", F.lead("tile").over(order)).withColumn("m", F.lead("n").over(order)).where("next = tile + 1")
-    joined = flat(after, "concordant", name(high, "+"), name(high + 1, "-"), 0, F.least("n", "m"))
-    ends = tiles.groupBy("chrom").agg(F.min("tile").alias("tile"), F.max("tile").alias("last"), F.avg("n").alias("n"))
-    ring = flat(ends, "discordant", name(F.col("last") * width + width - 1, "+"), name(low, "-"), 0, F.col("n") / 3)
-    return span.unionByName(joined).unionByName(ring).withColumn("cost", F.when(F.col("kind") == "sequence", 20.0).otherwise(2.0))
-
-
-@query()
-def flow_constraints(spark: SparkSession, d: str) -> DataFrame:
-    return G.flow_constraints(_small_graph(spark, d))
-
-
-@query()
-def copy_number_solve(spark: SparkSession, d: str) -> DataFrame:
-    return G.copy_numbers(_small_graph(spark, d))
-
-
-def _solved(spark: SparkSession, d: str) -> DataFrame:
-    g = _small_graph(spark, d)
-    return g.join(G.copy_numbers(g), ["amplicon", "edge"])
-
-
-@query()
-def cycle_decompose(spark: SparkSession, d: str) -> DataFrame:
-    return G.decompose(_solved(spark, d))
-
-
-@query()
-def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return G.shortest_paths(_small_graph(spark, d).withColumn("cn", F.lit(1.0)))
-
-
 def _order_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Each order's items as a cycle of oriented segments."""
     items = F.array_sort(F.collect_list(F.struct("number", "start", F.col("part").cast("string").alias("seg"), F.col("strand").alias("orient"))))

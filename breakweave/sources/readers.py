@@ -110,3 +110,9 @@ def runs_of_codes(lines: DataFrame) -> DataFrame:
     rows = lines.select("chrom", "pos", score.alias("score")).where("score > 0")
     order = Window.partitionBy("chrom", "score").orderBy("pos")
     return rows.withColumn("run", F.col("pos") - F.row_number().over(order)).groupBy("chrom", "score", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).drop("run")
+
+
+def in_region(rows: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
+    """Rows (chrom, start, end, ...) that meet a region; its bounds may come in either order. Plain comparisons, so that they reach the scan."""
+    low, high = min(start, end), max(start, end)
+    return rows.where((F.col("chrom") == chrom) & (F.col("start") <= high) & (F.col("end") >= max(0, low)))

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import breakweave.plans.amplicons  # noqa: F401  (adds its queries)
 from breakweave.plans.catalogue import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
