@@ -204,3 +204,23 @@ def merge_cycles(first: Column, second: Column, i: int | Column, j: int | Column
     turned = F.transform(F.reverse(around), lambda s: F.struct(s["seg"].alias("seg"), (-s["orient"]).alias("orient")))
     same = F.element_at(first, F.lit(i))["orient"] == F.element_at(second, F.lit(j))["orient"]
     return F.concat(F.slice(first, F.lit(1), F.lit(i)), F.when(same, around).otherwise(turned), F.slice(first, F.lit(i) + 1, F.greatest(F.lit(0), F.size(first) - F.lit(i))))
+
+
+def merge_copies(first: Column, cn1: Column, second: Column, cn2: Column, i: int | Column, j: int | Column) -> Column:
+    """Two cycles merged at places i and j (from 1): ``segments, cn`` with as many copies as both have, and what is left of each (``first_rest, second_rest``).
+
+    Null if the segments at the two places differ, or if both cycles pass the source (segment 0).
+    """
+    passes = lambda c: F.exists(c, lambda s: s["seg"] == "0")
+    same = F.element_at(first, F.lit(i))["seg"] == F.element_at(second, F.lit(j))["seg"]
+    both = F.least(cn1, cn2)
+    return F.when(same & ~(passes(first) & passes(second)), F.struct(merge_cycles(first, second, i, j).alias("segments"), both.alias("cn"), (cn1 - both).alias("first_rest"), (cn2 - both).alias("second_rest")))
+
+
+def pivot_copies(segments: Column, cn: Column, i: int, j: int) -> Column:
+    """A cycle with what lies between two opposite passes of one segment (places i < j) turned round: ``segments, cn`` with all its copies, none left (``rest``).
+
+    Null if the places hold different segments or pass one the same way.
+    """
+    a, b = F.element_at(segments, i), F.element_at(segments, j)
+    return F.when((a["seg"] == b["seg"]) & (a["orient"] == -b["orient"]), F.struct(pivot_cycle(segments, i, j - 1).alias("segments"), cn.alias("cn"), F.lit(0.0).alias("rest")))

@@ -149,3 +149,28 @@ def meanshift_segments(series: DataFrame, alpha: float = 0.01) -> DataFrame:
         return pd.DataFrame({"chrom": frame["chrom"].iloc[0], "seg": range(len(starts)), "start_win": win[starts], "end_win": win[np.array(ends) - 1], "copy_number": [round(2 * float(depth[a:b].mean()) / middle, 6) for a, b in zip(starts, ends, strict=True)]})
 
     return series.select("chrom", "win", "depth").groupBy("chrom").applyInPandas(run, "chrom string, seg bigint, start_win bigint, end_win bigint, copy_number double")
+
+
+def refined_segments(coarse: DataFrame, fine: DataFrame, ratio: int, reach: int = 3) -> DataFrame:
+    """Segments of the ``coarse`` series with their bounds moved to bounds of the ``fine`` one: ``chrom, start, end, copy_number, start_refined, end_refined``.
+
+    Both are (chrom, win, depth); ``ratio`` fine windows make a coarse one, and places are in fine windows.
+    Fine windows are segmented only within ``reach`` coarse windows of a coarse bound, each run of such
+    windows by itself. A bound moves to the nearest fine bound that steps the same way and lies at most
+    two coarse windows away (ties: the first); without one it stays.
+    """
+    order = Window.partitionBy("chrom").orderBy("start_win")
+    rough = meanshift_segments(coarse, 0.0027).withColumn("before", F.lag("copy_number").over(order))
+    bounds = rough.where("before is not null").select("chrom", (F.col("start_win") * ratio).alias("pos"), F.signum(F.col("copy_number") - F.col("before")).alias("way"))
+    # A fine window is near a bound if its coarse window is; runs of near windows are series of their own.
+    near = bounds.select("chrom", F.explode(F.sequence(F.floor(F.col("pos") / ratio) - reach, F.floor(F.col("pos") / ratio) + reach - 1)).alias("k")).distinct()
+    runs = near.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("chrom").orderBy("k")))
+    series = fine.withColumn("k", F.floor(F.col("win") / ratio)).join(runs, ["chrom", "k"]).select(F.concat_ws("/", "chrom", "run").alias("chrom"), "win", "depth")
+    parts = meanshift_segments(series, 0.05).withColumn("before", F.lag("copy_number").over(order)).where("before is not null")
+    exact = parts.select(F.regexp_extract("chrom", "^(.*)/", 1).alias("chrom"), F.col("start_win").alias("at"), F.signum(F.col("copy_number") - F.col("before")).alias("way"))
+    met = bounds.join(exact, ["chrom", "way"]).where(F.abs(F.col("pos") - F.col("at")) <= 2 * ratio)
+    best = met.groupBy("chrom", "pos").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("at")), "at"))["at"].alias("at"))
+    placed = rough.select("chrom", "copy_number", (F.col("start_win") * ratio).alias("pos"), ((F.col("end_win") + 1) * ratio).alias("stop")).join(best, ["chrom", "pos"], "left")
+    along = Window.partitionBy("chrom").orderBy("pos")
+    start = F.coalesce("at", "pos")
+    return placed.select("chrom", start.alias("start"), (F.coalesce(F.lead(start).over(along), "stop") - 1).alias("end"), "copy_number", F.col("at").isNotNull().alias("start_refined"), F.coalesce(F.lead("at").over(along).isNotNull(), F.lit(False)).alias("end_refined"))

@@ -12,6 +12,7 @@ from ..operators import coverage as V
 from ..operators import graph as G
 from ..operators import overlap as O
 from ..operators import pairs as P
+from ..operators import segmentation as M
 from ..operators.components import connected_components
 from ..operators.work import WorkTables
 from ..sources import readers as R
@@ -156,6 +157,13 @@ def interval_hops(spark: SparkSession, d: str) -> DataFrame:
     return A.hops(seeds, edges(spark, d, tables), tables.save(_amplified(spark, d, tables), "amplified"), WIN, INSERT, merge=10 * WIN)
 
 
+@query()
+def meanshift_refined(spark: SparkSession, d: str) -> DataFrame:
+    """Copy-number segments of coarse windows, their bounds moved to those of windows of a fifth."""
+    series = lambda width: V.window_counts(reads(spark, d), width).select("chrom", "win", (F.col("bases") / width).alias("depth"))
+    return M.refined_segments(series(WIN), series(WIN // 5), 5)
+
+
 @query(f"""SELECT chrom, CAST(count(*) AS BIGINT) AS pieces, CAST(sum("end" - "start" + 1) AS BIGINT) AS span FROM ({_merge_sql('genes', 99)}) AS m GROUP BY chrom""")
 def compact_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Length of the genes per contig with gaps of less than 100 closed."""
