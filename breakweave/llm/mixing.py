@@ -161,7 +161,7 @@ def fit_rates(cells: DataFrame, shares: np.ndarray, top: float) -> tuple[Column,
 
     Without a bound on rates the corpus keeps its size; with one, the size is the largest that every
     domain can fill, found by lowering it from what the scarcest domain holds. Where no size will do, the
-    one stays at which the rates come nearest, and the residual shows.
+    one stays at which the sum of relative residuals is least, and the residual shows.
     """
     rates = Rates(cells, len(shares), top)
     mass = rates.totals([])[0] / min(1.0, top)
@@ -172,9 +172,11 @@ def fit_rates(cells: DataFrame, shares: np.ndarray, top: float) -> tuple[Column,
     best, least = None, math.inf
     for _ in range(1 if math.isinf(top) or not fillable[shares > 0].all() else 20):
         total, error = rates.fit(size * shares)
-        if error <= TOLERANCE or error > 0.97 * least:  # met, or a smaller size no longer helps
-            return (rates.column(), size * shares, total) if error < least else best
-        best, least = (rates.column(), size * shares, total), error
+        # All domains count: one that can't be met must not hide what a smaller size brings to the others.
+        apart = float(np.sum(np.abs(total - size * shares) / np.maximum(size * shares, 1.0)))
+        if error <= TOLERANCE or apart > 0.97 * least:  # met, or a smaller size no longer helps
+            return (rates.column(), size * shares, total) if error <= TOLERANCE or apart < least else best
+        best, least = (rates.column(), size * shares, total), apart
         size *= 0.95  # soft posteriors: part of a scarce domain lies in documents that others must drop
     return best
 
