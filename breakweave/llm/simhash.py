@@ -188,7 +188,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         near = variants.withColumn("n", F.count("*").over(here)).where("n > 1").select("variant", key.alias("key"))
         near = tables.save(near, "met")
         met = near if met is None else met.unionByName(near)
-    links = met.select("variant", F.col("key").alias("a")).join(met.select("variant", F.col("key").alias("b")), "variant").where("a < b").select("a", "b").distinct()
+    # Each key is linked to the smallest one on its variant; the other pairs there are looked at below, if still apart.
+    links = met.withColumn("head", F.min("key").over(here)).where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     links = tables.save(links.unionByName(classes.where("low <> high").select(F.col("key").alias("a"), F.col("key").alias("b"))), "class-links")
 
     # First only the ends of each class, as many pairs as members: they join most of every component.
@@ -218,8 +219,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = members.join(linked, "key").join(nodes.select("node", "prints"), "node").join(roots, "node", "left").select("key", "node", "prints", F.coalesce("root", "node").alias("root"))
     placed = tables.save(placed, "placed")
     parts = placed.select("key", "root").distinct()
-    near = links.where("a <> b").union(links.where("a <> b").select("b", "a")).union(linked.select("key", "key"))
-    met = near.join(parts.select(F.col("key").alias("a"), F.col("root").alias("ru")), "a").join(parts.select(F.col("key").alias("b"), F.col("root").alias("rv")), "b").where("ru < rv")
+    apart = met.join(parts, "key").withColumn("least", F.min("root").over(here)).withColumn("most", F.max("root").over(here)).where("least <> most")
+    apart = tables.save(apart.select("variant", "key", "root"), "apart")
+    one, other = [F.col("key").alias("a"), F.col("root").alias("ru")], [F.col("key").alias("b"), F.col("root").alias("rv")]
+    across = apart.select("variant", *one).join(apart.select("variant", *other), "variant").where("ru < rv").select("a", "b", "ru", "rv")
+    within = parts.select("key", *one).join(parts.select("key", *other), "key").where("ru < rv").select("a", "b", "ru", "rv")
+    met = across.unionByName(within).distinct()
     left = placed.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("prints").alias("pu"), F.col("root").alias("ru"))
     right = placed.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("prints").alias("pv"), F.col("root").alias("rv"))
     rest = met.join(left, ["a", "ru"]).join(right, ["b", "rv"]).where(_near("pu", "pv", count)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
