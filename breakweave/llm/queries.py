@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, language_id, mixing, packing, pii, quality, simhash, toxicity
+from . import ann, chat_format, exact_dedup, language_id, merkle, mixing, packing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise_documents(_table(spark, sf_dir, "documents"), spark.conf.get("breakweave.pii.key", "open key for synthetic tables").encode())
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_proofs(_table(spark, sf_dir, "documents"), tampered=merkle.without_breaks())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_chat_format, op5_language_id, op6_mixing, op7_ann, op8_packing, op9_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_chat_format, op5_language_id, op6_mixing, op7_ann, op8_packing, op9_quality, op10_pii, op11_merkle)}
 
 
 ORACLE_SQL = {
@@ -95,4 +99,46 @@ ORACLE_SQL = {
             CAST(3 + sum(size) AS BIGINT) AS formatted_chars
         FROM s GROUP BY conv_id
     """,
+    "op11_merkle": r"""
+        WITH RECURSIVE docs AS (
+            SELECT *, CASE WHEN hash_even THEN replace(text, chr(10), '') ELSE text END AS held FROM (
+                SELECT doc_id, source, lang, n_chars, text, coalesce(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) & 1 = 1, false) AS hash_even FROM documents)
+        ), leaves AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text::VARCHAR) || ':' || text::VARCHAR, '-')) AS leaf, sha256(head || coalesce(strlen(held::VARCHAR) || ':' || held::VARCHAR, '-')) AS held
+            FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source::VARCHAR) || ':' || source::VARCHAR, '-') || coalesce(strlen(lang::VARCHAR) || ':' || lang::VARCHAR, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head FROM docs)
+        ), ranked AS (
+            SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS rid,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n
+            FROM leaves
+        ), up AS (
+            SELECT source, 0 AS lvl, rank AS idx, leaf AS digest, n FROM ranked
+            UNION ALL
+            SELECT source, lvl + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY source, lvl, idx // 3, n
+        ), roots AS (
+            SELECT source, lvl AS depth, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER () AS n FROM up WHERE n = 1
+        ), top AS (
+            SELECT 0 AS lvl, s AS idx, subroot AS digest, n FROM roots
+            UNION ALL
+            SELECT lvl + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, idx // 3, n
+        ), nodes AS (  -- all nodes above leaves and subroots, the latter continuing each source's levels
+            SELECT s, lvl, idx, digest FROM up JOIN roots USING (source) WHERE up.source IS NOT NULL AND up.n > 1
+            UNION ALL SELECT s, lvl, idx, digest FROM up JOIN roots ON up.source IS NULL AND roots.source IS NULL WHERE up.n > 1
+            UNION ALL SELECT r.s, r.depth + t.lvl, t.idx, t.digest FROM roots r JOIN top t ON t.n > 1
+        ), sides AS (
+            SELECT a.s, a.lvl, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+                coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+            FROM nodes a JOIN nodes b ON a.s = b.s AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 GROUP BY ALL
+        ), climb AS (
+            SELECT k.rid, r.s, r.depth, 0 AS lvl, CASE WHEN r.depth = 0 THEN r.s ELSE k.rank END AS idx, k.held AS digest, '' AS proof
+            FROM ranked k JOIN roots r ON k.source IS NOT DISTINCT FROM r.source
+            UNION ALL
+            SELECT c.rid, c.s, c.depth, c.lvl + 1, CASE WHEN c.lvl + 1 = c.depth THEN c.s ELSE c.idx // 3 END, sha256(d.before || c.digest || d.after), c.proof || d.before || d.after
+            FROM climb c JOIN sides d ON c.s = d.s AND c.lvl = d.lvl AND c.idx = d.idx
+        ), ends AS (
+            SELECT rid, arg_max(digest, lvl) AS folded_root, arg_max(proof, lvl) AS proof FROM climb GROUP BY rid
+        )
+        SELECT k.doc_id, k.leaf, r.subroot, t.digest AS root, sha256(e.proof) AS proof_sha256, e.folded_root, e.folded_root = t.digest AS verified
+        FROM ranked k JOIN ends e USING (rid) JOIN roots r ON k.source IS NOT DISTINCT FROM r.source JOIN top t ON t.n = 1
+    """,
 }
