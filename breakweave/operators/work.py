@@ -25,10 +25,11 @@ class WorkTables:
         self.folder = f"{shared_folder(spark)}/breakweave-{uuid.uuid4().hex}"
         self.n, self.held = 0, []
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
+    def save(self, frame: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
+        """Write a table and return it as read again, partitioned into folders by ``partition_by``."""
         self.n += 1
         path = f"{self.folder}/{self.n:03d}-{name}"
-        frame.write.parquet(path)
+        frame.write.partitionBy(*partition_by).parquet(path, compression=codec)
         saved = self.spark.read.schema(frame.schema).parquet(path)
         saved.work_path = path
         self.held.append(saved)
