@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, language_id, merkle, mixing, packing, pii, quality, simhash, token_align, toxicity
+from . import ann, chat_format, exact_dedup, katz, language_id, merkle, mixing, packing, pii, quality, simhash, token_align, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,12 +68,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_proofs(_table(spark, sf_dir, "documents"), tampered=merkle.without_breaks())
 
 
+def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.cross_alignment(_table(spark, sf_dir, "documents"), spark.conf.get("breakweave.tokenizers", "/opt/tokenizers"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_chat_format, op5_language_id, op6_mixing, op7_ann, op8_packing, op9_quality, op10_pii, op11_merkle, op13_token_align)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_chat_format, op5_language_id, op6_mixing, op7_ann, op8_packing, op9_quality, op10_pii, op11_merkle, op12_katz, op13_token_align)}
 
 
 ORACLE_SQL = {
