@@ -209,6 +209,7 @@ KINDS: list[tuple[str, str, Callable[..., str | None]]] = [
     ("account", r"(?<![\d\-])\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}(?![\d\-])|(?<![\d\-])\d{13,19}(?!\d)", _number("account", luhn)),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\w\-])", _phone),
 ]
+_COMPILED = [(name, re.compile(p), change) for name, p, change in KINDS]
 _ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p, _) in enumerate(KINDS)))
 #: Every kind has a digit or an at sign; a text without any is left at once.
 _HINT = re.compile(r"[0-9@]")
@@ -218,20 +219,33 @@ def pseudonymise(text: str | None, key: bytes, undo: bool = False) -> tuple[str
     """The text with pseudonyms, and (kind, start, length) of each in the new text; lengths may change only for addresses."""
     if text is None or not _HINT.search(text):
         return text, []
-    out, spans, done, size = [], [], 0, 0
-    for m in _ANY.finditer(text):
-        kind, _, change = KINDS[int(m.lastgroup[1:])]
-        new = _changed(change, m.group(), key, undo)
+    out, spans, done, size, at = [], [], 0, 0, 0
+    while m := _ANY.search(text, at):
+        kind, end, new = _first_valid(text, m, key, undo)
         if new is None:
+            at = m.start() + 1  # what the failed match covers may hold other values
             continue
         out += [text[done : m.start()], new]
         size += m.start() - done
         spans.append((kind, size, len(new)))
         size += len(new)
-        done = m.end()
+        done = at = end
     return "".join(out) + text[done:], spans
 
 
+def _first_valid(text: str, m: re.Match, key: bytes, undo: bool) -> tuple[str, int, str | None]:
+    """Kind, end and pseudonym of the first kind that is valid at a match's start, in full or cut at one of its marks."""
+    for kind, pattern, change in _COMPILED[int(m.lastgroup[1:]) :]:
+        own = pattern.match(text, m.start())
+        while own:
+            new = _changed(change, own.group(), key, undo)
+            if new is not None:
+                return kind, own.end(), new
+            cut = max(own.group().rfind(c) for c in " .-")
+            own = pattern.match(text, m.start(), m.start() + cut) if cut > 0 else None
+    return "", m.end(), None
+
+
 @lru_cache(maxsize=20_000)
 def _changed(change: Callable[..., str | None], found: str, key: bytes, undo: bool) -> str | None:
     return change(found, key, undo)
@@ -243,7 +257,11 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id",
     ``text`` has pseudonyms in place of all personal data found, ``found`` is their number, ``kinds`` one
     (kind, start, length) each, by code points of the new text. Defined cases: a null text stays null and
     an empty one empty, with none found; values that fail validation (an impossible date, an octet over
-    255, a wrong check number or check digit) are no personal data and stay; null ids and repeated rows are handled like
+    255, a wrong check number or check digit) are no personal data and stay, but what they cover is searched
+    again, for shorter values of the kind and for other kinds; national numbers written with a leading 0, a 0
+    in brackets after the country code, and addresses of the longer internet protocol are not looked for; one-letter
+    parts of addresses have one of 26 pseudonyms; very long texts are read whole in time proportional to their length;
+    other columns are ignored, so their names can't clash; null ids and repeated rows are handled like
     any other row; an empty table gives an empty result.
     """
 

@@ -29,8 +29,9 @@ _STEP = 1 << 15
 #: The stage's similarity; its short fingerprints per text; the share of their bits in which similar texts may differ
 #: (0.15 is expected at 0.8, at most 0.19 for texts of a few shingles, and 0.25 is four deviations above that).
 SIMILARITY, PRINTS, MOST_APART = 0.8, 20, 0.25
-#: Fingerprints whose variants are shuffled at once.
-PRINTS_AT_ONCE = 5
+#: Fingerprints whose variants are shuffled at once. The first ones alone join most of every component, so that later
+#: ones meet in pairs only where texts are still apart.
+PRINTS_AT_ONCE = 4
 
 
 def text_fingerprint(text: str | None, words: int = 3) -> int:
@@ -146,19 +147,63 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _near(a: str, b: str, count: int) -> Column:
+def _near(a: str | Column, b: str | Column, most: int) -> Column:
     """Whether two rows of short fingerprints may belong to similar sets: a first filter, never the verdict."""
     apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return apart <= int(MOST_APART * 32 * count)
+    return apart <= most
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, count: int = PRINTS) -> DataFrame:
+def _class_links(classes: DataFrame, nodes: DataFrame, roots: DataFrame | None, most: int, tables: WorkTables) -> DataFrame:
+    """Pairs ``a, b`` (a < b) of ``classes``' keys (32-bit fingerprints) that differ in at most two bits, each once.
+
+    A variant's keys are one ball of at most 33, so they fit one array and are compared there. Left out are
+    keys whose texts are in one component already, and keys of one text each whose other fingerprints are
+    too far apart.
+    """
+    # A variant travels with the place of the bit that was flipped (32: none), which is shorter than the key itself.
+    flips = [*(1 << b for b in range(32)), 0]
+    key = F.col("variant").bitwiseXOR(F.get(F.array(*[F.lit(m).cast("bigint") for m in flips]), F.col("bit").cast("int")))
+    variants = classes.select(F.explode(F.array(*[F.struct(F.col("key").bitwiseXOR(F.lit(m)).alias("variant"), F.lit(b).cast("byte").alias("bit")) for b, m in enumerate(flips)])).alias("v")).select("v.*")
+    # The keys of one variant are distinct, so a count over 1 is a meeting.
+    met = variants.withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1").select("variant", key.alias("key"))
+    met = tables.save(met, "met")
+    known = met.select("key").distinct().join(classes, "key").join(nodes.select(F.col("node").alias("low"), "prints"), "low")
+    if roots is None:
+        known = known.withColumn("root", F.lit(None).cast("bigint"))
+    else:
+        known = known.join(roots.select(F.col("node").alias("low"), "root"), "low", "left")
+        known = known.join(roots.select(F.col("node").alias("high"), F.col("root").alias("other")), "high", "left")
+        # A class counts as one component only if both of its ends say so and no third text can differ.
+        known = known.withColumn("root", F.when(F.col("size") <= 2, F.when(F.col("low") == F.col("high"), F.coalesce("root", "low")).when(F.col("root") == F.col("other"), F.col("root"))))
+    known = tables.save(known.select("key", "root", F.when(F.col("low") == F.col("high"), F.col("prints")).alias("prints")), "known")
+    balls = met.join(known, "key").groupBy("variant").agg(F.collect_list(F.struct("key", "root", "prints")).alias("ball"))
+
+    def meets(x: Column, y: Column) -> Column:
+        apart = x["key"].bitwiseXOR(y["key"])
+        # Two keys meet on two variants; this one is the smaller key with the lowest differing bit flipped.
+        here = x["key"].bitwiseXOR(apart.bitwiseAND(-apart)) == F.col("variant")
+        split = F.coalesce(x["root"] != y["root"], F.lit(True))
+        return (x["key"] < y["key"]) & here & split & F.coalesce(_near(x["prints"], y["prints"], most), F.lit(True))
+
+    pairs = F.flatten(F.transform("ball", lambda x: F.transform(F.filter("ball", lambda y: meets(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
+    links = tables.save(balls.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), "links")
+    tables.drop(met)
+    tables.drop(known)
+    return links
+
+
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, count: int = PRINTS, most_apart: float = MOST_APART
+) -> DataFrame:
     """``docs`` reduced to one text of each near-duplicate component, the one with the smallest id.
 
     Texts are linked whose sets of distinct word shingles have a Jaccard similarity of ``similarity`` or
     more. Candidates come from ball hashing over ``count`` short fingerprints of 32 bits: each emits itself
     and its 32 neighbours, so two texts meet where one of their fingerprints differs in at most two bits.
-    Every candidate pair is compared exactly on the sets, unless its texts are in one component already.
+    Candidates that differ in more than ``most_apart`` of all fingerprint bits are left out (1: none is); every
+    other pair is compared exactly on the sets, unless its texts are in one component already. With texts'
+    number unrelated fingerprints of 32 bits meet more often, ``count`` times (33 n)^2 / 2^33 times in all;
+    such meetings end inside a variant's array, which holds 33 keys at most.
 
     Defined cases: texts with the same set of shingles are alike, so are texts without a word; rows with
     the same id and text stay together; different texts under one id are told apart; a null id is larger
@@ -172,34 +217,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "mark")).alias("first")
     nodes = tables.save(rows.groupBy("node").agg(first, F.any_value("prints").alias("prints")), "nodes")
 
-    # Equal short fingerprints are one class, so that no group of copies emits its variants again and again.
-    members = tables.save(nodes.select("node", F.explode("prints").alias("key")), "members")
-    classes = tables.save(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")), "classes")
-    # A variant travels with the place of the bit that was flipped (32: none), which is shorter than the key itself; some
-    # fingerprints at a time, so that only their variants are on disk at once.
-    flips = [*(1 << b for b in range(32)), 0]
-    key = F.col("variant").bitwiseXOR(F.get(F.array(*[F.lit(m).cast("bigint") for m in flips]), F.col("bit").cast("int")))
-    here = Window.partitionBy("variant")  # at most one ball of 33 distinct keys
-    met = None
-    for at in range(0, count, PRINTS_AT_ONCE):
-        own = classes.where(F.shiftright("key", 32).between(at, at + PRINTS_AT_ONCE - 1))
-        variants = own.select(F.explode(F.array(*[F.struct(F.col("key").bitwiseXOR(F.lit(m)).alias("variant"), F.lit(b).cast("byte").alias("bit")) for b, m in enumerate(flips)])).alias("v")).select("v.*")
-        # The keys of one variant are distinct, so a count over 1 is a meeting.
-        near = variants.withColumn("n", F.count("*").over(here)).where("n > 1").select("variant", key.alias("key"))
-        near = tables.save(near, "met")
-        met = near if met is None else met.unionByName(near)
-    links = met.select("variant", F.col("key").alias("a")).join(met.select("variant", F.col("key").alias("b")), "variant").where("a < b").select("a", "b").distinct()
-    links = tables.save(links.unionByName(classes.where("low <> high").select(F.col("key").alias("a"), F.col("key").alias("b"))), "class-links")
-
-    # First only the ends of each class, as many pairs as members: they join most of every component.
-    ends = links.join(classes.select(F.col("key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), "a").join(classes.select(F.col("key").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "b")
-    ends = ends.select(F.explode(F.array(*[F.struct(F.col(f"a_{x}").alias("u"), F.col(f"b_{y}").alias("v")) for x in ("low", "high") for y in ("low", "high")])).alias("p")).select("p.u", "p.v")
-    within = members.join(classes.where("low <> high"), "key").select(F.explode(F.array(F.struct(F.col("low").alias("u"), F.col("node").alias("v")), F.struct(F.col("high").alias("u"), F.col("node").alias("v")))).alias("p")).select("p.u", "p.v")
-    ends = ends.unionByName(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    most = int(most_apart * 32 * count)
+    everyone = tables.save(nodes.select("node", F.explode("prints").alias("key")), "members")
     prints = nodes.select("node", "prints")
-    ends = ends.join(prints.select(F.col("node").alias("u"), F.col("prints").alias("pu")), "u").join(prints.select(F.col("node").alias("v"), F.col("prints").alias("pv")), "v").where(_near("pu", "pv", count)).select("u", "v")
+    edges = roots = None
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs ``u, v`` that are similar and not in one component yet."""
+        if roots is not None:
+            pairs = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+            pairs = pairs.where(F.coalesce(F.col("ru") != F.col("rv"), F.lit(True))).select("u", "v")
         pairs = tables.save(pairs, "pairs")
         asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         wanted = nodes.join(asked, "node").select("node", "first.id", "first.mark")
@@ -208,22 +235,45 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
         shared = F.size(F.array_intersect("su", "sv"))
         good = both.where(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared))
-        return tables.save(good.select(F.col("u").alias("a"), F.col("v").alias("b")), "verified")
-
-    edges = verified(ends)
-    roots = tables.save(connected_components(edges, tables), "roots")
-    # Then every pair that met and is still in two components. Classes are matched by the components in them first,
-    # so that texts which are in one component already, the bulk of a large group of copies, are never paired.
-    linked = links.select(F.col("a").alias("key")).union(links.select("b")).union(classes.where("low <> high").select("key")).distinct()
-    placed = members.join(linked, "key").join(nodes.select("node", "prints"), "node").join(roots, "node", "left").select("key", "node", "prints", F.coalesce("root", "node").alias("root"))
-    placed = tables.save(placed, "placed")
-    parts = placed.select("key", "root").distinct()
-    near = links.where("a <> b").union(links.where("a <> b").select("b", "a")).union(linked.select("key", "key"))
-    met = near.join(parts.select(F.col("key").alias("a"), F.col("root").alias("ru")), "a").join(parts.select(F.col("key").alias("b"), F.col("root").alias("rv")), "b").where("ru < rv")
-    left = placed.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("prints").alias("pu"), F.col("root").alias("ru"))
-    right = placed.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("prints").alias("pv"), F.col("root").alias("rv"))
-    rest = met.join(left, ["a", "ru"]).join(right, ["b", "rv"]).where(_near("pu", "pv", count)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    roots = tables.save(connected_components(edges.unionByName(verified(rest)), tables), "roots")
+        good = tables.save(good.select(F.col("u").alias("a"), F.col("v").alias("b")), "verified")
+        tables.drop(sets)
+        return good
+
+    for at in range(0, count, PRINTS_AT_ONCE):
+        members = everyone.where(F.shiftright("key", 32).between(at, at + PRINTS_AT_ONCE - 1))
+        # Equal short fingerprints are one class, so that no group of copies emits its variants again and again.
+        classes = tables.save(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")), "classes")
+        links = _class_links(classes, nodes, roots, most, tables)
+
+        # First only the ends of each class, as many pairs as members: they join most of every component.
+        ends = links.join(classes.select(F.col("key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), "a").join(classes.select(F.col("key").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "b")
+        ends = ends.select(F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"a_{x}").alias("u"), F.col(f"b_{y}").alias("v")) for x in ("low", "high") for y in ("low", "high")]))).alias("p")).select("p.u", "p.v")
+        within = members.join(classes.where("low <> high"), "key").select(F.explode(F.array_distinct(F.array(F.struct(F.col("low").alias("u"), F.col("node").alias("v")), F.struct(F.col("high").alias("u"), F.col("node").alias("v"))))).alias("p")).select("p.u", "p.v")
+        ends = ends.unionByName(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        ends = ends.join(prints.select(F.col("node").alias("u"), F.col("prints").alias("pu")), "u").join(prints.select(F.col("node").alias("v"), F.col("prints").alias("pv")), "v").where(_near("pu", "pv", most)).select("u", "v")
+        good = verified(ends)
+        edges = good if edges is None else edges.unionByName(good)
+        roots = tables.save(connected_components(edges, tables), "roots")
+
+        # Then every pair of larger classes that met and is still in two components. Classes are matched by the components in
+        # them first, so that texts which are in one component already, the bulk of a large group of copies, are never paired.
+        many = classes.where("size > 1").select("key")
+        if many.limit(1).count():
+            wide = links.join(many.select(F.col("key").alias("a"), F.lit(1).alias("x")), "a", "left").join(many.select(F.col("key").alias("b"), F.lit(1).alias("y")), "b", "left").where("x is not null or y is not null").select("a", "b")
+            linked = wide.select(F.col("a").alias("key")).union(wide.select("b")).union(many).distinct()
+            placed = members.join(linked, "key").join(prints, "node").join(roots, "node", "left").select("key", "node", "prints", F.coalesce("root", "node").alias("root"))
+            placed = tables.save(placed, "placed")
+            parts = placed.select("key", "root").distinct()
+            near = wide.union(wide.select("b", "a")).union(many.select("key", "key"))
+            met = near.join(parts.select(F.col("key").alias("a"), F.col("root").alias("ru")), "a").join(parts.select(F.col("key").alias("b"), F.col("root").alias("rv")), "b").where("ru < rv")
+            left = placed.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("prints").alias("pu"), F.col("root").alias("ru"))
+            right = placed.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("prints").alias("pv"), F.col("root").alias("rv"))
+            rest = met.join(left, ["a", "ru"]).join(right, ["b", "rv"]).where(_near("pu", "pv", most)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            good = verified(rest)
+            if good.limit(1).count():
+                edges = edges.unionByName(good)
+                roots = tables.save(connected_components(edges, tables), "roots")
+            tables.drop(placed)
 
     kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("kept"))
     dropped = rows.select("id", "mark", "node").join(nodes.select("node", "first"), "node").join(roots, "node", "left").join(kept, "root", "left")

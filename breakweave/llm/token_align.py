@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,19 +38,45 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: How a byte-level tokenizer's file cuts a text before merging (a fixed value).
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_level(path: str) -> tuple[list[bytes], Callable[[list[str]], list[list[int]]]]:
+    """The tokens' bytes by id of a byte-level tokenizer's file, and its encoder of texts without special tokens.
+
+    A file whose ids follow the order of its merges is the same as ranks, which encode several times faster;
+    any other one is read by the library that the file was made for.
+    """
+    import json
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    of, names = _byte_of_char(), [whole.id_to_token(k) for k in range(whole.get_vocab_size())]
+    tokens = [bytes(of[c] for c in name) for name in names]
+    with open(path, encoding="utf-8") as file:
+        kept = json.load(file)
+    vocabulary, merges, special = kept["model"]["vocab"], [x if isinstance(x, list) else x.split(" ") for x in kept["model"]["merges"]], {x["content"] for x in kept["added_tokens"]}
+    by_rank = kept["normalizer"] is None and kept["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    by_rank = by_rank and all(vocabulary["".join(x)] == 256 + k for k, x in enumerate(merges))
+    if not by_rank:
+        return tokens, lambda texts: [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    encoder = tiktoken.Encoding("ranks", pat_str=CUTS, mergeable_ranks={tokens[k]: k for name, k in vocabulary.items() if name not in special}, special_tokens={})
+    return tokens, lambda texts: [encoder.encode_ordinary(t) for t in texts]
+
+
 class Pair:
     """Both tokenizers with the bytes and the decimal names of their tokens."""
 
     def __init__(self, folder: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        self.first = Tokenizer.from_file(f"{folder}/{FIRST}")
-        self.first.encode_special_tokens = True
+        self.bytes_a, self.first = byte_level(f"{folder}/{FIRST}")
         self.second = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{SECOND}")
-        of = _byte_of_char()
-        self.bytes_a = [bytes(of[c] for c in self.first.id_to_token(k)) for k in range(self.first.get_vocab_size())]
         names = [self.second.id_to_piece(k) for k in range(self.second.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.second.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
@@ -58,10 +84,10 @@ class Pair:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of both, for blank + text; empty where a text is empty or an encoding loses bytes."""
-        firsts = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        firsts = self.first([" " + t for t in texts])
         seconds = self.second.encode(texts, num_threads=1)
-        for text, x, b in zip(texts, firsts, seconds, strict=True):
-            a, whole = x.ids, b" " + text.encode()
+        for text, a, b in zip(texts, firsts, seconds, strict=True):
+            whole = b" " + text.encode()
             same = text and b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
             yield (a, b) if same else ([], [])
 
