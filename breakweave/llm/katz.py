@@ -12,8 +12,9 @@ exactly one over all words, the unknown one included. No task holds a level: buc
 that are longer than a bucket are dealt over several by their next word, and their parts are added up in
 a second, small step.
 
-Words and n-grams are named by 64-bit hashes. The lowest level is the smoothed unigram distribution
-(c + 0.1) / (N + 0.1 (V + 1)), one unknown word included.
+Words are named by 64-bit hashes until the first level has numbered them, longer n-grams by the numbers of
+their context and their last word. The lowest level is the smoothed unigram distribution
+(c + 0.1) / (N + 0.1 (V + 1)), one unknown word included. Lists of numbers travel as compressed bytes.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ DISCOUNTED, ADDED = 5, 0.1
 FOLDS, HELD_OUT = 10, 0
 SEED = 42
 
-_BLOCK = "block bigint, words array<bigint>, idx array<int>, docs array<struct<doc_id:bigint,held:boolean,size:int>>"
-_ASK = "bucket bigint, block bigint, keys array<bigint>, ctx array<bigint>, runs array<int>, counts array<int>, lower array<double>"
-_TELL = "kind string, bucket bigint, block bigint, keys array<bigint>, counts array<bigint>, total array<bigint>, types array<int>, mass array<double>"
+_BLOCK = "block bigint, words binary, idx binary, docs array<struct<doc_id:bigint,held:boolean,size:int>>"
+_ASK = "bucket bigint, block bigint, ctx binary, runs binary, keys binary, counts binary, lower binary"
+_TELL = "kind string, bucket bigint, block bigint, keys binary, ids binary, counts binary, total binary, types binary, mass binary"
+_LISTS = ("keys", "ids", "counts", "total", "types", "mass")
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -48,13 +50,40 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
 
-#: No word has a blank or a line break.
-START, END = word_hash(b" "), word_hash(b"\n")
+#: No word has a line break.
+END = word_hash(b"\n")
+#: The number of the place before a text, in a block and in all.
+START = (1 << 40) - 1
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A list of numbers as bytes: whole numbers in as few bytes as the largest needs, the first bytes of all, then the second ones; others by their distinct values."""
+    if x.dtype.kind == "f":
+        values, codes = np.unique(x, return_inverse=True)
+        head = packed(codes)
+        return b"f" + len(head).to_bytes(8, "little") + head + pa.compress(values.tobytes(), "zstd", asbytes=True) + (8 * len(values)).to_bytes(8, "little")
+    low = int(x.min()) if len(x) else 0
+    rest = (x - x.dtype.type(low)).astype(np.uint64)
+    width = max(1, -(-int(rest.max()).bit_length() // 8)) if len(x) else 1
+    planes = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return b"i" + bytes([width]) + len(x).to_bytes(8, "little") + (low % (1 << 64)).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """What ``packed`` was given, whole numbers as 64 bits."""
+    if data[:1] == b"f":
+        size = int.from_bytes(data[1:9], "little")
+        values = pa.decompress(data[9 + size : -8], int.from_bytes(data[-8:], "little"), "zstd", asbytes=True)
+        return np.frombuffer(values, np.float64)[unpacked(data[9 : 9 + size])]
+    width, n, low = data[1], int.from_bytes(data[2:10], "little"), np.uint64(int.from_bytes(data[10:18], "little"))
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[18:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return (out.view(np.uint64).ravel() + low).view(np.int64)
 
 
 def _mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
-    """A 64-bit name for pairs of 64-bit names."""
-    z = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64)
+    """A 64-bit hash of pairs of numbers, for dealing them to buckets."""
+    z = np.asarray(a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b).astype(np.uint64)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
@@ -95,8 +124,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         hashes = np.fromiter((END if w is None else word_hash(w) for w in known), np.uint64, len(known))
         words, place = np.unique(hashes, return_inverse=True)
         block = TaskContext.get().partitionId() << 33 | number
-        at = place[np.array(idx, np.int64)].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([words.view(np.int64)], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int32())), pa.array([docs], docs_type)], ["block", "words", "idx", "docs"])
+        at = place[np.array(idx, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed(words)]), pa.array([packed(at)]), pa.array([docs], docs_type)], ["block", "words", "idx", "docs"])
 
     for batch in batches:
         for key, held, text in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -111,25 +140,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield row()
 
 
-def _column(table: pa.Table, name: str, dtype: type) -> np.ndarray:
-    """All values of a list column, one row after the other (null: no values)."""
-    parts = [np.asarray(x.flatten()) for x in table.column(name).chunks]
-    return np.concatenate(parts).astype(dtype, copy=False) if parts else np.zeros(0, dtype)
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    """All numbers of a packed column, one row after the other (null: none)."""
+    parts = [unpacked(x.as_py()) for x in table.column(name) if x.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 class Level:
-    """The distinct n-grams of one length in a block, in the order in which they are sent and answered."""
+    """The distinct n-grams of one length in a block, in the order in which they are sent and answered: by bucket, context and word."""
 
-    def __init__(self, grams: np.ndarray, ctx: np.ndarray | None, spread: np.ndarray | None, buckets: int):
+    def __init__(self, grams: np.ndarray, ctx: np.ndarray, word: np.ndarray, spread: np.ndarray, buckets: int):
         own, first, self.inverse = np.unique(grams, return_index=True, return_inverse=True)
-        if ctx is None:
-            ctx, bucket, hot = np.zeros(len(own), np.uint64), _mix(own) % np.uint64(buckets), np.zeros(len(own), bool)
-        else:
-            ctx, spread = ctx[first], spread[first]
-            hot = spread > 1
-            bucket = _mix(ctx, np.where(hot, 1 + _mix(own) % spread, 0)) % np.uint64(buckets)
-        order = np.lexsort((own, ctx, bucket))
-        self.order, self.first, self.grams, self.ctx, self.bucket, self.hot = order, first[order], own[order], ctx[order], bucket[order], hot[order]
+        ctx, word, spread = ctx[first], word[first], spread[first]
+        hot = spread > 1
+        bucket = _mix(ctx, np.where(hot, 1 + _mix(word) % spread.astype(np.uint64), np.uint64(0))) % np.uint64(buckets)
+        order = np.lexsort((word, ctx, bucket))
+        self.order, self.first, self.ctx, self.word, self.bucket, self.hot = order, first[order], ctx[order], word[order], bucket[order], hot[order]
         changed = np.ones(len(order), bool)
         changed[1:] = (self.bucket[1:] != self.bucket[:-1]) | (self.ctx[1:] != self.ctx[:-1])
         self.run_starts = np.flatnonzero(changed)
@@ -142,57 +168,81 @@ class Level:
         return back[self.inverse]
 
 
+def _first_asks(model: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks send their words with counts. Words are sorted by hash and buckets are ranges of hashes, so answers come back in the words' order."""
+    buckets = model["buckets"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, idx, docs in zip(*(batch.column(c) for c in ("block", "words", "idx", "docs")), strict=True):
+                words, idx = unpacked(words.as_py()).view(np.uint64), unpacked(idx.as_py())
+                docs = pa.Table.from_struct_array(docs.values)
+                learned = np.repeat(~np.asarray(docs["held"].combine_chunks()), np.asarray(docs["size"]))
+                own = np.bincount(idx[learned], minlength=len(words))
+                bucket = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+                for k in np.flatnonzero(np.diff(cuts)):
+                    a, b = cuts[k], cuts[k + 1]
+                    yield _ask(int(k), block.as_py(), keys=words[a:b], counts=own[a:b])
+
+    return run
+
+
 class Block:
     """One block's tokens, and what the levels answered so far say about them."""
 
     def __init__(self, row: pa.Table, order: int, model: dict):
-        self.words = np.asarray(row.column("words")[0].values).view(np.uint64)
-        idx = np.asarray(row.column("idx")[0].values)
+        idx = unpacked(row.column("idx")[0].as_py())
         self.docs = pa.Table.from_struct_array(row.column("docs")[0].values)
         sizes = np.asarray(self.docs["size"]).astype(np.int64)
         self.number, self.model, self.order = row.column("block")[0].as_py(), model, order
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         doc = np.repeat(np.arange(len(sizes)), sizes)
         self.learned = ~np.asarray(self.docs["held"].combine_chunks())[doc]
-        # order - 1 starts come before every text.
-        self.at = np.arange(len(idx)) + (order - 1) * (doc + 1)
-        self.text = np.full(len(idx) + (order - 1) * len(sizes), START, np.uint64)
-        self.text[self.at] = self.words[idx]
-        self.grams = [self.text]
-        for _ in range(order - 1):
-            longer = self.text.copy()
-            longer[1:] = _mix(self.grams[-1][:-1], self.text[1:])
-            self.grams.append(longer)
-        self.counts, self.chance = [], []
+        self.idx, self.words = idx, int(idx.max()) + 1
+        # One place before every text, whose n-grams are all the start.
+        self.at = np.arange(len(idx)) + doc + 1
+        self.size = len(idx) + len(sizes)
+        self.counts, self.ids, self.grams, self.chance = [], [], [], []
+
+    def _padded(self, values: np.ndarray, start: int) -> np.ndarray:
+        """Values of all tokens, with ``start`` before every text, seen from the token after."""
+        out = np.full(self.size, start, np.int64)
+        out[self.at] = values
+        return out[self.at - 1]
 
     def level(self, n: int) -> Level:
-        own = self.grams[n - 1][self.at]
-        if n == 1:
-            return Level(own, None, None, self.model["buckets"])
-        seen = np.full(len(self.text), self.model["texts"], np.int64)  # before a text: as often as there are texts
-        seen[self.at] = self.counts[n - 2]
-        return Level(own, self.grams[n - 2][self.at - 1], 1 + seen[self.at - 1] // self.model["spread"], self.model["buckets"])
+        """Level n > 1: contexts are the n-grams of the level before that end one token earlier."""
+        before = self._padded(self.grams[n - 2], -1) + 1  # their numbers within the block; texts' starts share one
+        self._local = before * self.words + self.idx
+        seen = self._padded(self.counts[n - 2], self.model["texts"])  # before a text: as often as there are texts
+        return Level(self._local, self._padded(self.ids[n - 2], START), self.ids[0], 1 + seen // self.model["spread"], self.model["buckets"])
 
     def read(self, n: int, told: pa.Table) -> None:
         """Take the answers of level ``n``: counts and probabilities of all tokens."""
-        level = self.level(n)
         kinds, levels = told.column("kind").to_numpy(), told.column("level").to_numpy()
-        counts = told.filter(pa.array((kinds == "count") & (levels == n))).sort_by("bucket")
-        seen = _column(counts, "counts", np.int64)
-        self.counts.append(level.to_tokens(seen))
+        answers = told.filter(pa.array((kinds == "count") & (levels == n))).sort_by("bucket")
+        seen, ids = _column(answers, "counts"), _column(answers, "ids")
         if n == 1:
+            self.counts.append(seen[self.idx])
+            self.ids.append(ids[self.idx])
+            self.grams.append(self.idx)
             self.chance.append((self.counts[0] + ADDED) / (self.model["tokens"] + ADDED * (self.model["words"] + 1)))
             return
-        total, types, mass = (_column(counts, c, t) for c, t in (("total", np.int64), ("types", np.int64), ("mass", np.float64)))
+        level = self.level(n)
+        self.counts.append(level.to_tokens(seen))
+        self.grams.append(level.inverse)
+        if n < self.order:
+            self.ids.append(level.to_tokens(ids))
+        total, types, mass = (_column(answers, c) for c in ("total", "types", "mass"))
         types = types.reshape(-1, DISCOUNTED)
         hot = told.filter(pa.array((kinds == "hot-count") & (levels == n)))
         if len(hot):
-            keys = _column(hot, "keys", np.int64).view(np.uint64)
+            keys = _column(hot, "keys")
             by = np.argsort(keys)
             where = level.hot[level.run_starts]
             place = by[np.searchsorted(keys[by], level.ctx[level.run_starts][where])]
-            total[where], mass[where] = _column(hot, "total", np.int64)[place], _column(hot, "mass", np.float64)[place]
-            types[where] = _column(hot, "types", np.int64).reshape(-1, DISCOUNTED)[place]
+            total[where], mass[where], types[where] = _column(hot, "total")[place], _column(hot, "mass")[place], _column(hot, "types").reshape(-1, DISCOUNTED)[place]
         discount = self.model[f"discount{n}"]
         rest, size = backoff(total, types, discount)
         weight = np.where(total > 0, rest / np.maximum(1 - mass, 1e-15), 1.0)
@@ -203,26 +253,25 @@ class Block:
     def asks(self, n: int) -> Iterator[pa.RecordBatch]:
         """Rows for the buckets: the distinct n-grams with counts of the texts learned from and their lower-order probability."""
         level = self.level(n)
-        own = np.bincount(level.inverse, weights=self.learned, minlength=len(level.order)).astype(np.int32)[level.order]
-        lower = np.zeros(len(own)) if n == 1 else self.chance[n - 2][level.first]
+        own = np.bincount(level.inverse, weights=self.learned, minlength=len(level.order)).astype(np.int64)[level.order]
+        lower = self.chance[n - 2][level.first]
         ends = np.append(level.run_starts, len(own))
-        runs = np.diff(ends).astype(np.int32) * np.where(level.hot[level.run_starts], -1, 1).astype(np.int32)
+        runs = np.diff(ends) * np.where(level.hot[level.run_starts], -1, 1)
         ctx = level.ctx[level.run_starts]
-        cuts = np.flatnonzero(np.diff(level.bucket, prepend=level.bucket[:1] + np.uint64(1))) if len(own) else []
+        cuts = np.flatnonzero(np.append(True, level.bucket[1:] != level.bucket[:-1]))
         for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
             x, y = np.searchsorted(level.run_starts, [a, b])
-            yield _ask(int(level.bucket[a]), self.number, level.grams[a:b], ctx[x:y], runs[x:y], own[a:b], lower[a:b])
+            yield _ask(int(level.bucket[a]), self.number, ctx=ctx[x:y], runs=runs[x:y], keys=level.word[a:b], counts=own[a:b], lower=lower[a:b])
         hot = np.unique(ctx[runs < 0])
         home = _mix(hot) % np.uint64(self.model["buckets"])
         for bucket in np.unique(home):
-            yield _ask(int(bucket), self.number, hot[home == bucket])
+            yield _ask(int(bucket), self.number, keys=hot[home == bucket])
 
 
-def _ask(bucket: int, block: int, keys: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.float64())]
-    more = [x.view(np.int64) if x.dtype == np.uint64 else x for x in more]
-    rest = [pa.array([x], t) for x, t in zip(more, kinds, strict=True)] if more else [pa.nulls(1, t) for t in kinds]
-    return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([block]), pa.array([keys.view(np.int64)], pa.list_(pa.int64())), *rest], ["bucket", "block", "keys", "ctx", "runs", "counts", "lower"])
+def _ask(bucket: int, block: int, **lists: np.ndarray) -> pa.RecordBatch:
+    names = ("ctx", "runs", "keys", "counts", "lower")
+    arrays = [pa.array([packed(lists[c]) if c in lists else None], pa.binary()) for c in names]
+    return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([block]), *arrays], ["bucket", "block", *names])
 
 
 def backoff(total: np.ndarray, types: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,55 +286,87 @@ def backoff(total: np.ndarray, types: np.ndarray, discount: np.ndarray) -> tuple
 
 
 def _tell(kind: str, bucket: int, block: int | None, **lists: np.ndarray) -> pa.RecordBatch:
-    types = {"keys": pa.int64(), "counts": pa.int64(), "total": pa.int64(), "types": pa.int32(), "mass": pa.float64()}
-    arrays = [pa.array([lists[c]], pa.list_(t)) if c in lists else pa.nulls(1, pa.list_(t)) for c, t in types.items()]
-    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), *arrays], ["kind", "bucket", "block", *types])
-
-
-def _count(rows: pa.Table, buckets: int) -> pa.Table:
-    """One bucket: add up the n-grams of all blocks and answer each block."""
-    bucket = rows.column("bucket")[0].as_py()
-    whole = np.asarray(rows.column("counts").is_valid())
-    asked, rows = rows.filter(pa.array(~whole)), rows.filter(pa.array(whole))
-    out = [_tell("ask", bucket, block.as_py(), keys=np.asarray(keys.values)) for block, keys in zip(asked.column("block"), asked.column("keys"), strict=True)]
-    if not len(rows):
+    arrays = [pa.array([packed(lists[c]) if c in lists else None], pa.binary()) for c in _LISTS]
+    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), *arrays], ["kind", "bucket", "block", *_LISTS])
+
+
+def _rows(rows: pa.Table) -> Iterator[tuple]:
+    """Bucket's rows as (block, ctx, runs, keys, counts, lower), unpacked one by one."""
+    for block, *lists in zip(*(rows.column(c) for c in ("block", "ctx", "runs", "keys", "counts", "lower")), strict=True):
+        yield block.as_py(), *(unpacked(x.as_py()) if x.is_valid else None for x in lists)
+
+
+def _having(total: np.ndarray) -> np.ndarray:
+    return np.array([int(total.sum()), int((total > 0).sum()), *(int((total == r).sum()) for r in range(1, DISCOUNTED + 2))])
+
+
+def _count_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """One bucket of words: add up their counts over all blocks, number them, and answer each block."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        asked = [(block, keys.view(np.uint64), counts) for block, _, _, keys, counts, _ in _rows(rows)]
+        own, at = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([c for _, _, c in asked]), minlength=len(own)).astype(np.int64)
+        out, a = [_tell("sums", bucket, None, counts=_having(total)), _tell("table", bucket, None, keys=own, counts=total)], 0
+        for block, keys, _ in asked:
+            mine = at[a : a + len(keys)]
+            out.append(_tell("count", bucket, block, counts=total[mine], ids=mine * buckets + bucket))
+            a += len(keys)
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _count(buckets: int, number: bool) -> Callable[[pa.Table], pa.Table]:
+    """One bucket of longer n-grams: add them up over all blocks, and answer each block with counts and its contexts' sums."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, out, asked = rows.column("bucket")[0].as_py(), [], []
+        for block, ctx, runs, keys, counts, lower in _rows(rows):
+            if ctx is None:
+                out.append(_tell("ask", bucket, block, keys=keys))
+            else:
+                asked.append((block, ctx, runs, keys, counts, lower))
+        if not asked:
+            return pa.Table.from_batches(out)
+        joined = lambda k: np.concatenate([x[k] for x in asked])
+        runs = joined(2)
+        known, run = np.unique(joined(1), return_inverse=True)
+        own, first, at = np.unique(np.repeat(run, np.abs(runs)) << 40 | joined(3), return_index=True, return_inverse=True)
+        of, total, lower = own >> 40, np.bincount(at, weights=joined(4), minlength=len(own)).astype(np.int64), joined(5)[first]
+        seen = total > 0
+        size = np.bincount(of, weights=total, minlength=len(known)).astype(np.int64)
+        types = np.stack([np.bincount(of[total == r], minlength=len(known)) for r in range(1, DISCOUNTED + 1)], axis=1)
+        mass = np.bincount(of[seen], weights=lower[seen], minlength=len(known))
+        out.append(_tell("sums", bucket, None, counts=_having(total)))
+        out.append(_tell("table", bucket, None, keys=known[of[seen]], ids=own[seen] & START, counts=total[seen]))
+        a = x = 0
+        for block, ctx, _, keys, _, _ in asked:
+            r, mine = run[x : x + len(ctx)], at[a : a + len(keys)]
+            ids = {"ids": mine * buckets + bucket} if number else {}
+            out.append(_tell("count", bucket, block, counts=total[mine], total=size[r], types=types[r].ravel(), mass=mass[r], **ids))
+            a, x = a + len(keys), x + len(ctx)
+        for k in np.unique(run[runs < 0]):  # this bucket's part of contexts that are dealt over several
+            home = int((_mix(known[k : k + 1]) % np.uint64(buckets))[0])
+            out.append(_tell("hot", home, None, keys=known[k : k + 1], total=size[k : k + 1], types=types[k], mass=mass[k : k + 1]))
         return pa.Table.from_batches(out)
-    keys, runs, ctx, lower = _column(rows, "keys", np.int64).view(np.uint64), _column(rows, "runs", np.int64), _column(rows, "ctx", np.int64).view(np.uint64), _column(rows, "lower", np.float64)
-    own, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(at, weights=_column(rows, "counts", np.float64), minlength=len(own)).astype(np.int64)
-    known, run = np.unique(ctx, return_inverse=True)
-    of = np.repeat(run, np.abs(runs))[first]
-    seen = total > 0
-    size = np.bincount(of, weights=total, minlength=len(known)).astype(np.int64)
-    types = np.stack([np.bincount(of[total == r], minlength=len(known)) for r in range(1, DISCOUNTED + 1)], axis=1).astype(np.int32)
-    mass = np.bincount(of[seen], weights=lower[first][seen], minlength=len(known))
-    having = [int((total == r).sum()) for r in range(1, DISCOUNTED + 2)]
-    out.append(_tell("sums", bucket, None, counts=np.array([int(total.sum()), int(seen.sum()), *having], np.int64)))
-    a = x = 0
-    lengths = [len(k) for k in rows.column("keys")]
-    parts = [len(k) for k in rows.column("ctx")]
-    for block, n, m in zip(rows.column("block"), lengths, parts, strict=True):
-        r = run[x : x + m]
-        out.append(_tell("count", bucket, block.as_py(), counts=total[at[a : a + n]], total=size[r], types=types[r].ravel(), mass=mass[r]))
-        a, x = a + n, x + m
-    for k in np.unique(run[runs < 0]):  # this bucket's part of contexts that are dealt over several
-        home = int((_mix(known[k : k + 1]) % np.uint64(buckets))[0])
-        out.append(_tell("hot", home, None, keys=known[k : k + 1].view(np.int64), total=size[k : k + 1], types=types[k], mass=mass[k : k + 1]))
-    return pa.Table.from_batches(out)
+
+    return run
 
 
 def _hot(rows: pa.Table) -> pa.Table:
     """Add up the parts of contexts that were dealt over several buckets, and answer the blocks that asked."""
     kinds = rows.column("kind").to_numpy()
     parts, asked = rows.filter(pa.array(kinds == "hot")), rows.filter(pa.array(kinds == "ask"))
-    known, at = np.unique(_column(parts, "keys", np.int64), return_inverse=True)
-    total = np.bincount(at, weights=_column(parts, "total", np.float64), minlength=len(known)).astype(np.int64)
-    mass = np.bincount(at, weights=_column(parts, "mass", np.float64), minlength=len(known))
-    each = _column(parts, "types", np.int64).reshape(-1, DISCOUNTED)
-    types = np.stack([np.bincount(at, weights=each[:, r], minlength=len(known)) for r in range(DISCOUNTED)], axis=1).astype(np.int32)
+    known, at = np.unique(_column(parts, "keys"), return_inverse=True)
+    total = np.bincount(at, weights=_column(parts, "total"), minlength=len(known)).astype(np.int64)
+    mass = np.bincount(at, weights=_column(parts, "mass"), minlength=len(known))
+    each = _column(parts, "types").reshape(-1, DISCOUNTED)
+    types = np.stack([np.bincount(at, weights=each[:, r], minlength=len(known)) for r in range(DISCOUNTED)], axis=1).astype(np.int64)
     out = []
     for block, bucket, keys in zip(asked.column("block"), asked.column("bucket"), asked.column("keys"), strict=True):
-        keys = np.asarray(keys.values)
+        keys = unpacked(keys.as_py())
         x = np.searchsorted(known, keys)
         out.append(_tell("hot-count", bucket.as_py(), block.as_py(), keys=keys, total=total[x], types=types[x].ravel(), mass=mass[x]))
     return pa.Table.from_batches(out) if out else _tell("none", 0, None).schema.empty_table()
@@ -301,6 +382,18 @@ def _scores(block: Block, order: int) -> Iterator[pa.RecordBatch]:
     yield from pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).to_batches()
 
 
+def _summed(rows: DataFrame) -> list[int]:
+    """Element-wise sums of the buckets' counts: tokens, n-grams seen, and how many were seen once, twice and so on."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(range(DISCOUNTED + 3), pa.int32()), pa.array(unpacked(x.as_py()), pa.int64())], ["k", "n"])
+
+    found = {r["k"]: r["n"] for r in rows.select("counts").mapInArrow(spread, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    return [found.get(k, 0) for k in range(DISCOUNTED + 3)]
+
+
 def _read(row: pa.Table, answers: pa.Table, order: int, model: dict, upto: int) -> Block:
     block = Block(row, order, model)
     for n in range(1, upto + 1):
@@ -308,17 +401,6 @@ def _read(row: pa.Table, answers: pa.Table, order: int, model: dict, upto: int)
     return block
 
 
-def _first_asks(order: int, model: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    model = dict(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield from Block(pa.Table.from_batches([batch.slice(k, 1)]), order, model).asks(1)
-
-    return run
-
-
 def _next_asks(order: int, model: dict, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     model = dict(model)
     return lambda row, answers: pa.Table.from_batches(_read(row, answers, order, model, n - 1).asks(n))
@@ -344,23 +426,23 @@ def katz_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_co
     tables = WorkTables(docs.sparkSession)
     held = F.coalesce(fold(F.col(id_col), FOLDS) == HELD_OUT, F.lit(False))
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
-    blocks = tables.save(source.mapInArrow(lambda b: _blocks(b, block_tokens), _BLOCK), "blocks", codec="zstd")
+    blocks = tables.save(source.mapInArrow(lambda b: _blocks(b, block_tokens), _BLOCK), "blocks", codec="uncompressed")
     size = blocks.select(F.explode("docs").alias("d")).agg(F.sum("d.size").alias("tokens"), F.count_if(~F.col("d.held")).alias("texts")).first()
     model = {"buckets": max(1, -(-(size["tokens"] or 0) // bucket_tokens)), "texts": size["texts"], "spread": spread, "tokens": 0, "words": 0}
     told = None
 
-    buckets = model["buckets"]
+    buckets, numbers = model["buckets"], blocks.drop("words")
 
     for n in range(1, order + 1):
         if told is None:
-            asked = blocks.mapInArrow(_first_asks(order, model), _ASK)
+            asked = blocks.mapInArrow(_first_asks(model), _ASK)
+            counted = asked.groupBy("bucket").applyInArrow(_count_words(buckets), _TELL)
         else:
-            asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_next_asks(order, model, n), _ASK)
-        counted = asked.groupBy("bucket").applyInArrow(lambda rows: _count(rows, buckets), _TELL)
+            asked = numbers.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_next_asks(order, model, n), _ASK)
+            counted = asked.groupBy("bucket").applyInArrow(_count(buckets, n < order), _TELL)
         # The kinds are folders of their own, so that each reader opens only its part of the level.
-        counted = tables.save(counted, f"level-{n}", partition_by=("kind",))
-        sums = counted.where("kind = 'sums'").agg(*[F.sum(F.col("counts")[k]) for k in range(DISCOUNTED + 3)]).first()
-        sums = [x or 0 for x in sums]
+        counted = tables.save(counted, f"level-{n}", partition_by=("kind",), codec="uncompressed")
+        sums = _summed(counted.where("kind = 'sums'"))
         if n == 1:
             model |= {"tokens": sums[0], "words": sums[1]}
         model[f"discount{n}"] = good_turing(sums[2:])
@@ -371,4 +453,4 @@ def katz_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_co
         answers = answers.withColumn("level", F.lit(n))
         told = answers if told is None else told.unionByName(answers)
 
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_last(order, model), _SCORES)
+    return numbers.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_last(order, model), _SCORES)
