@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class WorkTables:
+    """Tables of one call. Results are read from them later, so they stay until ``close``; ``release`` closes all of a session."""
+
+    made: ClassVar[list[WorkTables]] = []
+
     def __init__(self, spark: SparkSession):
+        WorkTables.made.append(self)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/breakweave-{uuid.uuid4().hex}"
         self.n, self.held = 0, []
@@ -35,6 +41,13 @@ class WorkTables:
         self.held.append(saved)
         return saved
 
+    def write_text(self, lines: DataFrame, name: str) -> str:
+        """Write lines of text (one string column) and return the folder."""
+        self.n += 1
+        path = f"{self.folder}/{self.n:03d}-{name}"
+        lines.write.text(path)
+        return path
+
     def drop(self, frame: DataFrame) -> None:
         """Delete a table that no later plan reads."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.work_path)
@@ -46,3 +59,16 @@ class WorkTables:
             if not any(frame is x for x in frames):
                 self.drop(frame)
         self.held = list(frames)
+
+    def close(self) -> None:
+        """Delete the whole folder, once no result is read any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.held = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the work tables of all calls in this session; frames returned by them can't be read afterwards."""
+    for tables in [t for t in WorkTables.made if t.spark is spark]:
+        tables.close()
+        WorkTables.made.remove(tables)

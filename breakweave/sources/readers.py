@@ -116,3 +116,21 @@ def in_region(rows: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """Rows (chrom, start, end, ...) that meet a region; its bounds may come in either order. Plain comparisons, so that they reach the scan."""
     low, high = min(start, end), max(start, end)
     return rows.where((F.col("chrom") == chrom) & (F.col("start") <= high) & (F.col("end") >= max(0, low)))
+
+
+def sam(lines: DataFrame) -> DataFrame:
+    """Text alignments: ``qname, flag, chrom, pos`` (from 0), ``mapq, cigar, mate_chrom, mate_pos, template_length, bases, tags``; header lines are left out.
+
+    A file is split wherever Spark splits text, as each line stands for itself.
+    """
+    f = F.split("value", "\t")
+    rows = lines.where(~F.col("value").startswith("@") & (F.size(f) >= 11))
+    return rows.select(
+        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("bigint") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),
+        F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("mate_chrom"), (f[7].cast("bigint") - 1).alias("mate_pos"), f[8].cast("bigint").alias("template_length"), f[9].alias("bases"),
+        F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.lit(0), F.size(f) - 11)), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))).alias("tags"),
+    )
+
+
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    return sam(_lines(spark, path))

@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-import breakweave.plans.amplicons  # noqa: F401  (adds its queries)
+import breakweave.plans.amplicons
+import breakweave.plans.structures  # noqa: F401  (add their queries)
 from breakweave.plans.catalogue import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
