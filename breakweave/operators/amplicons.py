@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.edges import vertex_text
 from ..functions.sequences import reverse_complement
+from .arcs import crossing_arcs, outside_reads
 from .breakpoints import concordant_support
 from .clusters import label_clusters, merge_clusters
 from .graph import concordant_edges, sequence_edges
@@ -111,13 +112,19 @@ def hops(seeds: DataFrame, edges: DataFrame, amplified: DataFrame, width: int, m
     return label_clusters(kept, 1).groupBy("chrom", "cluster").agg(F.first("seed").alias("seed"), F.first("place").alias("place"), F.min("start").alias("start"), F.max("end").alias("end")).select("seed", F.col("place").alias("chrom"), "start", "end")
 
 
-def amplicon_graph(intervals: DataFrame, edges: DataFrame, reads: DataFrame, proper_pairs: DataFrame, max_insert: int, read_length: int, depth: float, tables: WorkTables) -> DataFrame:
+def amplicon_graph(
+    intervals: DataFrame, edges: DataFrame, reads: DataFrame, proper_pairs: DataFrame, max_insert: int, read_length: int, depth: float, tables: WorkTables, shifts: DataFrame | None = None, mated: DataFrame | None = None
+) -> DataFrame:
     """The breakpoint graph of every amplicon: ``amplicon, edge, kind, v1, v2, size, count, cost``.
 
     ``intervals`` (amplicon, chrom, start, end) are disjoint. They are cut where edges start or end; tiles
     are sequence edges with the reads over them, touching tiles are joined with the pairs spanning
     the cut, edges between two places of one amplicon are discordant edges. What leaves an amplicon hangs
     on the source: the interval bounds, and edges with one end outside. An edge given in both directions counts once.
+
+    ``shifts`` (chrom, pos, strand; ``bare_shifts``) cut intervals too and hang on the source. With ``mated`` (reads with their
+    mates' places) bounds and shifts have as count the reads on their strand whose mate is in no interval: within
+    an insert length inside a bound, within two around a shift.
     """
     text = lambda k: vertex_text(F.col(f"chrom{k}"), F.col(f"pos{k}"), F.col(f"strand{k}"))
     once = distinct_edges(edges.select(*[f"{c}{k}" for k in (1, 2) for c in ("chrom", "pos", "strand")], "support").withColumn("v1", text(1)).withColumn("v2", text(2)))
@@ -129,6 +136,11 @@ def amplicon_graph(intervals: DataFrame, edges: DataFrame, reads: DataFrame, pro
     inner = F.coalesce(F.col("a1") == F.col("a2"), F.lit(False))
     cuts = ends.select("amplicon", F.col("span").alias("chrom"), F.when(F.col("strand") == 1, F.col("pos")).otherwise(F.col("pos") - 1).alias("pos"))
     cuts = cuts.unionByName(iv.select("amplicon", F.col("span").alias("chrom"), F.explode(F.array(F.col("start") - 1, F.col("end"))).alias("pos")))
+    if shifts is not None:
+        points = shifts.select(F.col("chrom"), "pos", "strand", F.when(F.col("strand") == 1, F.col("pos")).otherwise(F.col("pos") - 1).alias("cut"))
+        inside = point_join(points, iv, width=4096).where("cut >= r_start and cut < r_end")
+        shifts = tables.save(inside.select(F.col("r_amplicon").alias("amplicon"), F.col("r_span").alias("span"), "chrom", "pos", "strand", "cut"), "shifts")
+        cuts = cuts.unionByName(shifts.select("amplicon", F.col("span").alias("chrom"), F.col("cut").alias("pos")))
     tiles = tables.save(sequence_edges(cuts), "tiles")
     chrom = F.regexp_extract("chrom", r"^(.*):", 1)
     zero = F.lit(0).cast("bigint")
@@ -147,7 +159,16 @@ def amplicon_graph(intervals: DataFrame, edges: DataFrame, reads: DataFrame, pro
     discordant = row(sides.where(inner).withColumnRenamed("a1", "amplicon"), "discordant", F.col("v1"), F.col("v2"), zero, F.col("support"))
     outer = sides.where(~inner)
     loose = outer.where("a1 is not null").select(F.col("a1").alias("amplicon"), F.col("v1").alias("at"), "support").unionByName(outer.where("a2 is not null").select(F.col("a2").alias("amplicon"), F.col("v2").alias("at"), "support"))
-    bounds = iv.select("amplicon", F.explode(F.array(vertex_text(F.col("chrom"), F.col("start"), F.lit(-1)), vertex_text(F.col("chrom"), F.col("end"), F.lit(1)))).alias("at"), zero.alias("support"))
+    low = lambda x: F.greatest(F.lit(0), x)
+    spot = lambda at, strand, start, end: F.struct(vertex_text(F.col("chrom"), at, F.lit(strand)).alias("at"), F.lit(strand).alias("strand"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+    bounds = iv.select("amplicon", "chrom", F.explode(F.array(spot(F.col("start"), -1, F.col("start"), F.col("start") + max_insert), spot(F.col("end"), 1, low(F.col("end") - max_insert), F.col("end")))).alias("x")).select("amplicon", "chrom", "x.*")
+    if shifts is not None:
+        bounds = bounds.unionByName(shifts.select("amplicon", "chrom", vertex_text(F.col("chrom"), F.col("pos"), F.col("strand")).alias("at"), "strand", low(F.col("pos") - 2 * max_insert).alias("start"), (F.col("pos") + 2 * max_insert).alias("end")))
+    if mated is None:
+        bounds = bounds.select("amplicon", "at", zero.alias("support"))
+    else:
+        outside = tables.save(outside_reads(mated, iv), "outside")
+        bounds = crossing_arcs(bounds, outside).select("amplicon", "at", F.col("arcs").alias("support"))
     source = row(loose.unionByName(bounds).groupBy("amplicon", "at").agg(F.sum("support").alias("support")), "source", F.lit(SOURCE), F.col("at"), zero, F.col("support"))
 
     haploid = depth / 2

@@ -13,6 +13,7 @@ from ..operators import graph as G
 from ..operators import overlap as O
 from ..operators import pairs as P
 from ..operators import segmentation as M
+from ..operators.arcs import bare_shifts
 from ..operators.components import connected_components
 from ..operators.work import WorkTables
 from ..sources import readers as R
@@ -215,15 +216,17 @@ SHARED["graph_rows"] = f"""SELECT *, left(kind, 1) || ':' || v1 || '>' || v2 AS
         UNION ALL SELECT amplicon, chrom || ':' || "start" || '-', 0 FROM spans JOIN amps USING (span) UNION ALL SELECT amplicon, chrom || ':' || "end" || '+', 0 FROM spans JOIN amps USING (span)) AS o GROUP BY amplicon, tip) AS g"""
 
 
-def _graph(spark: SparkSession, d: str) -> DataFrame:
+def _graph(spark: SparkSession, d: str, shifts: DataFrame | None = None, mated: DataFrame | None = None) -> DataFrame:
     """Merged genes, grouped to amplicons by the edges between them, as breakpoint graphs; written once."""
     tables = WorkTables(spark)
     found = edges(spark, d, tables)
+    if shifts is not None:
+        shifts = bare_shifts(shifts, found, INSERT, WIN)
     spans = tables.save(C.merge_clusters(genes(spark, d).where("size_class >= 20").select("chrom", "start", "end")).select("chrom", "start", "end", F.concat_ws(":", "chrom", F.col("start").cast("string")).alias("span")), "spans")
     tip = lambda k: O.point_join(found.select("edge", F.col(f"chrom{k}").alias("chrom"), F.col(f"pos{k}").alias("pos")), spans, width=4096).select("edge", F.col("r_span").alias("ab"[k - 1]))
     roots = connected_components(tip(1).join(tip(2), "edge").select("a", "b").distinct(), tables)
     named = spans.join(roots, spans["span"] == roots["node"], "left").select(F.coalesce("root", "span").alias("amplicon"), "chrom", "start", "end")
-    return tables.save(A.amplicon_graph(tables.save(named, "intervals"), found, reads(spark, d), proper_pairs(spark, d), INSERT, READ, DEPTH, tables), "graph")
+    return tables.save(A.amplicon_graph(tables.save(named, "intervals"), found, reads(spark, d), proper_pairs(spark, d), INSERT, READ, DEPTH, tables, shifts, mated), "graph")
 
 
 @query("""SELECT amplicon, edge, kind, v1, v2, size, "count", round(cost, 6) AS cost FROM graph_rows""")

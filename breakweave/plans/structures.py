@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import long_reads as L
 from ..operators import shifts as H
+from ..operators.runs import with_neighbours
 from ..operators.work import WorkTables
 from ..sources import readers as R
-from .bindings import SQL, table
+from .amplicons import INSERT, _graph
+from .bindings import SQL, reads, table
 from .catalogue import SHARED, WIN, query, windows
 
 # --- long reads -------------------------------------------------------------------------------------
@@ -69,8 +71,6 @@ def _shift_bounds(spark: SparkSession, d: str, tables: WorkTables) -> tuple[Data
     """Coverage per window, and the windows where it begins or ceases to be half above the mean."""
     w = tables.save(windows(spark, d).select("chrom", "win", "bases"), "windows")
     high = w.join(w.agg((F.sum("bases") / F.count("*") * 1.5).alias("bound"))).select("chrom", "win", (F.col("bases") > F.col("bound")).alias("high"))
-    from ..operators.runs import with_neighbours
-
     return w, with_neighbours(high, "chrom", "win", ["high"]).where("before.high <> high").select("chrom", "win")
 
 
@@ -91,3 +91,37 @@ def shift_merge(spark: SparkSession, d: str) -> DataFrame:
     tables = WorkTables(spark)
     w, bounds = _shift_bounds(spark, d, tables)
     return H.merge_shifts(w, bounds, "bases", ALPHA, tables).withColumnRenamed("at", "place")
+
+
+# --- graphs with shifts -----------------------------------------------------------------------------
+
+#: Every read with the place of the next read of its name; the last one's mate counts as unmapped.
+SHARED["mated"] = """SELECT chrom, "start", "end", strand, lead(chrom) OVER w AS m_chrom, lead("start") OVER w AS m_start FROM reads WINDOW w AS (PARTITION BY qname ORDER BY number, part, "start", "end", chrom, strand)"""
+SHARED["bare"] = f"""SELECT chrom, CASE WHEN was THEN pos ELSE pos + 1 END AS pos, CASE WHEN was THEN 1 ELSE -1 END AS strand, pos AS cut FROM (SELECT chrom, win * {WIN} - 1 AS pos, lag(high) OVER (PARTITION BY chrom ORDER BY win) AS was, high FROM shift_series) AS f
+    WHERE high <> was AND NOT EXISTS (SELECT 1 FROM edge_rows AS e WHERE e.chrom1 = f.chrom AND e.strand1 * (CASE WHEN was THEN 1 ELSE -1 END) > 0 AND abs(e.pos1 - f.pos) < {INSERT + WIN})"""
+SHARED["bare_in"] = """SELECT b.*, s.span FROM bare AS b JOIN spans AS s ON s.chrom = b.chrom AND b.cut >= s."start" AND b.cut < s."end\""""
+SHARED["tiles_shifted"] = SHARED["tiles"].replace("FROM tips UNION ALL", "FROM tips UNION ALL SELECT span, cut FROM bare_in UNION ALL")
+SHARED["outside"] = """SELECT * FROM mated AS m WHERE NOT EXISTS (SELECT 1 FROM spans AS s WHERE s.chrom = m.m_chrom AND m.m_start BETWEEN s."start" AND s."end")"""
+SHARED["spots"] = f"""SELECT span, chrom, "start" AS pos, -1 AS strand, "start" AS a, "start" + {INSERT} AS b FROM spans UNION ALL SELECT span, chrom, "end", 1, greatest(0, "end" - {INSERT}), "end" FROM spans UNION ALL SELECT span, chrom, pos, strand, greatest(0, pos - {2 * INSERT}), pos + {2 * INSERT} FROM bare_in"""
+SHARED["arcs"] = """SELECT s.span, s.chrom || ':' || s.pos || CASE WHEN s.strand = 1 THEN '+' ELSE '-' END AS tip, count(o.chrom) AS support FROM spots AS s LEFT JOIN outside AS o ON o.chrom = s.chrom AND o.strand = s.strand AND o."start" <= s.b AND o."end" >= s.a GROUP BY ALL"""
+_BOUNDS = """UNION ALL SELECT amplicon, chrom || ':' || "start" || '-', 0 FROM spans JOIN amps USING (span) UNION ALL SELECT amplicon, chrom || ':' || "end" || '+', 0 FROM spans JOIN amps USING (span)"""
+assert _BOUNDS in SHARED["graph_rows"]
+SHARED["shifted_rows"] = SHARED["graph_rows"].replace("FROM tiles", "FROM tiles_shifted").replace(_BOUNDS, "UNION ALL SELECT amplicon, tip, support FROM arcs JOIN amps USING (span)")
+
+
+def _mated(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("qname").orderBy("number", "part", "start", "end", "chrom", "strand")  # one read name's alignments
+    return reads(spark, d).select("chrom", "start", "end", "strand", F.lead("chrom").over(order).alias("m_chrom"), F.lead("start").over(order).alias("m_start"))
+
+
+def _shifts(spark: SparkSession, d: str, tables: WorkTables) -> DataFrame:
+    """Where coverage begins or ceases to be half above the mean: the last place before, and whether it falls."""
+    w = tables.save(windows(spark, d).select("chrom", "win", "bases"), "windows")
+    high = w.join(w.agg((F.sum("bases") / F.count("*") * 1.5).alias("bound"))).select("chrom", "win", (F.col("bases") > F.col("bound")).alias("high"))
+    return with_neighbours(high, "chrom", "win", ["high"]).where("before.high <> high").select("chrom", (F.col("win") * WIN - 1).alias("pos"), F.when(F.col("before.high"), 1).otherwise(-1).alias("drop"))
+
+
+@query("""SELECT amplicon, edge, kind, v1, v2, size, "count", round(cost, 6) AS cost FROM shifted_rows""")
+def amplicon_graph_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """The amplicons' graphs, cut also at shifts that no edge explains; bounds and shifts count the reads that lead out of all intervals."""
+    return _graph(spark, d, _shifts(spark, d, WorkTables(spark)), _mated(spark, d)).withColumn("cost", F.round("cost", 6))
