@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import foldbacks as D
 from ..operators import long_reads as L
 from ..operators import shifts as H
 from ..operators.runs import with_neighbours
@@ -125,3 +126,28 @@ def _shifts(spark: SparkSession, d: str, tables: WorkTables) -> DataFrame:
 def amplicon_graph_shifts(spark: SparkSession, d: str) -> DataFrame:
     """The amplicons' graphs, cut also at shifts that no edge explains; bounds and shifts count the reads that lead out of all intervals."""
     return _graph(spark, d, _shifts(spark, d, WorkTables(spark)), _mated(spark, d)).withColumn("cost", F.round("cost", 6))
+
+
+# --- fold-backs -------------------------------------------------------------------------------------
+
+FOLD_READ, FOLD_INSERT, FOLD_SUPPORT = 1500, 12_000, 2
+SHARED["fold_pairs"] = """SELECT a.chrom || '/' || a.strand AS edge, a.qname, a.strand, a."start", a."end", b."start" AS m_start, b."end" AS m_end, CASE WHEN a.strand = 1 THEN a."end" ELSE -a."start" END AS x, CASE WHEN a.strand = 1 THEN b."end" ELSE -b."start" END AS y,
+    a.chrom, (CASE WHEN a.strand = 1 THEN a."start" = b."start" ELSE a."end" = b."end" END) OR a.part % 10 = 0 OR b.part % 10 = 0 AS inverted FROM reads AS a JOIN reads AS b ON a.qname = b.qname AND a.number < b.number AND a.chrom = b.chrom AND a.strand = b.strand"""
+SHARED["fold_near"] = f"""SELECT *, count(DISTINCT CASE WHEN NOT inverted THEN qname END) OVER (PARTITION BY edge) AS names, sum(CASE WHEN inverted THEN 1 ELSE 0 END) OVER (PARTITION BY edge) AS n_inverted FROM (SELECT *, max(x) OVER (PARTITION BY edge) AS tip1, max(y) OVER (PARTITION BY edge) AS tip2 FROM fold_pairs) AS t WHERE abs(tip1 - tip2) <= {FOLD_READ}"""
+SHARED["fold_kept"] = f"""SELECT *, count(*) OVER (PARTITION BY edge ORDER BY x RANGE BETWEEN {FOLD_INSERT - 2 * FOLD_READ - 1} PRECEDING AND CURRENT ROW) AS dense FROM fold_near WHERE NOT inverted AND names >= {FOLD_SUPPORT}"""
+SHARED["fold_dense"] = f"""SELECT *, count(*) OVER (PARTITION BY edge) AS n, max(x) OVER (PARTITION BY edge) AS t1, max(y) OVER (PARTITION BY edge) AS t2 FROM (SELECT k.*, a.anchor FROM fold_kept AS k JOIN (SELECT edge, max(x) AS anchor FROM (SELECT *, max(dense) OVER (PARTITION BY edge) AS most FROM fold_kept) AS m WHERE dense = most GROUP BY edge) AS a USING (edge)) AS d
+    WHERE x <= anchor AND x > anchor - {FOLD_INSERT - 2 * FOLD_READ}"""
+SHARED["fold_bad"] = f"""SELECT DISTINCT edge, qname FROM fold_dense WHERE n >= {FOLD_SUPPORT} AND (greatest(CASE WHEN strand = 1 THEN "start" ELSE -"end" END, CASE WHEN strand = 1 THEN m_start ELSE -m_end END) > t1
+    OR t1 - CASE WHEN strand = 1 THEN "start" ELSE -"end" END + t2 - CASE WHEN strand = 1 THEN m_start ELSE -m_end END > {FOLD_INSERT})"""
+SHARED["fold_edges"] = f"""SELECT edge, chrom, strand, CAST(t1 * strand AS BIGINT) AS pos1, CAST(t2 * strand AS BIGINT) AS pos2, CAST(count(*) AS BIGINT) AS n_pairs, CAST(count(DISTINCT qname) AS BIGINT) AS n_names, CAST(n_inverted AS BIGINT) AS n_inverted
+    FROM fold_dense AS d WHERE n >= {FOLD_SUPPORT} AND NOT EXISTS (SELECT 1 FROM fold_bad AS b WHERE b.edge = d.edge AND b.qname = d.qname) GROUP BY edge, chrom, strand, t1, t2, n_inverted HAVING count(*) >= {FOLD_SUPPORT}"""
+
+
+@query("""SELECT *, false AS turned FROM fold_edges UNION ALL SELECT edge, chrom, strand, pos2, pos1, n_pairs, n_names, n_inverted, true FROM fold_edges WHERE pos1 <> pos2""")
+def foldback_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Fold-backs between reads of one name, an edge for each contig and strand: inverted pairs removed, the densest stretch kept, names with an impossible pair left out."""
+    r = reads(spark, d).withColumn("folded", F.col("part") % 10 == 0).drop("part", "mapq", "proper")
+    mates = r.select(*[F.col(c).alias(f"m_{c}") for c in r.columns])
+    pairs = r.join(mates, (F.col("qname") == F.col("m_qname")) & (F.col("number") < F.col("m_number")) & (F.col("chrom") == F.col("m_chrom")) & (F.col("strand") == F.col("m_strand")))
+    pairs = WorkTables(spark).save(pairs.withColumn("edge", F.concat_ws("/", "chrom", "strand")), "fold-pairs")
+    return D.both_ways(D.foldback_edges(pairs, FOLD_READ, FOLD_INSERT, FOLD_SUPPORT))
