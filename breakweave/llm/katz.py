@@ -57,16 +57,18 @@ START = (1 << 40) - 1
 
 
 def packed(x: np.ndarray) -> bytes:
-    """A list of numbers as bytes: whole numbers in as few bytes as the largest needs, the first bytes of all, then the second ones; others by their distinct values."""
+    """A list of numbers as bytes: whole numbers in as few bytes as the largest needs, the first bytes of all, then the second ones; of ascending ones the steps; others by their distinct values."""
     if x.dtype.kind == "f":
         values, codes = np.unique(x, return_inverse=True)
         head = packed(codes)
         return b"f" + len(head).to_bytes(8, "little") + head + pa.compress(values.tobytes(), "zstd", asbytes=True) + (8 * len(values)).to_bytes(8, "little")
+    x = x.astype(np.int64, copy=False) if x.dtype != np.uint64 else x
+    sorted_ = len(x) > 1 and bool((x[1:] >= x[:-1]).all())  # then the steps are stored
     low = int(x.min()) if len(x) else 0
-    rest = (x - x.dtype.type(low)).astype(np.uint64)
+    rest = np.diff(x, prepend=x[:1]).astype(np.uint64) if sorted_ else (x - x.dtype.type(low)).astype(np.uint64)
     width = max(1, -(-int(rest.max()).bit_length() // 8)) if len(x) else 1
     planes = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return b"i" + bytes([width]) + len(x).to_bytes(8, "little") + (low % (1 << 64)).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return (b"s" if sorted_ else b"i") + bytes([width]) + len(x).to_bytes(8, "little") + (low % (1 << 64)).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -78,7 +80,8 @@ def unpacked(data: bytes) -> np.ndarray:
     width, n, low = data[1], int.from_bytes(data[2:10], "little"), np.uint64(int.from_bytes(data[10:18], "little"))
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(pa.decompress(data[18:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
-    return (out.view(np.uint64).ravel() + low).view(np.int64)
+    numbers = out.view(np.uint64).ravel()
+    return ((np.cumsum(numbers, dtype=np.uint64) if data[:1] == b"s" else numbers) + low).view(np.int64)
 
 
 def _mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:

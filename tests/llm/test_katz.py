@@ -115,3 +115,12 @@ def test_discounts():
     assert d[0] == 1 and all(0 < x < 1 for x in d[1:])
     assert list(katz.good_turing([0, 3, 1, 0, 0, 0])) == [1] * 6
     assert all(0 < x < 1 for x in katz.good_turing([3, 0, 0, 9, 0, 0])[1:])
+
+
+@pytest.mark.parametrize("x", [[], [5], [5, 5, 5], [3, 1, 2], [0, 1, 1 << 62], [-7, 3, -9], [1.5, -2.25, 1.5], [True, False]])
+def test_packed_round_trip(x):
+    x = np.array(x, dtype=None if x else np.int64)
+    assert katz.unpacked(katz.packed(x)).tolist() == x.tolist()
+    big = np.array([1 << 63, (1 << 64) - 1, 7], np.uint64)
+    for y in (big, np.sort(big)):
+        assert katz.unpacked(katz.packed(y)).view(np.uint64).tolist() == y.tolist()
