@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import edge_sequences as S
 from ..operators import foldbacks as D
 from ..operators import long_reads as L
 from ..operators import shifts as H
+from ..operators import statistics as T
 from ..operators.runs import with_neighbours
 from ..operators.work import WorkTables
 from ..sources import readers as R
-from .amplicons import INSERT, _graph
-from .bindings import SQL, reads, table
+from .amplicons import CHUNK, INSERT, _chunks, _graph
+from .bindings import SQL, genes, reads, table
 from .catalogue import SHARED, WIN, query, windows
 
 # --- long reads -------------------------------------------------------------------------------------
@@ -151,3 +153,79 @@ def foldback_edges(spark: SparkSession, d: str) -> DataFrame:
     pairs = r.join(mates, (F.col("qname") == F.col("m_qname")) & (F.col("number") < F.col("m_number")) & (F.col("chrom") == F.col("m_chrom")) & (F.col("strand") == F.col("m_strand")))
     pairs = WorkTables(spark).save(pairs.withColumn("edge", F.concat_ws("/", "chrom", "strand")), "fold-pairs")
     return D.both_ways(D.foldback_edges(pairs, FOLD_READ, FOLD_INSERT, FOLD_SUPPORT))
+
+
+# --- sequences of edges -----------------------------------------------------------------------------
+
+FLANK = 60
+SHARED["text_edges"] = """SELECT doc_id, doc_id + 1 AS other, coalesce(text, '') AS t, 10 + length(coalesce(text, '')) // 2 AS pos1, 10 + doc_id % 300 AS pos2, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS strand1, CASE WHEN doc_id // 2 % 2 = 0 THEN 1 ELSE -1 END AS strand2,
+    CASE WHEN doc_id % 5 > 0 THEN doc_id % 8 - 3 END AS hom FROM documents"""
+
+
+def _flank_sql(text: str, pos: str, strand: str, turn: str) -> str:
+    low = f"CASE WHEN {strand} = 1 THEN {pos} - greatest(coalesce(hom, 0), 0) - {FLANK - 1} ELSE {pos} + greatest(coalesce(hom, 0), 0) END"
+    piece = f"rpad(repeat('n', CAST(greatest(0, -({low})) AS BIGINT)) || substr({text}, CAST(greatest(0, {low}) + 1 AS BIGINT), CAST({FLANK} + least(0, {low}) AS BIGINT)), {FLANK}, 'n')"
+    return f"CASE WHEN {turn} THEN translate(reverse({piece}), 'ACGTacgt', 'TGCAtgca') ELSE {piece} END"
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS edge, hom_seq, CASE WHEN strand1 = 1 THEN f1 || mid || f2 ELSE f2 || mid || f1 END AS bases FROM (SELECT *, {_flank_sql('t', 'pos1', 'strand1', 'false')} AS f1, {_flank_sql('o', 'pos2', 'strand2', 'strand1 = strand2')} AS f2, coalesce(hom_seq, repeat('N', 20)) AS mid FROM (
+    SELECT e.*, coalesce(d.text, '') AS o, CASE WHEN hom >= 0 THEN substr(t, CASE WHEN strand1 = 1 THEN 40 - hom ELSE 5 END + 1, hom) WHEN hom < 0 THEN substr(t, CASE WHEN strand1 = 1 THEN 40 ELSE 5 + hom END + 1, -hom) END AS hom_seq FROM text_edges AS e LEFT JOIN documents AS d ON d.doc_id = e.other) AS x) AS y""")
+def edge_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """An edge from the middle of every text into the next text, with the bases of its homology and both flanks, from chunked texts."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    sign = lambda c: F.when(c % 2 == 0, 1).otherwise(-1)
+    hom = F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 8 - 3).cast("int"))
+    ends = docs.select(
+        F.col("doc_id").cast("string").alias("edge"), F.col("doc_id").cast("string").alias("chrom1"), (10 + F.floor(F.length("t") / 2)).alias("pos1"), sign(F.col("doc_id")).alias("strand1"),
+        (F.col("doc_id") + 1).cast("string").alias("chrom2"), (10 + F.col("doc_id") % 300).alias("pos2"), sign(F.floor(F.col("doc_id") / 2)).alias("strand2"), hom.alias("hom"), "t",
+    )
+    found = ends.withColumn("hom_seq", S.homology_bases(F.col("t"), F.lit(5), F.lit(40), F.col("strand1"), F.col("hom"))).drop("t")
+    return S.edge_sequences(found, _chunks(spark, d), CHUNK, FLANK).select("edge", "hom_seq", "bases")
+
+
+# --- statistics -------------------------------------------------------------------------------------
+
+COARSE, FINE, DRAWN = 1000, 100, 200
+SHARED["stat_reads"] = """SELECT *, CASE WHEN m_chrom = chrom THEN m_start - "start" END AS template FROM (SELECT chrom, "start", "end", strand, proper, lead(chrom) OVER w AS m_chrom, lead("start") OVER w AS m_start FROM reads WINDOW w AS (PARTITION BY qname ORDER BY number, part, "start", "end", chrom, strand, proper)) AS r"""
+
+
+def _drawn_sql(width: int) -> str:
+    return f"""SELECT chrom, k * {width} AS a, k * {width} + {width - 1} AS b FROM (SELECT chrom, unnest(range(1, len // {width} - 1)) AS k FROM (SELECT chrom, CAST(max("end") AS BIGINT) AS len FROM reads GROUP BY chrom) AS c) AS g
+        WHERE NOT EXISTS (SELECT 1 FROM genes AS m WHERE m.size_class >= 48 AND m.chrom = g.chrom AND m."start" <= k * {width} + {width - 1} + {width} AND m."end" >= greatest(0, k * {width} - {width})) ORDER BY md5('0:' || chrom || ':' || k * {width} || ':' || {width}), chrom, k LIMIT {DRAWN}"""
+
+
+def _depth_sql(width: int) -> str:
+    depths = f"""SELECT coalesce(sum(CASE WHEN r.chrom IS NOT NULL THEN least(w.b, r."end") - greatest(w.a, r."start") + 1 END), 0) / {width} AS depth FROM ({_drawn_sql(width)}) AS w LEFT JOIN reads AS r ON r.chrom = w.chrom AND r."start" <= w.b AND r."end" >= w.a GROUP BY w.chrom, w.a"""
+    return f"""SELECT max(CASE WHEN rank = n // 2 THEN depth END) AS med, avg(depth) AS mean, stddev_pop(depth) AS sd FROM (SELECT depth, row_number() OVER (ORDER BY depth) - 1 AS rank, count(*) OVER () AS n FROM (SELECT depth, median(depth) OVER () AS rough FROM ({depths}) AS d) AS e WHERE depth > 0 AND depth < 5 * rough) AS f"""
+
+
+SHARED["stat_lengths"] = f"""SELECT count(*) AS n, avg(r."end" - r."start" + 1) AS rl, count(*) FILTER (good) AS k, avg(template) FILTER (good) AS ins, stddev_pop(template) FILTER (good) AS isd
+    FROM ({_drawn_sql(COARSE)}) AS w JOIN (SELECT *, coalesce(proper AND strand = 1 AND template > 0 AND template < 10000, false) AS good FROM stat_reads) AS r ON r.chrom = w.chrom AND r."start" <= w.b AND r."end" >= w.a"""
+SHARED["stat_row"] = f"""SELECT c.med AS coarse_median, c.mean AS coarse_mean, c.sd AS coarse_deviation, f.med AS fine_median, f.mean AS fine_mean, f.sd AS fine_deviation, rl AS read_length, ins AS insert_size, isd AS insert_deviation, greatest(0, ins - 3 * isd) AS min_insert, ins + 3 * isd AS max_insert,
+    greatest(round(f.mean / 10 * ((ins - rl) / 2 / rl) * (2 * k / n)), 2) AS pair_support, 2 * k / n AS share_proper, 3.0 AS deviations, (SELECT count(*) FROM reads) AS size FROM ({_depth_sql(COARSE)}) AS c, ({_depth_sql(FINE)}) AS f, stat_lengths"""
+
+
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("qname").orderBy("number", "part", "start", "end", "chrom", "strand", "proper")  # one read name's alignments
+    r = reads(spark, d).withColumns({"m_chrom": F.lead("chrom").over(order), "m_start": F.lead("start").over(order)})
+    r = r.select("chrom", "start", "end", "strand", "proper", F.when(F.col("m_chrom") == F.col("chrom"), F.col("m_start") - F.col("start")).alias("template"))
+    contigs = r.groupBy("chrom").agg(F.max("end").alias("length"))
+    return T.sample_statistics(r, contigs, genes(spark, d).where("size_class >= 48"), F.lit(r.count()), COARSE, FINE, DRAWN)
+
+
+@query("SELECT " + ", ".join(f"round(CAST({v} AS DOUBLE), 5) AS {v}" for v in T.VALUES) + " FROM stat_row")
+def sample_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen statistics of the reads, on windows drawn by a hash."""
+    return _statistics(spark, d).select(*[F.round(v, 5).alias(v) for v in T.VALUES])
+
+
+@query(f"""SELECT round(r, 6) AS ratio, round(coarse_mean * r, 5) AS coarse_mean, round(fine_deviation * sqrt(r), 5) AS fine_deviation, round(CAST(CASE WHEN r < 1 THEN greatest(fine_mean * r / 10 * ((insert_size - read_length) / 2 / read_length) * share_proper, 2) ELSE pair_support END AS DOUBLE), 5) AS pair_support
+    FROM (SELECT *, CASE WHEN coarse_median > 2 THEN 2 / coarse_median ELSE 1.0 END AS r FROM stat_row) AS s""")
+def kept_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The same row taken from the table that keeps it, scaled to a depth of 2."""
+    tables = WorkTables(spark)
+    name, size = T.fingerprint(spark, f"{d}/lineitem.parquet")
+    measure = lambda: _statistics(spark, d).withColumn("size", F.lit(float(size)))
+    for _ in range(2):  # the second call finds the row that the first has written
+        row = T.kept_statistics(spark, f"{tables.folder}/statistics", name, size, measure)
+    return T.scaled(row, 2.0).select(F.round("ratio", 6).alias("ratio"), *[F.round(v, 5).alias(v) for v in ("coarse_mean", "fine_deviation", "pair_support")])
