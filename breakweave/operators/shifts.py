@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runs import BIN, running_sums, with_neighbours
 from .segmentation import beta_tail
@@ -82,7 +83,7 @@ def tested(bounds: DataFrame) -> DataFrame:
     return rows.withColumn("tests", tests).drop("left", "right")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def least_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Smallest p of a list of tests, 1 for an empty one; df 0 stands for one tail of the normal distribution, others for both tails of Student's t."""
     one = lambda x, d: math.erfc(x / math.sqrt(2)) / 2 if d == 0 else 0.0 if math.isinf(x) else beta_tail(x, d)

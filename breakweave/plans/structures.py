@@ -10,11 +10,15 @@ from ..operators import foldbacks as D
 from ..operators import long_reads as L
 from ..operators import shifts as H
 from ..operators import statistics as T
+from ..operators import tracks as K
+from ..operators.clusters import merge_clusters
+from ..operators.integrity import graph_violations as graph_integrity
+from ..operators.layout import layout
 from ..operators.runs import with_neighbours
 from ..operators.work import WorkTables
 from ..sources import readers as R
 from .amplicons import CHUNK, INSERT, _chunks, _graph
-from .bindings import SQL, genes, reads, table
+from .bindings import SQL, calls, flows, genes, reads, table
 from .catalogue import SHARED, WIN, query, windows
 
 # --- long reads -------------------------------------------------------------------------------------
@@ -229,3 +233,83 @@ def kept_statistics(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(2):  # the second call finds the row that the first has written
         row = T.kept_statistics(spark, f"{tables.folder}/statistics", name, size, measure)
     return T.scaled(row, 2.0).select(F.round("ratio", 6).alias("ratio"), *[F.round(v, 5).alias(v) for v in ("coarse_mean", "fine_deviation", "pair_support")])
+
+
+# --- calls of other tools, tracks, integrity, layout ------------------------------------------------
+
+HEADER = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"
+SHARED["call_rows"] = """SELECT v1, v2, support, support % 2 AS file, CASE WHEN support % 2 = 0 THEN 'CA' END AS hom_seq FROM flows WHERE support % 7 > 0 UNION ALL SELECT v2, v1, support, support % 2, CASE WHEN support % 2 = 0 THEN 'TG' END FROM flows WHERE support % 7 > 0 AND support % 3 = 0"""
+SHARED["call_once"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, least(v1, v2), greatest(v1, v2) ORDER BY support DESC, v1, v2, hom_seq NULLS FIRST) AS k FROM call_rows) AS r WHERE k = 1"""
+
+
+@query("""SELECT v1, v2, CAST(length(hom_seq) AS INTEGER) AS hom, hom_seq, CAST(support AS INTEGER) AS support FROM call_once UNION ALL SELECT v2, v1, CAST(length(hom_seq) AS INTEGER), translate(reverse(hom_seq), 'ACGTacgt', 'TGCAtgca'), CAST(support AS INTEGER) FROM call_once""")
+def breakend_mates(spark: SparkSession, d: str) -> DataFrame:
+    """Flows written as breakend files, a third of them with their mates too, and read as calls in both directions."""
+    f = flows(spark, d)
+
+    def lines(a: int, b: int, inserted: str, rows: DataFrame) -> DataFrame:
+        more = F.when(F.col("support") % 2 == 0, inserted).otherwise("")
+        place = F.concat(f"chrom{b}", F.lit(":"), F.col(f"pos{b}").cast("string"))
+        mark = F.when(F.col(f"strand{b}") == 1, "]").otherwise("[")
+        alt = F.when(F.col(f"strand{a}") == 1, F.concat(F.lit("A"), more, mark, place, mark)).otherwise(F.concat(mark, place, mark, more, F.lit("A")))
+        passed = F.when(F.col("support") % 7 == 0, "LowQual").otherwise("PASS")
+        info = F.concat(F.lit("SVTYPE=BND;PE="), F.col("support").cast("string"))
+        return rows.select("support", F.concat_ws("\t", f"chrom{a}", F.col(f"pos{a}").cast("string"), F.lit("x"), F.lit("A"), alt, F.lit("."), passed, info, F.lit("GT"), F.lit("0/1")).alias("value"))
+
+    every = lines(1, 2, "CA", f).unionByName(lines(2, 1, "TG", f.where("support % 3 = 0")))
+    tables = WorkTables(spark)
+    head = spark.createDataFrame([(HEADER,)], "value string")
+    for k in (0, 1):
+        tables.write_text(head.unionByName(every.where(F.col("support") % 2 == k).select("value")).coalesce(1), f"calls-{k}")  # a file has one header
+    return R.read_sv_vcfs(spark, f"{tables.folder}/*-calls-*").drop("file")
+
+
+@query("""SELECT c.id, c.chrom, c."start", c."end", round(coalesce(sum(CASE WHEN g.chrom IS NOT NULL THEN (least(c."end", g."end") - greatest(c."start", g."start") + 1) * CASE WHEN score = 0 THEN 5.0 ELSE 1 / score END END) / sum(CASE WHEN g.chrom IS NOT NULL THEN least(c."end", g."end") - greatest(c."start", g."start") + 1 END), 1.0), 6) AS rep_content,
+    coalesce(bool_or(size_class <= 3 OR size_class >= 48), false) OR coalesce(sum(CASE WHEN g.chrom IS NOT NULL THEN (least(c."end", g."end") - greatest(c."start", g."start") + 1) * CASE WHEN score = 0 THEN 5.0 ELSE 1 / score END END) / sum(CASE WHEN g.chrom IS NOT NULL THEN least(c."end", g."end") - greatest(c."start", g."start") + 1 END), 1.0) > 4.5 AS "repeat"
+    FROM calls AS c LEFT JOIN genes AS g ON g.chrom = c.chrom AND g."start" <= c."end" AND g."end" >= c."start" GROUP BY c.id, c.chrom, c."start", c."end\"""")
+def filter_repeat(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that meet excluded or conserved regions, or have a repeat content over 4.5; three tracks in one pass."""
+    g = genes(spark, d)
+    tracks = K.track_table(exclude=g.where("size_class <= 3"), conserved=g.where("size_class >= 48"), mappability=g)
+    found = K.repeats(calls(spark, d).select("id", "chrom", "start", "end"), tracks)
+    return found.withColumn("rep_content", F.round("rep_content", 6))
+
+
+#: The amplicons' graphs with damage: every fifth edge twice, every seventh sequence edge missing, every ninth one turned, every eleventh concordant edge moved.
+SHARED["broken"] = """SELECT amplicon, kind, CASE WHEN kind = 'sequence' AND h % 9 = 0 THEN v2 WHEN kind = 'concordant' AND h % 11 = 0 THEN v2 ELSE v1 END AS v1, CASE WHEN kind = 'sequence' AND h % 9 = 0 THEN v1 ELSE v2 END AS v2 FROM (SELECT *, length(v1) * 31 + length(v2) * 17 + size + "count" AS h FROM graph_rows) AS g, (VALUES (0), (1)) AS t(k)
+    WHERE (k = 0 OR h % 5 = 0) AND NOT (kind = 'sequence' AND h % 7 = 0)"""
+SHARED["broken_places"] = """SELECT *, regexp_extract(v1, '^(.*):-?[0-9]+[+-]$', 1) AS c1, CAST(regexp_extract(v1, ':(-?[0-9]+)[+-]$', 1) AS BIGINT) AS p1, right(v1, 1) AS s1, regexp_extract(v2, '^(.*):-?[0-9]+[+-]$', 1) AS c2, CAST(regexp_extract(v2, ':(-?[0-9]+)[+-]$', 1) AS BIGINT) AS p2, right(v2, 1) AS s2 FROM broken"""
+SHARED["broken_ends"] = """SELECT amplicon, item, count(*) AS n FROM (SELECT amplicon, v1 AS item FROM (SELECT DISTINCT * FROM broken WHERE kind = 'sequence') AS a UNION ALL SELECT amplicon, v2 FROM (SELECT DISTINCT * FROM broken WHERE kind = 'sequence') AS b) AS e GROUP BY ALL"""
+
+
+@query("""SELECT amplicon, 'repeated' AS rule, kind || ' ' || least(v1, v2) || ' ' || greatest(v1, v2) AS item, CAST(count(*) AS BIGINT) AS n FROM broken GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT amplicon, 'shared', item, CAST(n AS BIGINT) FROM broken_ends WHERE n > 1
+    UNION ALL SELECT DISTINCT amplicon, 'turned', v1 || '>' || v2, 1 FROM broken_places WHERE kind = 'sequence' AND (c1 <> c2 OR s1 <> '-' OR s2 <> '+' OR p1 > p2)
+    UNION ALL SELECT DISTINCT amplicon, 'apart', v1 || '>' || v2, 1 FROM broken_places WHERE kind = 'concordant' AND NOT (c1 = c2 AND (s1 = '+' AND s2 = '-' AND p2 = p1 + 1 OR s1 = '-' AND s2 = '+' AND p1 = p2 + 1))
+    UNION ALL SELECT amplicon, 'loose', item, CAST(count(*) AS BIGINT) FROM (SELECT amplicon, v1 AS item FROM broken WHERE kind <> 'sequence' UNION ALL SELECT amplicon, v2 FROM broken WHERE kind <> 'sequence') AS u WHERE item <> '0:-1-' AND NOT EXISTS (SELECT 1 FROM broken_ends AS e WHERE e.amplicon = u.amplicon AND e.item = u.item) GROUP BY amplicon, item
+    UNION ALL SELECT a.amplicon, 'uncovered', s.chrom || ':' || s."start" || '-' || s."end", CAST(s."end" - s."start" + 1 - coalesce((SELECT sum(least(s."end", t.p2) - greatest(s."start", t.p1) + 1) FROM (SELECT DISTINCT amplicon, c1, p1, p2 FROM broken_places WHERE kind = 'sequence' AND p1 <= p2) AS t WHERE t.amplicon = a.amplicon AND t.c1 = s.chrom AND t.p1 <= s."end" AND t.p2 >= s."start"), 0) AS BIGINT) AS n
+        FROM spans AS s JOIN amps AS a USING (span) WHERE s."end" - s."start" + 1 > coalesce((SELECT sum(least(s."end", t.p2) - greatest(s."start", t.p1) + 1) FROM (SELECT DISTINCT amplicon, c1, p1, p2 FROM broken_places WHERE kind = 'sequence' AND p1 <= p2) AS t WHERE t.amplicon = a.amplicon AND t.c1 = s.chrom AND t.p1 <= s."end" AND t.p2 >= s."start"), 0)""")
+def graph_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the amplicons' graphs once they are damaged by rule; the graphs themselves break none."""
+    g = _graph(spark, d)
+    tables = WorkTables(spark)
+    places = g.where("kind = 'sequence'").select("amplicon", F.regexp_extract("v1", r"^(.*):", 1).alias("chrom"), F.regexp_extract("v1", r":(\d+)-$", 1).cast("bigint").alias("start"), F.regexp_extract("v2", r":(\d+)\+$", 1).cast("bigint").alias("end"))
+    spans = merge_clusters(places.select(F.concat_ws("|", "amplicon", "chrom").alias("chrom"), "start", "end"), 1)  # tiles of one interval touch
+    spans = tables.save(spans.select(F.regexp_extract("chrom", r"^(.*)\|", 1).alias("amplicon"), F.regexp_extract("chrom", r"\|([^|]*)$", 1).alias("chrom"), "start", "end"), "spans")
+    h = F.length("v1") * 31 + F.length("v2") * 17 + F.col("size") + F.col("count")
+    marked = g.withColumn("h", h).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where(((F.col("k") == 0) | (F.col("h") % 5 == 0)) & ~((F.col("kind") == "sequence") & (F.col("h") % 7 == 0)))
+    turned, moved = (F.col("kind") == "sequence") & (F.col("h") % 9 == 0), (F.col("kind") == "concordant") & (F.col("h") % 11 == 0)
+    broken = marked.select("amplicon", "kind", F.when(turned | moved, F.col("v2")).otherwise(F.col("v1")).alias("v1"), F.when(turned, F.col("v1")).otherwise(F.col("v2")).alias("v2"))
+    return graph_integrity(tables.save(broken, "broken"), spans)
+
+
+SHARED["laid"] = """SELECT *, "end" - "start" + 1 AS size, size_class >= 45 AS f FROM (SELECT DISTINCT chrom, "start", "end", size_class, gene FROM genes) AS g"""
+SHARED["laid_parts"] = """SELECT *, least(0.02, room / n) AS narrow FROM (SELECT *, (CASE WHEN kinds = 1 THEN 1.0 WHEN f THEN 0.2 ELSE 0.8 END) * (CASE WHEN rows > 1 THEN 0.9 ELSE 1.0 END) AS room FROM (SELECT *, count(*) OVER (PARTITION BY chrom) AS kinds, sum(n) OVER (PARTITION BY chrom) AS rows FROM (SELECT chrom, f, CAST(sum(size) AS DOUBLE) AS total, count(*) AS n FROM laid GROUP BY ALL) AS p) AS q) AS r"""
+SHARED["laid_widths"] = """SELECT l.*, p.rows, p.room, p.narrow, p.room * l.size / p.total AS plain, sum(CASE WHEN p.room * l.size / p.total < narrow THEN narrow ELSE 0 END) OVER (PARTITION BY l.chrom, l.f) AS taken, sum(CASE WHEN p.room * l.size / p.total >= narrow THEN l.size ELSE 0 END) OVER (PARTITION BY l.chrom, l.f) AS wide FROM laid AS l JOIN laid_parts AS p ON p.chrom = l.chrom AND p.f = l.f"""
+
+
+@query("""SELECT chrom, gene, round(x - width, 6) AS "left", round(x, 6) AS "right" FROM (SELECT chrom, gene, width, sum(width) OVER w + (row_number() OVER w - 1) * (CASE WHEN rows > 1 THEN 0.1 / (rows - 1) ELSE 0 END) AS x FROM (SELECT *, CASE WHEN plain < narrow THEN narrow ELSE (room - taken) * size / wide END AS width FROM laid_widths) AS a WINDOW w AS (PARTITION BY chrom ORDER BY gene)) AS b""")
+def axis_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Genes of every contig along an axis: least widths, gaps of a tenth, and a fifth for the largest ones."""
+    g = genes(spark, d).select("chrom", "start", "end", "size_class", "gene").distinct()
+    return layout(g, "chrom", "gene", foreign=F.col("size_class") >= 45).select("chrom", "gene", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))

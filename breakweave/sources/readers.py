@@ -124,13 +124,34 @@ def sam(lines: DataFrame) -> DataFrame:
     A file is split wherever Spark splits text, as each line stands for itself.
     """
     f = F.split("value", "\t")
+    at = lambda k: F.get(f, F.lit(k))
     rows = lines.where(~F.col("value").startswith("@") & (F.size(f) >= 11))
     return rows.select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("bigint") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),
-        F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("mate_chrom"), (f[7].cast("bigint") - 1).alias("mate_pos"), f[8].cast("bigint").alias("template_length"), f[9].alias("bases"),
+        at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("chrom"), (at(3).cast("bigint") - 1).alias("pos"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"),
+        F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("mate_chrom"), (at(7).cast("bigint") - 1).alias("mate_pos"), at(8).cast("bigint").alias("template_length"), at(9).alias("bases"),
         F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.lit(0), F.size(f) - 11)), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))).alias("tags"),
     )
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return sam(_lines(spark, path))
+
+
+def read_sv_vcfs(spark: SparkSession, path: str, only_passed: bool = True) -> DataFrame:
+    """Calls of all breakend files under a path, plain or gzip, each once per file and in both directions."""
+    from ..operators.breakends import paired, sv_records
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return paired(sv_records(lines, only_passed))
+
+
+def exons(lines: DataFrame) -> DataFrame:
+    """Annotation lines of exons: those drawn in the colour 000080 (a fixed value)."""
+    return gff(lines).where(F.col("attributes")["color"] == "000080")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    """A data folder's file list, a key and a file name per line, as a map; at most a few dozen lines."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = _lines(spark, path).where(F.size(f) >= 2).select(f[0].alias("key"), f[1].alias("file")).limit(1000).collect()
+    return {r["key"]: r["file"] for r in rows}
