@@ -145,6 +145,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
 
 
+#: Pairs of vectors that one task compares at once, and pairs that may tie whose exact cosines it takes at once.
+PAIRS, TIED = 1 << 18, 1 << 14
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", read_ratio: float | None = None, beam: int = BEAM) -> DataFrame:
     """The ``k`` nearest rows by cosine of each row that ``queries`` marks: ``query_id, rank, vec_id, score``.
 
@@ -155,7 +159,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     Defined cases: rows with a null id and vectors that are null, empty, zero or hold null or non-finite
     components take no part, as do vectors of another dimension than the most common one (the smallest
     such, if tied); repeated rows with one id count once, and rows with the query's own id are never its
-    neighbours; equal scores are ordered by id; a table with fewer candidates returns all of them, and an
+    neighbours; equal scores are ordered by id, in bounded memory however many tie; other columns are ignored, so
+    their names can't clash; a table with fewer candidates returns all of them, and an
     empty one nothing.
     """
     spark = vectors.sparkSession
@@ -273,14 +278,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
 def best_of(a: np.ndarray, b: np.ndarray, least: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of ``a``, rows of ``b`` and cosines: the ``top`` best of each row of ``a`` by (score, smallest id)."""
     top = min(top, len(b))
-    like = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-    last = np.partition(like, len(b) - top, axis=1)[:, len(b) - top]
-    i, j = np.nonzero(like >= last[:, None] - 1e-9)  # with all that may tie with the last
-    score = cosine(a[i], b[j])
-    order = np.lexsort((least[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    keep = np.arange(len(i)) - np.searchsorted(i, i) < top
-    return i[keep], j[keep], score[keep]
+    unit_a, unit_b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    rows, out = max(1, PAIRS // len(b)), []
+    for at in range(0, len(a), rows):
+        like = unit_a[at : at + rows] @ unit_b.T
+        last = np.partition(like, len(b) - top, axis=1)[:, len(b) - top]
+        i, j = np.nonzero(like >= last[:, None] - 1e-9)  # with all that may tie with the last
+        # Many may tie, so their vectors are taken some at a time.
+        score = np.concatenate([cosine(a[at + i[x : x + TIED]], b[j[x : x + TIED]]) for x in range(0, len(i), TIED)])
+        order = np.lexsort((least[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < top
+        out.append((at + i[keep], j[keep], score[keep]))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def reading_ratio(asking: DataFrame, classes: DataFrame, posted: DataFrame, centroids: Centroids, k: int, width: int) -> tuple[float, float]:

@@ -190,7 +190,10 @@ def _soft(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_rat
     soft = soft.withColumn("g", F.transform("p", lambda x: F.round(x * GRID) / GRID))
     cells = soft.groupBy("g").agg(F.array(*[F.sum(F.col("tokens") * F.col("p")[k]) for k in range(len(domains))]).alias("mass"))
     rate, wanted, fitted = fit_rates(tables.save(cells, "cells"), np.array([targets[d] for d in domains], float), max_rate)
-    return soft, rate, [F.lit(float(x[k])).alias(f"{n}_{d}") for n, x in (("wanted", wanted), ("fitted", fitted)) for k, d in enumerate(domains)]
+    apart = np.abs(fitted - wanted) / np.maximum(wanted, 1.0)
+    least = soft.where("tokens > 0").agg(*[F.min(F.col("p")[k]) for k in range(len(domains))]).first()
+    totals = [F.lit(float(x[k])).alias(f"{n}_{d}") for n, x in (("wanted", wanted), ("fitted", fitted)) for k, d in enumerate(domains)]
+    return soft, rate, [*totals, F.lit(bool((apart <= TOLERANCE).all())).alias("met"), *[F.lit(x).cast("double").alias(f"least_{d}") for x, d in zip(least, domains, strict=True)]]
 
 
 def _copies(rate: Column) -> Column:
@@ -199,12 +202,14 @@ def _copies(rate: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, tokens, p_<domain> ..., rate, copies, wanted_<domain> ..., fitted_<domain> ...``.
+    """One row per input row: ``doc_id, tokens, p_<domain> ..., rate, copies, wanted_<domain> ..., fitted_<domain> ..., met, least_<domain> ...``.
 
     Targets are shares of tokens. Without a bound (``max_rate`` infinite) the total is that of the corpus
     and scarce domains are repeated; with one, it is the most at which every domain can hold its share.
     ``wanted_`` and ``fitted_`` are the domains' totals aimed at and expected, the same in every row: their
-    difference is the residual. ``copies`` rounds the rate by a hash of id and text.
+    difference is the residual, and ``met`` says whether all of them are within ``TOLERANCE``. ``least_`` is the smallest
+    posterior of any document with tokens: a target share below it is out of reach whatever the rates, since
+    every token then holds more of the domain. ``copies`` rounds the rate by a hash of id and text.
 
     Defined cases: a null text has no tokens and the features of an empty one; a null or repeated id is
     handled like any other row (its labels join only where the id is known); labels with null marks are
