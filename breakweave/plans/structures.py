@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import cycle_edits as Y
 from ..operators import edge_sequences as S
 from ..operators import foldbacks as D
 from ..operators import long_reads as L
@@ -313,3 +314,41 @@ def axis_layout(spark: SparkSession, d: str) -> DataFrame:
     """Genes of every contig along an axis: least widths, gaps of a tenth, and a fifth for the largest ones."""
     g = genes(spark, d).select("chrom", "start", "end", "size_class", "gene").distinct()
     return layout(g, "chrom", "gene", foreign=F.col("size_class") >= 45).select("chrom", "gene", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+# --- edits of cycles --------------------------------------------------------------------------------
+
+#: Orders as cycles over forty overlapping segments, in 25 sets; an even order is merged with the next one at their first places.
+SHARED["order_steps"] = """SELECT l_orderkey AS cycle, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey % 40 + 1 AS seg, CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE -1 END AS orient FROM lineitem"""
+SHARED["seg_places"] = """SELECT k AS seg, k * 50 AS a, k * 50 + 30 + k % 9 * 60 AS b FROM (SELECT unnest(range(1, 41)) AS k) AS s"""
+SHARED["met_orders"] = """SELECT CAST(c1 // 2 % 25 AS BIGINT) AS grp, c1, c1 + 1 AS c2, least(cn1, cn2) AS cn, cn1 - least(cn1, cn2) AS rest1, cn2 - least(cn1, cn2) AS rest2, x.orient AS o1, y.orient AS o2, p.a AS a1, p.b AS b1, q.a AS a2, q.b AS b2 FROM (
+    SELECT o.o_orderkey AS c1, round(o.o_totalprice / 50000, 2) AS cn1, round(r.o_totalprice / 50000, 2) AS cn2 FROM orders AS o JOIN orders AS r ON r.o_orderkey = o.o_orderkey + 1 WHERE o.o_orderkey % 2 = 0) AS m
+    JOIN order_steps AS x ON x.cycle = c1 AND x.place = 1 JOIN order_steps AS y ON y.cycle = c1 + 1 AND y.place = 1 JOIN seg_places AS p ON p.seg = x.seg JOIN seg_places AS q ON q.seg = y.seg WHERE cn1 > 0 AND cn2 > 0 AND p.a <= q.b AND q.a <= p.b"""
+SHARED["new_places"] = """SELECT w.grp, w.a, w.b, s.seg AS had, 40 + CASE WHEN s.seg IS NULL THEN row_number() OVER (PARTITION BY w.grp, s.seg IS NULL ORDER BY w.a, w.b) END AS fresh FROM (SELECT grp, a1 AS a, b2 AS b FROM met_orders UNION SELECT grp, a2, b1 FROM met_orders) AS w LEFT JOIN seg_places AS s ON s.a = w.a AND s.b = w.b"""
+
+
+@query("""SELECT m.grp, c1, c2, round(cn, 6) AS cn, round(rest1, 6) AS rest1, round(rest2, 6) AS rest2, concat_ws(',', coalesce(h.had, h.fresh) || CASE WHEN o1 = 1 THEN '+' ELSE '-' END,
+    (SELECT string_agg(seg || CASE WHEN orient * o1 * o2 = 1 THEN '+' ELSE '-' END, ',' ORDER BY place * o1 * o2) FROM order_steps AS s WHERE s.cycle = m.c2 AND place > 1), coalesce(k.had, k.fresh) || CASE WHEN o1 = 1 THEN '+' ELSE '-' END,
+    (SELECT string_agg(seg || CASE WHEN orient = 1 THEN '+' ELSE '-' END, ',' ORDER BY place) FROM order_steps AS s WHERE s.cycle = m.c1 AND place > 1)) AS walk FROM met_orders AS m
+    JOIN new_places AS h ON h.grp = m.grp AND h.a = CASE WHEN o1 = 1 THEN a1 ELSE a2 END AND h.b = CASE WHEN o1 = 1 THEN b2 ELSE b1 END JOIN new_places AS k ON k.grp = m.grp AND k.a = CASE WHEN o1 = 1 THEN a2 ELSE a1 END AND k.b = CASE WHEN o1 = 1 THEN b1 ELSE b2 END""")
+def cycle_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles merged where overlapping segments meet, with hybrid segments under new numbers, and the copies that are left of both."""
+    tables = WorkTables(spark)
+    steps = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cycle"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("o"), (F.col("l_partkey") % 40 + 1).cast("string").alias("seg"), F.when(F.col("l_partkey") % 2 == 0, 1).otherwise(-1).alias("orient"))
+    listed = steps.groupBy("cycle").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "seg", "orient"))), lambda s: F.struct(s["seg"].alias("seg"), s["orient"].alias("orient"))).alias("segments"))
+    priced = table(spark, d, "orders").select(F.col("o_orderkey").alias("cycle"), F.round(F.col("o_totalprice") / 50000, 2).alias("cn"))
+    cycles = tables.save(listed.join(priced, "cycle").select(F.floor(F.floor(F.col("cycle") / 2) % 25).alias("grp"), "cycle", "cn", "segments"), "cycles")
+    places = spark.range(1, 41).select(F.col("id").cast("string").alias("seg"), F.lit("chr1").alias("chrom"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 30 + F.col("id") % 9 * 60).alias("end"))
+    segments = tables.save(cycles.select("grp").distinct().withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(40)))).join(places, F.col("x").cast("string") == F.col("seg")).select("grp", "seg", "chrom", "start", "end"), "segments")
+    evens = cycles.where("cycle % 2 = 0").select("grp", F.col("cycle").alias("c1"), (F.col("cycle") + 1).alias("c2"), F.lit(1).alias("i"), F.lit(1).alias("j"))
+    edits = tables.save(evens.join(cycles.select(F.col("cycle").alias("c2")), "c2", "left_semi"), "edits")
+    after, _ = Y.merge_at(cycles, segments, edits)
+    after = tables.save(after, "after")
+    # New cycles are told from old ones by their numbers, and numbered in the order of the first cycle they were made of.
+    top = cycles.groupBy("grp").agg(F.max("cycle").alias("top"))
+    made = after.join(top, "grp").where(F.col("cycle") > F.col("top")).withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("cycle")))
+    done = Y.judged_merges(cycles, segments, edits).where("problem is null").select("grp", "c1", "c2", F.row_number().over(Window.partitionBy("grp").orderBy("c1")).alias("n"))
+    rest = lambda c, name: after.select("grp", F.col("cycle").alias(c), F.col("cn").alias(name))
+    walk = F.array_join(F.transform("segments", lambda s: F.concat(s["seg"], F.when(s["orient"] == 1, "+").otherwise("-"))), ",")
+    found = made.join(done, ["grp", "n"]).join(rest("c1", "rest1"), ["grp", "c1"]).join(rest("c2", "rest2"), ["grp", "c2"])
+    return found.select("grp", "c1", "c2", F.round("cn", 6).alias("cn"), F.round("rest1", 6).alias("rest1"), F.round("rest2", 6).alias("rest2"), walk.alias("walk"))

@@ -280,3 +280,39 @@ def test_release(spark):
     assert os.path.isdir(folder)
     tables.close()
     assert not os.path.isdir(folder) and callable(release)
+
+
+# --- edits of cycles --------------------------------------------------------------------------------
+
+CYCLE = "grp string, cycle bigint, cn double, segments array<struct<seg:string,orient:int>>"
+
+
+def test_cycle_edits(spark):
+    from breakweave.operators import cycle_edits as edits
+
+    places = [("g", "1", "chr1", 0, 100), ("g", "2", "chr1", 50, 200), ("g", "3", "chr1", 300, 400), ("g", "4", "chr1", 0, 200), ("g", "5", "chr2", 0, 10)]
+    segments = spark.createDataFrame(places, "grp string, seg string, chrom string, start bigint, end bigint")
+    rows = [("g", 1, 5.0, [("3", 1), ("1", 1), ("5", 1)]), ("g", 2, 2.0, [("5", -1), ("2", -1), ("3", 1)]), ("g", 3, 1.0, [("0", 1), ("2", -1), ("0", -1)]), ("g", 4, 3.0, [("0", 1), ("1", 1), ("0", -1)]), ("g", 5, 0.0, [("1", 1)]), ("g", 6, 4.0, [("1", 1), ("3", 1), ("5", -1), ("2", -1), ("3", -1)])]
+    cycles = spark.createDataFrame(rows, CYCLE)
+    asked = [("g", 1, 2, 2, 2), ("g", 3, 4, 2, 2), ("g", 1, 5, 2, 1), ("g", 1, 2, 1, 2), ("g", 1, 2, 9, 1), ("g", 3, 1, 1, 1)]
+    frame = spark.createDataFrame(asked, "grp string, c1 bigint, c2 bigint, i int, j int")
+    problems = {(r["c1"], r["c2"], r["i"], r["j"]): r["problem"] for r in edits.judged_merges(cycles, segments, frame).collect()}
+    assert problems == {(1, 2, 2, 2): None, (3, 4, 2, 2): "two sources", (1, 5, 2, 1): "no copies", (1, 2, 1, 2): "no overlap", (1, 2, 9, 1): "no such place", (3, 1, 1, 1): "source segment"}
+    text = lambda s: ",".join(x["seg"] + "+-"[x["orient"] < 0] for x in s)
+
+    # Forward: the first hybrid (0..200) is segment 4, the second (50..100) is new; cycle 2 passes oppositely and is turned round.
+    after, every = edits.merge_at(cycles, segments, frame.where("i = 2 and j = 2 and c1 = 1"))
+    got = {r["cycle"]: (r["cn"], text(r["segments"])) for r in after.collect()}
+    assert got[7] == (2.0, "3+,4+,5+,3-,6+,5+") and got[1][0] == 3.0 and got[2][0] == 0.0 and len(got) == 7
+    assert sorted(tuple(r) for r in every.collect()) == sorted([*places, ("g", "6", "chr1", 50, 100)])
+    # Backward, the cycle through the source put first: hybrids 0..200 and 50..100 in the other order.
+    back = spark.createDataFrame([("g", 1, 3, 2, 2)], frame.schema)
+    after, _ = edits.merge_at(cycles, segments, back)
+    got = {r["cycle"]: (r["cn"], text(r["segments"])) for r in after.collect()}
+    assert got[7] == (1.0, "0+,4-,3-,5-,6-,0-") and got[3][0] == 0.0 and got[1][0] == 4.0
+
+    turn = spark.createDataFrame([("g", 6, 1, 4), ("g", 6, 2, 5), ("g", 6, 1, 2)], "grp string, c1 bigint, i int, j int")
+    assert sorted((r["i"], r["j"], r["problem"] or "") for r in edits.judged_pivots(cycles, segments, turn).collect()) == [(1, 2, "same way"), (1, 4, ""), (2, 5, "")]
+    after, _ = edits.pivot_at(cycles, segments, turn.where("j = 4"))
+    got = {r["cycle"]: (r["cn"], text(r["segments"])) for r in after.collect()}
+    assert got[7] == (4.0, "4+,5+,3-,6-,3-") and got[6][0] == 0.0
