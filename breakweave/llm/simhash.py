@@ -13,6 +13,7 @@ text only find candidates, and an exact comparison of shingle sets decides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,8 +30,8 @@ _STEP = 1 << 15
 #: The stage's similarity; its short fingerprints per text; the share of their bits in which similar texts may differ
 #: (0.15 is expected at 0.8, at most 0.19 for texts of a few shingles, and 0.25 is four deviations above that).
 SIMILARITY, PRINTS, MOST_APART = 0.8, 20, 0.25
-#: Fingerprints whose variants are shuffled at once. The first ones alone join most of every component, so that later
-#: ones meet in pairs only where texts are still apart.
+#: Fingerprints whose variants are shuffled at once. The first ones join most of every component before the others are
+#: looked at, so that these meet in pairs only where texts are still apart.
 PRINTS_AT_ONCE = 4
 
 
@@ -239,14 +240,24 @@ def keep_one_of_each(
         tables.drop(sets)
         return good
 
-    for at in range(0, count, PRINTS_AT_ONCE):
-        members = everyone.where(F.shiftright("key", 32).between(at, at + PRINTS_AT_ONCE - 1))
-        # Equal short fingerprints are one class, so that no group of copies emits its variants again and again.
-        classes = tables.save(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")), "classes")
-        links = _class_links(classes, nodes, roots, most, tables)
+    def joined(frames: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, frames)
+
+    parts, links = [], []  # of all fingerprints so far
+    for own in (range(0, min(count, PRINTS_AT_ONCE)), range(PRINTS_AT_ONCE, count)):
+        fresh, met = [], []
+        for at in own[::PRINTS_AT_ONCE]:
+            members = everyone.where(F.shiftright("key", 32).between(at, min(own[-1], at + PRINTS_AT_ONCE - 1)))
+            # Equal short fingerprints are one class, so that no group of copies emits its variants again and again.
+            fresh.append(tables.save(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")), "classes"))
+            met.append(_class_links(fresh[-1], nodes, roots, most, tables))
+        if not fresh:
+            continue
+        parts, links = parts + fresh, links + met
+        classes, members = joined(fresh), everyone.where(F.shiftright("key", 32).between(own[0], own[-1]))
 
         # First only the ends of each class, as many pairs as members: they join most of every component.
-        ends = links.join(classes.select(F.col("key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), "a").join(classes.select(F.col("key").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "b")
+        ends = joined(met).join(classes.select(F.col("key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), "a").join(classes.select(F.col("key").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "b")
         ends = ends.select(F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"a_{x}").alias("u"), F.col(f"b_{y}").alias("v")) for x in ("low", "high") for y in ("low", "high")]))).alias("p")).select("p.u", "p.v")
         within = members.join(classes.where("low <> high"), "key").select(F.explode(F.array_distinct(F.array(F.struct(F.col("low").alias("u"), F.col("node").alias("v")), F.struct(F.col("high").alias("u"), F.col("node").alias("v"))))).alias("p")).select("p.u", "p.v")
         ends = ends.unionByName(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -255,25 +266,25 @@ def keep_one_of_each(
         edges = good if edges is None else edges.unionByName(good)
         roots = tables.save(connected_components(edges, tables), "roots")
 
-        # Then every pair of larger classes that met and is still in two components. Classes are matched by the components in
-        # them first, so that texts which are in one component already, the bulk of a large group of copies, are never paired.
-        many = classes.where("size > 1").select("key")
-        if many.limit(1).count():
-            wide = links.join(many.select(F.col("key").alias("a"), F.lit(1).alias("x")), "a", "left").join(many.select(F.col("key").alias("b"), F.lit(1).alias("y")), "b", "left").where("x is not null or y is not null").select("a", "b")
-            linked = wide.select(F.col("a").alias("key")).union(wide.select("b")).union(many).distinct()
-            placed = members.join(linked, "key").join(prints, "node").join(roots, "node", "left").select("key", "node", "prints", F.coalesce("root", "node").alias("root"))
-            placed = tables.save(placed, "placed")
-            parts = placed.select("key", "root").distinct()
-            near = wide.union(wide.select("b", "a")).union(many.select("key", "key"))
-            met = near.join(parts.select(F.col("key").alias("a"), F.col("root").alias("ru")), "a").join(parts.select(F.col("key").alias("b"), F.col("root").alias("rv")), "b").where("ru < rv")
-            left = placed.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("prints").alias("pu"), F.col("root").alias("ru"))
-            right = placed.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("prints").alias("pv"), F.col("root").alias("rv"))
-            rest = met.join(left, ["a", "ru"]).join(right, ["b", "rv"]).where(_near("pu", "pv", most)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            good = verified(rest)
-            if good.limit(1).count():
-                edges = edges.unionByName(good)
-                roots = tables.save(connected_components(edges, tables), "roots")
-            tables.drop(placed)
+    # Then every pair of larger classes that met and is still in two components. Classes are matched by the components in
+    # them first, so that texts which are in one component already, the bulk of a large group of copies, are never paired.
+    many = joined(parts).where("size > 1").select("key")
+    if many.limit(1).count():
+        every = joined(links)
+        wide = every.join(many.select(F.col("key").alias("a"), F.lit(1).alias("x")), "a", "left").join(many.select(F.col("key").alias("b"), F.lit(1).alias("y")), "b", "left").where("x is not null or y is not null").select("a", "b")
+        wide = tables.save(wide, "wide")
+        linked = wide.select(F.col("a").alias("key")).union(wide.select("b")).union(many).distinct()
+        placed = everyone.join(linked, "key").join(prints, "node").join(roots, "node", "left").select("key", "node", "prints", F.coalesce("root", "node").alias("root"))
+        placed = tables.save(placed, "placed")
+        held = placed.select("key", "root").distinct()
+        near = wide.union(wide.select("b", "a")).union(many.select("key", "key"))
+        met = near.join(held.select(F.col("key").alias("a"), F.col("root").alias("ru")), "a").join(held.select(F.col("key").alias("b"), F.col("root").alias("rv")), "b").where("ru < rv")
+        left = placed.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("prints").alias("pu"), F.col("root").alias("ru"))
+        right = placed.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("prints").alias("pv"), F.col("root").alias("rv"))
+        rest = met.join(left, ["a", "ru"]).join(right, ["b", "rv"]).where(_near("pu", "pv", most)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        good = verified(rest)
+        if good.limit(1).count():
+            roots = tables.save(connected_components(edges.unionByName(good), tables), "roots")
 
     kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("kept"))
     dropped = rows.select("id", "mark", "node").join(nodes.select("node", "first"), "node").join(roots, "node", "left").join(kept, "root", "left")
