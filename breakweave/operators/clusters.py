@@ -13,24 +13,43 @@ from pyspark.sql import functions as F
 BIN = 4096
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none of them is a column (letter case does not tell columns apart)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def label_clusters(intervals: DataFrame, extend: int = 0, bin_width: int = BIN) -> DataFrame:
-    """``intervals`` with ``cluster``: a number per chromosome, the same for intervals connected by overlap within ``extend``."""
-    rows = intervals.withColumn("bin", F.floor(F.col("start") / bin_width))
-    over_bins = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy("chrom", "bin").agg(F.max("end").alias("top")).withColumn("carry", F.max("top").over(over_bins)).select("chrom", "bin", "carry")
-    inside = Window.partitionBy("chrom", "bin").orderBy("start", "end")
-    furthest = F.greatest(F.col("carry"), F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(carried, ["chrom", "bin"]).withColumn("furthest", furthest)
-    rows = rows.withColumn("opens", (F.col("furthest").isNull() | (F.col("start") > F.col("furthest") + extend)).cast("bigint"))
-    # Rows with equal (start, end) come in any order, but only the first of them can open a cluster.
-    rows = rows.withColumn("run", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    before = rows.groupBy("chrom", "bin").agg(F.sum("opens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(over_bins), F.lit(0))).select("chrom", "bin", "before")
-    return rows.join(before, ["chrom", "bin"]).withColumn("cluster", F.col("before") + F.col("run")).drop("bin", "carry", "furthest", "opens", "run", "before")
+    """``intervals`` with ``cluster``: a number per chromosome, the same for intervals connected by overlap within ``extend``.
+
+    Bounds may come in either order. Rows with a null chromosome or bound are in no cluster and are left
+    out; all columns stay, of any name but ``cluster``, which is replaced.
+    """
+    intervals = intervals.drop("cluster")
+    low, high, part, carry, furthest, opens, run, before, top, n = free_names(intervals.columns, "low", "high", "bin", "carry", "furthest", "opens", "run", "before", "top", "n")
+    rows = intervals.withColumns({low: F.least("start", "end"), high: F.greatest("start", "end")}).where(F.col("chrom").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+    rows = rows.withColumn(part, F.floor(F.col(low) / bin_width))
+    over_bins = Window.partitionBy("chrom").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("chrom", part).agg(F.max(high).alias(top)).withColumn(carry, F.max(top).over(over_bins)).select("chrom", part, carry)
+    inside = Window.partitionBy("chrom", part).orderBy(low, high)
+    reached = F.greatest(F.col(carry), F.max(high).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(carried, ["chrom", part]).withColumn(furthest, reached)
+    rows = rows.withColumn(opens, (F.col(furthest).isNull() | (F.col(low) > F.col(furthest) + extend)).cast("bigint"))
+    # Rows with equal bounds come in any order, but only the first of them can open a cluster.
+    rows = rows.withColumn(run, F.sum(opens).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = rows.groupBy("chrom", part).agg(F.sum(opens).alias(n)).withColumn(before, F.coalesce(F.sum(n).over(over_bins), F.lit(0))).select("chrom", part, before)
+    return rows.join(earlier, ["chrom", part]).select(*intervals.columns, (F.col(before) + F.col(run)).alias("cluster"))
 
 
 def merge_clusters(intervals: DataFrame, extend: int = 0) -> DataFrame:
     """Hull and number of members of every cluster: ``chrom, start, end, members``."""
-    return label_clusters(intervals, extend).groupBy("chrom", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("members")).drop("cluster")
+    return label_clusters(intervals, extend).groupBy("chrom", "cluster").agg(F.min(F.least("start", "end")).alias("start"), F.max(F.greatest("start", "end")).alias("end"), F.count("*").alias("members")).drop("cluster")
 
 
 def depth_steps(intervals: DataFrame, bin_width: int = BIN) -> DataFrame:

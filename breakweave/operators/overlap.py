@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clusters import free_names
+
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
@@ -19,25 +21,30 @@ def overlap_join(left: DataFrame, right: DataFrame, extend: int = 0, width: int
     """Join ``left`` and ``right`` (chrom, start, end, ...) where they overlap within ``extend``.
 
     Right columns are prefixed ``r_``. ``how``: inner, left_semi or left_anti. ``width`` should be near
-    the usual length of the right intervals; it decides speed only, never the result.
+    the usual length of the right intervals; it decides speed only, never the result. Rows with a null chromosome or
+    bound, and rows whose start lies behind their end, overlap nothing.
     """
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("r_bin", _bins(F.col("r_start"), F.col("r_end"), width))
+    mine, theirs = free_names([*left.columns, *[f"r_{c}" for c in right.columns]], "bin", "r_bin")
+    sound = (F.col("start") <= F.col("end")) & F.col("chrom").isNotNull()
+    r = right.where(sound).select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn(theirs, _bins(F.col("r_start"), F.col("r_end"), width))
     low, high = F.greatest(F.lit(0), F.col("start") - extend), F.col("end") + extend
-    met = (F.col("chrom") == F.col("r_chrom")) & (F.col("bin") == F.col("r_bin")) & (low <= F.col("r_end")) & (F.col("r_start") <= high)
+    met = (F.col("chrom") == F.col("r_chrom")) & (F.col(mine) == F.col(theirs)) & (low <= F.col("r_end")) & (F.col("r_start") <= high)
+    able = sound & (low <= high)
     if how == "inner":
-        once = F.col("bin") == F.floor(F.greatest(low, F.col("r_start")) / width)
-        return left.withColumn("bin", _bins(low, high, width)).join(r, met & once).drop("bin", "r_bin", "r_chrom")
+        once = F.col(mine) == F.floor(F.greatest(low, F.col("r_start")) / width)
+        return left.where(able).withColumn(mine, _bins(low, high, width)).join(r, met & once).drop(mine, theirs, "r_chrom")
     # Whether a row overlaps anything depends on its place alone, so only distinct places are joined and sent back.
-    places = left.select("chrom", "start", "end").distinct()
-    hit = places.withColumn("bin", _bins(low, high, width)).join(r, met, "left_semi").select("chrom", "start", "end").distinct()
+    places = left.select("chrom", "start", "end").distinct().where(able)
+    hit = places.withColumn(mine, _bins(low, high, width)).join(r, met, "left_semi").select("chrom", "start", "end").distinct()
     return left.join(hit, ["chrom", "start", "end"], how).select(*left.columns)
 
 
 def point_join(points: DataFrame, spans: DataFrame, width: int = 256) -> DataFrame:
-    """Each point (chrom, pos, ...) with every span that holds it."""
-    r = spans.select(*[F.col(c).alias(f"r_{c}") for c in spans.columns]).withColumn("r_bin", _bins(F.col("r_start"), F.col("r_end"), width))
-    met = (F.col("chrom") == F.col("r_chrom")) & (F.floor(F.col("pos") / width) == F.col("r_bin")) & F.col("pos").between(F.col("r_start"), F.col("r_end"))
-    return points.join(r, met).drop("r_bin", "r_chrom")
+    """Each point (chrom, pos, ...) with every span that holds it; points and spans with nulls, and spans that end before their start, meet nothing."""
+    (theirs,) = free_names([*points.columns, *[f"r_{c}" for c in spans.columns]], "r_bin")
+    r = spans.where("start <= end").select(*[F.col(c).alias(f"r_{c}") for c in spans.columns]).withColumn(theirs, _bins(F.col("r_start"), F.col("r_end"), width))
+    met = (F.col("chrom") == F.col("r_chrom")) & (F.floor(F.col("pos") / width) == F.col(theirs)) & F.col("pos").between(F.col("r_start"), F.col("r_end"))
+    return points.join(r, met).drop(theirs, "r_chrom")
 
 
 def asof_join(points: DataFrame, steps: DataFrame, value: str, bin_width: int = 4096) -> DataFrame:

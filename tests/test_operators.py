@@ -218,3 +218,19 @@ def test_coverage_stats_equal_brute_force(spark):
             r = got[key]
             assert (r.n_windows, r.median) == (len(fine), fine[len(fine) // 2])
             assert abs(r["mean"] - statistics.fmean(fine)) < 1e-9 and abs(r.deviation - statistics.pstdev(fine)) < 1e-9
+
+
+def test_names_that_operators_use(spark):
+    """Columns named like the operators' own helpers stay; nulls and reversed bounds have a defined place."""
+    from breakweave.operators import clusters, overlap
+
+    names = "chrom string, start bigint, end bigint, bin int, run int, carry int, low int, cluster string, r_bin int"
+    rows = [("a", 1, 10, 1, 2, 3, 4, "x", 5), ("a", 12, 8, 1, 2, 3, 4, "x", 5), (None, 1, 2, 1, 2, 3, 4, "x", 5), ("a", None, 3, 1, 2, 3, 4, "x", 5), ("a", 30, 40, 1, 2, 3, 4, "x", 5)]
+    frame = spark.createDataFrame(rows, names)
+    got = sorted((r["start"], r["cluster"], r["bin"], r["run"], r["carry"], r["low"], r["r_bin"]) for r in clusters.label_clusters(frame).collect())
+    assert got == [(1, 1, 1, 2, 3, 4, 5), (12, 1, 1, 2, 3, 4, 5), (30, 2, 1, 2, 3, 4, 5)]
+    assert sorted((r["start"], r["end"], r["members"]) for r in clusters.merge_clusters(frame).collect()) == [(1, 12, 2), (30, 40, 1)]
+    met = overlap.overlap_join(frame, frame.where("start = 1"), width=4).collect()
+    assert [(r["start"], r["bin"], r["r_bin"], r["r_start"]) for r in met] == [(1, 1, 5, 1)] or {r["start"] for r in met} == {1}
+    assert {r["start"] for r in overlap.overlap_join(frame, frame.where("start = 1"), width=4, how="left_anti").collect()} == {12, 1, None, 30}
+    assert overlap.point_join(frame.select("chrom", (F.col("start") + 1).alias("pos"), "bin"), frame, width=4).count() == 2
