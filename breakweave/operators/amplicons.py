@@ -82,6 +82,20 @@ def neighbors(spans: DataFrame, known: DataFrame, edges: DataFrame, amplified: D
     return merged.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("seed", F.col("place").alias("chrom"), "start", "end", "weight")
 
 
+def foreign_expansion(seeds: DataFrame, edges: DataFrame, amplified: DataFrame, contigs: DataFrame, merge: int = 5_000_000, pad: int = 10_000) -> DataFrame:
+    """Intervals that seeds of a second genome lead to: ``chrom, start, end``.
+
+    Both ends of the edges that start in a seed (chrom, start, end) and the seeds themselves are merged within ``merge``;
+    clusters that meet an amplified interval or a seed stay, widened by ``pad`` within their contig (chrom, length).
+    """
+    spans = seeds.select("chrom", "start", "end")
+    found = point_join(edges.select("edge", F.col("chrom1").alias("chrom"), F.col("pos1").alias("pos"), "chrom2", "pos2"), spans, width=4096).select("chrom", "pos", "chrom2", "pos2").distinct()
+    ends = found.select("chrom", F.col("pos").alias("at")).unionByName(found.select(F.col("chrom2").alias("chrom"), F.col("pos2").alias("at")))
+    every = ends.select("chrom", F.col("at").alias("start"), F.col("at").alias("end")).unionByName(spans)
+    kept = overlap_join(merge_clusters(every, merge), amplified.select("chrom", "start", "end").unionByName(spans), width=4096, how="left_semi")
+    return kept.join(contigs, "chrom").select("chrom", F.greatest(F.lit(0), F.col("start") - pad).alias("start"), F.least(F.col("end") + pad, "length").alias("end"))
+
+
 def hops(seeds: DataFrame, edges: DataFrame, amplified: DataFrame, width: int, max_insert: int, merge: int = 100_000, rounds: int = 10) -> DataFrame:
     """Intervals reached from each seed (seed, chrom, start, end) along edges: ``seed, chrom, start, end``.
 

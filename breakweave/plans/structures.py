@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import breakpoints as B
 from ..operators import cycle_edits as Y
 from ..operators import edge_sequences as S
 from ..operators import foldbacks as D
 from ..operators import long_reads as L
+from ..operators import pairs as P
 from ..operators import shifts as H
 from ..operators import statistics as T
 from ..operators import tracks as K
+from ..operators.amplicons import foreign_expansion as foreign
 from ..operators.clusters import merge_clusters
 from ..operators.integrity import graph_violations as graph_integrity
 from ..operators.layout import layout
 from ..operators.runs import with_neighbours
 from ..operators.work import WorkTables
 from ..sources import readers as R
-from .amplicons import CHUNK, INSERT, _chunks, _graph
+from .amplicons import CHUNK, INSERT, _amplified, _chunks, _graph, edges
 from .bindings import SQL, calls, flows, genes, reads, table
-from .catalogue import SHARED, WIN, query, windows
+from .catalogue import EDGE_SQL, SHARED, WIN, _merge_sql, _named_pairs, query, windows
 
 # --- long reads -------------------------------------------------------------------------------------
 
@@ -352,3 +355,40 @@ def cycle_edits(spark: SparkSession, d: str) -> DataFrame:
     walk = F.array_join(F.transform("segments", lambda s: F.concat(s["seg"], F.when(s["orient"] == 1, "+").otherwise("-"))), ",")
     found = made.join(done, ["grp", "n"]).join(rest("c1", "rest1"), ["grp", "c1"]).join(rest("c2", "rest2"), ["grp", "c2"])
     return found.select("grp", "c1", "c2", F.round("cn", 6).alias("cn"), F.round("rest1", 6).alias("rest1"), F.round("rest2", 6).alias("rest2"), walk.alias("walk"))
+
+
+# --- seeds of a second genome, weak edges at bare shifts ---------------------------------------------
+
+FOREIGN = """(SELECT chrom, "start", "end" FROM genes WHERE size_class >= 49)"""
+FOREIGN_POINTS = f"""(SELECT chrom, "start", "end" FROM (SELECT e.chrom1 AS chrom, e.pos1 AS "start", e.pos1 AS "end" FROM edge_rows AS e WHERE EXISTS (SELECT 1 FROM {FOREIGN} AS s WHERE s.chrom = e.chrom1 AND e.pos1 BETWEEN s."start" AND s."end")
+    UNION ALL SELECT e.chrom2, e.pos2, e.pos2 FROM edge_rows AS e WHERE EXISTS (SELECT 1 FROM {FOREIGN} AS s WHERE s.chrom = e.chrom1 AND e.pos1 BETWEEN s."start" AND s."end") UNION ALL SELECT * FROM {FOREIGN} AS f) AS p)"""
+
+
+@query(f"""SELECT c.chrom, greatest(0, c."start" - 50) AS "start", least(c."end" + 50, l.length) AS "end" FROM ({_merge_sql(FOREIGN_POINTS, 600)}) AS c JOIN (SELECT chrom, CAST(max("end") AS BIGINT) AS length FROM (SELECT chrom, "end" FROM reads UNION ALL SELECT chrom, "end" FROM genes) AS x GROUP BY chrom) AS l ON l.chrom = c.chrom
+    WHERE EXISTS (SELECT 1 FROM amp_win AS a WHERE a.chrom = c.chrom AND a."start" <= c."end" AND a."end" >= c."start") OR EXISTS (SELECT 1 FROM {FOREIGN} AS s WHERE s.chrom = c.chrom AND s."start" <= c."end" AND s."end" >= c."start")""")
+def foreign_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Where the largest genes, taken as seeds of a second genome, lead to along edges."""
+    tables = WorkTables(spark)
+    g = genes(spark, d)
+    contigs = reads(spark, d).select("chrom", "end").unionByName(g.select("chrom", "end")).groupBy("chrom").agg(F.max("end").alias("length"))
+    return foreign(g.where("size_class >= 49"), edges(spark, d, tables), tables.save(_amplified(spark, d, tables), "amplified"), contigs, 600, 50)
+
+
+SHARED["weak_rows"] = f"""SELECT *, concat_ws('/', chrom1, pos1, strand1, chrom2, pos2, strand2) AS edge FROM ({EDGE_SQL.replace("THEN 4 ELSE 2 END", "THEN 2 ELSE 1 END").replace('"end")) >= 2', '"end")) >= 1').replace("m_end)) >= 2", "m_end)) >= 1")}) AS e"""
+SHARED["bare_steps"] = f"""SELECT chrom, pos, "drop" FROM (SELECT chrom, win * {WIN} - 1 AS pos, CASE WHEN was THEN 1 ELSE -1 END AS "drop" FROM (SELECT chrom, win, high, lag(high) OVER (PARTITION BY chrom ORDER BY win) AS was FROM shift_series) AS f WHERE high <> was) AS b
+    WHERE NOT EXISTS (SELECT 1 FROM edge_rows AS e WHERE e.chrom1 = b.chrom AND e.strand1 * b."drop" > 0 AND abs(e.pos1 - b.pos) < 150)"""
+SHARED["weak_found"] = """SELECT DISTINCT edge FROM (SELECT w.edge, row_number() OVER (PARTITION BY b.chrom, b.pos, b."drop" ORDER BY abs(b.pos - w.pos1) < 50 DESC, w.support DESC, w.edge DESC) AS k FROM bare_steps AS b JOIN weak_rows AS w ON w.chrom1 = b.chrom AND w.strand1 * b."drop" > 0 AND abs(w.pos1 - b.pos) < 300) AS r WHERE k = 1"""
+SHARED["weak_added"] = """SELECT w.edge, chrom1, pos1, strand1, chrom2, pos2, strand2, support FROM weak_rows AS w JOIN weak_found AS f ON f.edge = w.edge"""
+SHARED["weak_both"] = """SELECT * FROM weak_added UNION ALL SELECT concat_ws('/', chrom2, pos2, strand2, chrom1, pos1, strand1), chrom2, pos2, strand2, chrom1, pos1, strand1, support FROM weak_added AS a WHERE EXISTS (SELECT 1 FROM spans AS s WHERE s.chrom = a.chrom2 AND a.pos2 BETWEEN s."start" AND s."end")
+    AND NOT EXISTS (SELECT 1 FROM weak_added AS b WHERE b.chrom1 = a.chrom2 AND b.pos1 = a.pos2 AND b.strand1 = a.strand2 AND b.chrom2 = a.chrom1 AND b.pos2 = a.pos1 AND b.strand2 = a.strand1)"""
+
+
+@query("""SELECT edge, chrom1, pos1, strand1, chrom2, pos2, strand2, support FROM edge_rows UNION ALL SELECT * FROM weak_both AS w WHERE NOT EXISTS (SELECT 1 FROM edge_rows AS e WHERE e.edge = w.edge)""")
+def sensitive_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Supported edges, and for shifts that none of them explains the best of those that fewer pairs support, from both ends where the second lies in an interval."""
+    tables = WorkTables(spark)
+    pairs = tables.save(_named_pairs(spark, d), "pairs")
+    named = lambda support: tables.save(P.pair_edges(pairs, 200, support).withColumn("edge", F.concat_ws("/", *B.EDGE[1:])).select(*B.EDGE, "support"), f"edges-{support}")
+    steps = tables.save(_shifts(spark, d, tables).withColumn("refined", F.lit(True)), "steps")
+    spans = tables.save(merge_clusters(genes(spark, d).where("size_class >= 20").select("chrom", "start", "end")), "spans")
+    return B.sensitive_edges(named(2), named(1), steps, spans, 100, 50, 200)
