@@ -39,7 +39,7 @@ DISCOUNTED, ADDED = 5, 0.1
 FOLDS, HELD_OUT = 10, 0
 SEED = 42
 
-_BLOCK = "block bigint, words binary, idx binary, docs array<struct<doc_id:bigint,held:boolean,size:int>>"
+_BLOCK = "block bigint, words binary, ranks binary, idx binary, docs array<struct<doc_id:bigint,held:boolean,size:int>>"
 _ASK = "bucket bigint, block bigint, ctx binary, runs binary, keys binary, counts binary, lower binary"
 _TELL = "kind string, bucket bigint, block bigint, keys binary, ids binary, counts binary, total binary, types binary, mass binary"
 _LISTS = ("keys", "ids", "counts", "total", "types", "mass")
@@ -128,7 +128,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         words, place = np.unique(hashes, return_inverse=True)
         block = TaskContext.get().partitionId() << 33 | number
         at = place[np.array(idx, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed(words)]), pa.array([packed(at)]), pa.array([docs], docs_type)], ["block", "words", "idx", "docs"])
+        # The most frequent words have the smallest numbers, which take the least room; words of one frequency stay in order of hash.
+        ranks = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        numbers = np.empty_like(ranks)
+        numbers[ranks] = np.arange(len(ranks))
+        return pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([packed(x)]) for x in (words, ranks, numbers[at])), pa.array([docs], docs_type)], ["block", "words", "ranks", "idx", "docs"])
 
     for batch in batches:
         for key, held, text in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -177,8 +181,8 @@ def _first_asks(model: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, idx, docs in zip(*(batch.column(c) for c in ("block", "words", "idx", "docs")), strict=True):
-                words, idx = unpacked(words.as_py()).view(np.uint64), unpacked(idx.as_py())
+            for block, words, ranks, idx, docs in zip(*(batch.column(c) for c in ("block", "words", "ranks", "idx", "docs")), strict=True):
+                words, idx = unpacked(words.as_py()).view(np.uint64), unpacked(ranks.as_py())[unpacked(idx.as_py())]
                 docs = pa.Table.from_struct_array(docs.values)
                 learned = np.repeat(~np.asarray(docs["held"].combine_chunks()), np.asarray(docs["size"]))
                 own = np.bincount(idx[learned], minlength=len(words))
@@ -202,7 +206,7 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         doc = np.repeat(np.arange(len(sizes)), sizes)
         self.learned = ~np.asarray(self.docs["held"].combine_chunks())[doc]
-        self.idx, self.words = idx, int(idx.max()) + 1
+        self.idx, self.words, self.ranks = idx, int(idx.max()) + 1, unpacked(row.column("ranks")[0].as_py())
         # One place before every text, whose n-grams are all the start.
         self.at = np.arange(len(idx)) + doc + 1
         self.size = len(idx) + len(sizes)
@@ -227,8 +231,8 @@ class Block:
         answers = told.filter(pa.array((kinds == "count") & (levels == n))).sort_by("bucket")
         seen, ids = _column(answers, "counts"), _column(answers, "ids")
         if n == 1:
-            self.counts.append(seen[self.idx])
-            self.ids.append(ids[self.idx])
+            self.counts.append(seen[self.ranks][self.idx])
+            self.ids.append(ids[self.ranks][self.idx])
             self.grams.append(self.idx)
             self.chance.append((self.counts[0] + ADDED) / (self.model["tokens"] + ADDED * (self.model["words"] + 1)))
             return
