@@ -46,8 +46,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined cases: a null text is an empty text, and empty texts are equal to each other. Of equal texts
     the row with the smallest id stays; a null id ranks after all others; of repeated rows with the same
-    id and text exactly one stays. An empty table gives an empty result. Other columns are ignored, so
-    their names can't clash.
+    id and text exactly one stays; very long texts are compared whole, block by block. An empty table gives
+    an empty result. Other columns are ignored, so their names can't clash.
     """
     tables = tables or WorkTables(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))

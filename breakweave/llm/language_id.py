@@ -51,7 +51,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Defined cases: null texts and texts without a letter are ``und`` with score 0; rows with a null id
     are never learned from and held_out is null for them; a table without any labelled row gives ``und``
-    throughout; repeated rows are predicted each; an empty table gives an empty result.
+    throughout; repeated rows are predicted each; very long texts are read whole, window by window; other columns are
+    ignored, so their names can't clash; an empty table gives an empty result.
     """
     net, languages = train_languages(docs, id_col, text_col, lang_col)
     return predict_languages(docs, net, languages, id_col, text_col).select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")

@@ -65,7 +65,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A token is a word; ``start`` is the piece's first word in its document. Defined cases: null, empty
     and blank texts have no tokens and take one piece of 0 tokens with null shard, bin, offset and
     length; a null id is an ordinary value; repeated rows are packed as often as they come; ties in size
-    are broken by id, piece and row. A text of any length is cut without being held as an array. An empty table gives an empty result.
+    are broken by id, piece and row. A text of any length is cut without being held as an array. Other columns are
+    ignored, so their names can't clash. An empty table gives an empty result.
     """
     longest = max(lengths)
     tables = WorkTables(docs.sparkSession)

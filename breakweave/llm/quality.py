@@ -41,7 +41,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
     Defined cases: null and empty texts are scored as empty; label rows with null id or mark are left out;
     without usable labels all scores are 0.5; repeated rows are scored each; held_out is null where the
-    id is; an empty table gives an empty result.
+    id is; very long texts are read whole, chunk by chunk; other columns are ignored, so their names can't clash; an empty table gives an empty result.
     """
     net, shift = train_quality(docs, labels, label_col, id_col, text_col)
 

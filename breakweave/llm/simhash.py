@@ -86,7 +86,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined cases: null and empty texts and texts without a word have fingerprint zero and link like any
     other; a null id keeps its row and is never a component's id unless all its ids are null; repeated
-    rows appear as often as they came; an empty table gives an empty result.
+    rows appear as often as they came; very long texts are hashed whole, some shingles at a time; other columns are
+    ignored, so their names can't clash; an empty table gives an empty result.
     """
     tables = WorkTables(docs.sparkSession)
     prints = tables.save(fingerprints(docs, id_col, text_col, words), "fingerprints")

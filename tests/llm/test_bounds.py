@@ -39,3 +39,15 @@ def test_mixture_says_what_is_out_of_reach(spark):
         assert np.isclose(one[f"least_{d}"], rows.loc[rows["tokens"] > 0, f"p_{d}"].min())
         if not one["met"] and one[f"least_{d}"] > share:
             assert one[f"fitted_{d}"] > one[f"wanted_{d}"]
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' own ones change nothing."""
+    from breakweave.llm import exact_dedup, packing, pii, simhash
+
+    rows = [(1, "a b c", "x"), (2, "a b c", "x"), (3, "d e", "x")]
+    plain = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    own = ("fp", "norm", "keys", "rid", "key", "node", "prints", "mark", "shard", "bin", "length", "found", "kinds", "kept", "row", "id")
+    clash = spark.createDataFrame([(*r[:2], *["x"] * len(own)) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in own))
+    for run in (simhash.near_duplicates, exact_dedup.exact_dedup, packing.pack_documents, lambda d: pii.pseudonymise_documents(d, b"k")):
+        assert sorted(map(str, run(plain).collect())) == sorted(map(str, run(clash).collect()))
