@@ -261,8 +261,8 @@ def keep_one_of_each(
         ends = joined(met).join(classes.select(F.col("key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), "a").join(classes.select(F.col("key").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "b")
         ends = ends.select(F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"a_{x}").alias("u"), F.col(f"b_{y}").alias("v")) for x in ("low", "high") for y in ("low", "high")]))).alias("p")).select("p.u", "p.v")
         within = members.join(classes.where("low <> high"), "key").select(F.explode(F.array_distinct(F.array(F.struct(F.col("low").alias("u"), F.col("node").alias("v")), F.struct(F.col("high").alias("u"), F.col("node").alias("v"))))).alias("p")).select("p.u", "p.v")
+        # Keys of one text each have been filtered in their variant's array; the few ends of larger classes go to the exact comparison as they are.
         ends = ends.unionByName(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        ends = ends.join(prints.select(F.col("node").alias("u"), F.col("prints").alias("pu")), "u").join(prints.select(F.col("node").alias("v"), F.col("prints").alias("pv")), "v").where(_near("pu", "pv", most)).select("u", "v")
         good = verified(ends)
         edges = good if edges is None else edges.unionByName(good)
         roots = tables.save(connected_components(edges, tables), "roots")
