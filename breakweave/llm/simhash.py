@@ -12,7 +12,7 @@ text only find candidates, and an exact comparison of shingle sets decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -30,9 +30,12 @@ _STEP = 1 << 15
 #: The stage's similarity; its short fingerprints per text; the share of their bits in which similar texts may differ
 #: (0.15 is expected at 0.8, at most 0.19 for texts of a few shingles, and 0.25 is four deviations above that).
 SIMILARITY, PRINTS, MOST_APART = 0.8, 20, 0.25
-#: Fingerprints whose variants are shuffled at once. The first ones join most of every component before the others are
-#: looked at, so that these meet in pairs only where texts are still apart.
+#: Fingerprints whose variants are shuffled at once.
 PRINTS_AT_ONCE = 4
+#: Texts of one fingerprint that are compared inside an array; larger classes are joined.
+TEXTS_AT_ONCE = 64
+#: Bits of a text's bitmap, in which every shingle sets one.
+BITS = 1024
 
 
 def text_fingerprint(text: str | None, words: int = 3) -> int:
@@ -138,7 +141,13 @@ def _nodes(batches: Iterator[pa.RecordBatch], words: int, count: int) -> Iterato
             nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
             prints = np.concatenate([short_fingerprints(x, count) for x in sets])
             prints = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * count, pa.int32()), pa.array(prints))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), prints], ["id", "mark", "node", "prints"])
+            bits = np.zeros((len(sets), BITS), np.uint8)
+            for k, x in enumerate(sets):
+                bits[k, (x % np.uint64(BITS)).astype(np.int64)] = 1
+            bits = pa.array(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel())
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (BITS // 64), pa.int32()), bits)
+            size = pa.array(list(map(len, sets)), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), prints, bits, size], ["id", "mark", "node", "prints", "bits", "size"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -149,49 +158,75 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _near(a: str | Column, b: str | Column, most: int) -> Column:
-    """Whether two rows of short fingerprints may belong to similar sets: a first filter, never the verdict."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return apart <= most
+def _apart(a: str | Column, b: str | Column) -> Column:
+    """Differing bits of two rows of short fingerprints: for a first filter, never the verdict."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def _class_links(classes: DataFrame, nodes: DataFrame, roots: DataFrame | None, most: int, tables: WorkTables) -> DataFrame:
-    """Pairs ``a, b`` (a < b) of ``classes``' keys (32-bit fingerprints) that differ in at most two bits, each once.
-
-    A variant's keys are one ball of at most 33, so they fit one array and are compared there. Left out are
-    keys whose texts are in one component already, and keys of one text each whose other fingerprints are
-    too far apart.
-    """
+def _meetings(classes: DataFrame) -> DataFrame:
+    """``variant, key`` wherever keys (32-bit fingerprints) that differ in at most two bits meet."""
     # A variant travels with the place of the bit that was flipped (32: none), which is shorter than the key itself.
     flips = [*(1 << b for b in range(32)), 0]
     key = F.col("variant").bitwiseXOR(F.get(F.array(*[F.lit(m).cast("bigint") for m in flips]), F.col("bit").cast("int")))
     variants = classes.select(F.explode(F.array(*[F.struct(F.col("key").bitwiseXOR(F.lit(m)).alias("variant"), F.lit(b).cast("byte").alias("bit")) for b, m in enumerate(flips)])).alias("v")).select("v.*")
     # The keys of one variant are distinct, so a count over 1 is a meeting.
-    met = variants.withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1").select("variant", key.alias("key"))
-    met = tables.save(met, "met")
-    known = met.select("key").distinct().join(classes, "key").join(nodes.select(F.col("node").alias("low"), "prints"), "low")
-    if roots is None:
-        known = known.withColumn("root", F.lit(None).cast("bigint"))
-    else:
-        known = known.join(roots.select(F.col("node").alias("low"), "root"), "low", "left")
-        known = known.join(roots.select(F.col("node").alias("high"), F.col("root").alias("other")), "high", "left")
-        # A class counts as one component only if both of its ends say so and no third text can differ.
-        known = known.withColumn("root", F.when(F.col("size") <= 2, F.when(F.col("low") == F.col("high"), F.coalesce("root", "low")).when(F.col("root") == F.col("other"), F.col("root"))))
-    known = tables.save(known.select("key", "root", F.when(F.col("low") == F.col("high"), F.col("prints")).alias("prints")), "known")
-    balls = met.join(known, "key").groupBy("variant").agg(F.collect_list(F.struct("key", "root", "prints")).alias("ball"))
-
-    def meets(x: Column, y: Column) -> Column:
-        apart = x["key"].bitwiseXOR(y["key"])
-        # Two keys meet on two variants; this one is the smaller key with the lowest differing bit flipped.
-        here = x["key"].bitwiseXOR(apart.bitwiseAND(-apart)) == F.col("variant")
-        split = F.coalesce(x["root"] != y["root"], F.lit(True))
-        return (x["key"] < y["key"]) & here & split & F.coalesce(_near(x["prints"], y["prints"], most), F.lit(True))
-
-    pairs = F.flatten(F.transform("ball", lambda x: F.transform(F.filter("ball", lambda y: meets(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
-    links = tables.save(balls.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), "links")
-    tables.drop(met)
-    tables.drop(known)
-    return links
+    return variants.withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1").select("variant", key.alias("key"))
+
+
+def _able(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
+    """Whether two sets of shingles can be similar: a bit that only one has stands for a shingle that the other lacks, so no similar pair is refused."""
+
+    def held(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        return a("size") - F.aggregate(F.zip_with(a("bits"), b("bits"), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, z: n + z)
+
+    return F.least(held(x, y), held(y, x)) * F.lit(1 + similarity) >= F.lit(similarity) * (x("size") + y("size")) - F.lit(1e-6)
+
+
+def _similar(x: Callable[[str], Column], y: Callable[[str], Column], most: int, similarity: float) -> Column:
+    """Whether two texts may be similar, by their bitmaps and by their fingerprints."""
+    return _able(x, y, similarity) & (_apart(x("prints"), y("prints")) <= most)
+
+
+def _meets(x: Column, y: Column) -> Column:
+    """Whether x is the smaller one of two keys in a variant's ``ball``, and this the one of their two variants where they are compared."""
+    apart = x["key"].bitwiseXOR(y["key"])
+    # The other variant is the larger key with the lowest differing bit flipped.
+    return (x["key"] < y["key"]) & (x["key"].bitwiseXOR(apart.bitwiseAND(-apart)) == F.col("variant"))
+
+
+def _nearest_links(met: DataFrame, known: DataFrame, most: int, similarity: float) -> DataFrame:
+    """For every key ``b`` that meets smaller ones the key ``a`` with the nearest text; keys of one text each only if they may be similar.
+
+    ``known``: ``key, single, prints, bits, size``. A variant's keys are one ball of at most 33, so they fit one array and are compared there.
+    """
+    balls = met.join(known, "key").groupBy("variant").agg(F.collect_list(F.struct("key", "single", "prints", "bits", "size")).alias("ball"))
+
+    def first(y: Column) -> Column:
+        near = F.filter("ball", lambda x: _meets(x, y) & (~(x["single"] & y["single"]) | _similar(x.getField, y.getField, most, similarity)))
+        return F.array_min(F.transform(near, lambda x: F.struct(_apart(x["prints"], y["prints"]).alias("apart"), x["key"].alias("a"))))
+
+    firsts = F.filter(F.transform("ball", lambda y: F.struct(first(y).alias("first"), y["key"].alias("b"))), lambda p: p["first"].isNotNull())
+    return balls.select(F.explode(firsts).alias("p")).groupBy("p.b").agg(F.min("p.first").alias("first")).select("first.a", "b")
+
+
+def _open_pairs(met: DataFrame, state: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Texts ``u, v`` of keys that are equal or meet, in two components and perhaps similar; or (u and v null) keys ``a, b`` of which one has too many texts for an array.
+
+    ``state``: ``key, root, members``: the component of all texts, if it is one; the texts (null: too many), with ``node, root, prints, bits, size``.
+    """
+
+    def pairs(x: Column, y: Column, ordered: Column | bool) -> Column:
+        of = lambda u: F.filter(y["members"], lambda v: (u["root"] != v["root"]) & (F.lit(ordered) | (u["node"] < v["node"])) & _similar(u.getField, v.getField, most, similarity))
+        texts = F.flatten(F.transform(x["members"], lambda u: F.transform(of(u), lambda v: F.struct(x["key"].alias("a"), y["key"].alias("b"), F.least(u["node"], v["node"]).alias("u"), F.greatest(u["node"], v["node"]).alias("v")))))
+        none = F.lit(None).cast("bigint")
+        return F.coalesce(texts, F.array(F.struct(x["key"].alias("a"), y["key"].alias("b"), none.alias("u"), none.alias("v"))))
+
+    balls = met.join(state, "key").groupBy("variant").agg(F.collect_list(F.struct("key", "root", "members")).alias("ball"))
+    others = lambda x: F.filter("ball", lambda y: _meets(x, y) & F.coalesce(x["root"] != y["root"], F.lit(True)))
+    across = balls.select(F.explode(F.flatten(F.flatten(F.transform("ball", lambda x: F.transform(others(x), lambda y: pairs(x, y, True)))))).alias("p"))
+    own = F.struct("key", "members")
+    within = state.where("root is null").select(F.explode(pairs(own, own, False)).alias("p"))
+    return across.union(within).select("p.*")
 
 
 def keep_one_of_each(
@@ -202,8 +237,9 @@ def keep_one_of_each(
     Texts are linked whose sets of distinct word shingles have a Jaccard similarity of ``similarity`` or
     more. Candidates come from ball hashing over ``count`` short fingerprints of 32 bits: each emits itself
     and its 32 neighbours, so two texts meet where one of their fingerprints differs in at most two bits.
-    Candidates that differ in more than ``most_apart`` of all fingerprint bits are left out (1: none is); every
-    other pair is compared exactly on the sets, unless its texts are in one component already. With texts'
+    Candidates that differ in more than ``most_apart`` of all fingerprint bits are left out (1: none is). Each
+    fingerprint's nearest meeting is compared exactly on the sets first, then every other pair, unless its texts
+    are in one component already or their bitmaps of ``BITS`` bits show that they can't be similar. With texts'
     number unrelated fingerprints of 32 bits meet more often, ``count`` times (33 n)^2 / 2^33 times in all;
     such meetings end inside a variant's array, which holds 33 keys at most.
 
@@ -215,14 +251,14 @@ def keep_one_of_each(
     tables = WorkTables(docs.sparkSession)
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    rows = tables.save(source.mapInArrow(lambda b: _nodes(b, words, count), "id bigint, mark bigint, node bigint, prints array<bigint>"), "prints")
+    rows = tables.save(source.mapInArrow(lambda b: _nodes(b, words, count), "id bigint, mark bigint, node bigint, prints array<bigint>, bits array<bigint>, size int"), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "mark")).alias("first")
-    nodes = tables.save(rows.groupBy("node").agg(first, F.any_value("prints").alias("prints")), "nodes")
+    nodes = tables.save(rows.groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("prints", "bits", "size")]), "nodes")
 
     most = int(most_apart * 32 * count)
     everyone = tables.save(nodes.select("node", F.explode("prints").alias("key")), "members")
-    prints = nodes.select("node", "prints")
-    edges = roots = None
+    prints = nodes.select("node", "prints", "bits", "size")
+    roots = None
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs ``u, v`` that are similar and not in one component yet."""
@@ -244,45 +280,54 @@ def keep_one_of_each(
     def joined(frames: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, frames)
 
-    parts, links = [], []  # of all fingerprints so far
-    for own in (range(0, min(count, PRINTS_AT_ONCE)), range(PRINTS_AT_ONCE, count)):
-        fresh, met = [], []
-        for at in own[::PRINTS_AT_ONCE]:
-            members = everyone.where(F.shiftright("key", 32).between(at, min(own[-1], at + PRINTS_AT_ONCE - 1)))
-            # Equal short fingerprints are one class, so that no group of copies emits its variants again and again.
-            fresh.append(tables.save(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")), "classes"))
-            met.append(_class_links(fresh[-1], nodes, roots, most, tables))
-        if not fresh:
-            continue
-        parts, links = parts + fresh, links + met
-        classes, members = joined(fresh), everyone.where(F.shiftright("key", 32).between(own[0], own[-1]))
-
-        # First only the ends of each class, as many pairs as members: they join most of every component.
-        ends = joined(met).join(classes.select(F.col("key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), "a").join(classes.select(F.col("key").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "b")
-        ends = ends.select(F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"a_{x}").alias("u"), F.col(f"b_{y}").alias("v")) for x in ("low", "high") for y in ("low", "high")]))).alias("p")).select("p.u", "p.v")
-        within = members.join(classes.where("low <> high"), "key").select(F.explode(F.array_distinct(F.array(F.struct(F.col("low").alias("u"), F.col("node").alias("v")), F.struct(F.col("high").alias("u"), F.col("node").alias("v"))))).alias("p")).select("p.u", "p.v")
-        # Keys of one text each have been filtered in their variant's array; the few ends of larger classes go to the exact comparison as they are.
-        ends = ends.unionByName(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        good = verified(ends)
-        edges = good if edges is None else edges.unionByName(good)
-        roots = tables.save(connected_components(edges, tables), "roots")
-
-    # Then every pair of larger classes that met and is still in two components. Classes are matched by the components in
-    # them first, so that texts which are in one component already, the bulk of a large group of copies, are never paired.
-    many = joined(parts).where("size > 1").select("key")
-    if many.limit(1).count():
-        every = joined(links)
-        wide = every.join(many.select(F.col("key").alias("a"), F.lit(1).alias("x")), "a", "left").join(many.select(F.col("key").alias("b"), F.lit(1).alias("y")), "b", "left").where("x is not null or y is not null").select("a", "b")
-        wide = tables.save(wide, "wide")
-        linked = wide.select(F.col("a").alias("key")).union(wide.select("b")).union(many).distinct()
-        placed = everyone.join(linked, "key").join(prints, "node").join(roots, "node", "left").select("key", "node", "prints", F.coalesce("root", "node").alias("root"))
-        placed = tables.save(placed, "placed")
+    def of(frame: DataFrame, at: int) -> DataFrame:
+        return frame.where(F.shiftright("key", 32).between(at, at + PRINTS_AT_ONCE - 1))
+
+    parts, meetings, firsts = [], [], []
+    for at in range(0, count, PRINTS_AT_ONCE):
+        # Equal short fingerprints are one class, so that no group of copies emits its variants again and again.
+        own = tables.save(of(everyone, at).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("texts")), "classes")
+        met = tables.save(_meetings(own), "met")
+        known = met.select("key").distinct().join(own.select("key", "low", (F.col("low") == F.col("high")).alias("single")), "key")
+        known = known.join(prints.withColumnRenamed("node", "low"), "low")
+        firsts.append(tables.save(_nearest_links(met, known, most, similarity), "nearest"))
+        parts, meetings = [*parts, own], [*meetings, met]
+    classes = joined(parts)
+
+    # First the ends of each class with those of the nearest one that it meets, and its texts with its ends: as many pairs as members. They join most of every component.
+    ends = joined(firsts).join(classes.select(F.col("key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), "a").join(classes.select(F.col("key").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "b")
+    ends = ends.select(F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"a_{x}").alias("u"), F.col(f"b_{y}").alias("v")) for x in ("low", "high") for y in ("low", "high")]))).alias("p")).select("p.u", "p.v")
+    many = classes.where("low <> high")
+    within = everyone.join(many, "key").select(F.explode(F.array_distinct(F.array(F.struct(F.col("low").alias("u"), F.col("node").alias("v")), F.struct(F.col("high").alias("u"), F.col("node").alias("v"))))).alias("p")).select("p.u", "p.v")
+    edges = verified(ends.unionByName(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    roots = tables.save(connected_components(edges, tables), "roots")
+
+    # Then every pair that met, is still in two components and may be similar: in arrays, but for classes of very many texts. These are matched
+    # by the components in them first, so that texts which are in one component already, the bulk of a large group of copies, are never paired.
+    keys = joined([m.select("key") for m in meetings]).union(many.select("key")).distinct().join(classes.select("key", "texts"), "key")
+    placed = tables.save(everyone.join(keys, "key").join(roots, "node", "left").select("key", "node", "texts", F.coalesce("root", "node").alias("root")), "placed")
+    one = F.when(F.min("root") == F.max("root"), F.min("root")).alias("root")
+    found = []
+    for k, met in enumerate(meetings):
+        own = of(placed, k * PRINTS_AT_ONCE)
+        listed = own.where(F.col("texts") <= TEXTS_AT_ONCE).join(prints, "node").groupBy("key").agg(one, F.collect_list(F.struct("node", "root", "prints", "bits", "size")).alias("members"))
+        large = own.where(F.col("texts") > TEXTS_AT_ONCE).groupBy("key").agg(one).withColumn("members", F.lit(None).cast(listed.schema["members"].dataType))
+        found.append(tables.save(_open_pairs(met, listed.union(large), most, similarity), "open"))
+    found = joined(found)
+    rest, near = found.where("u is not null").select("u", "v"), found.where("u is null").select("a", "b")
+    if near.limit(1).count():
+        near = tables.save(near.union(near.where("a <> b").select("b", "a")), "near")
+        placed = tables.save(placed.join(near.select(F.col("a").alias("key")).distinct(), "key").join(prints, "node").drop("texts"), "wide")
         held = placed.select("key", "root").distinct()
-        near = wide.union(wide.select("b", "a")).union(many.select("key", "key"))
-        met = near.join(held.select(F.col("key").alias("a"), F.col("root").alias("ru")), "a").join(held.select(F.col("key").alias("b"), F.col("root").alias("rv")), "b").where("ru < rv")
-        left = placed.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("prints").alias("pu"), F.col("root").alias("ru"))
-        right = placed.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("prints").alias("pv"), F.col("root").alias("rv"))
-        rest = met.join(left, ["a", "ru"]).join(right, ["b", "rv"]).where(_near("pu", "pv", most)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+        def side(frame: DataFrame, key: str, end: str) -> DataFrame:
+            return frame.select(F.col("key").alias(key), *[F.col(c).alias(f"{c}_{end}") for c in frame.columns if c != "key"])
+
+        met = near.join(side(held, "a", "u"), "a").join(side(held, "b", "v"), "b").where("root_u < root_v")
+        wide = met.join(side(placed, "a", "u"), ["a", "root_u"]).join(side(placed, "b", "v"), ["b", "root_v"]).where(_similar(lambda c: F.col(f"{c}_u"), lambda c: F.col(f"{c}_v"), most, similarity))
+        rest = rest.union(wide.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")))
+    rest = tables.save(rest.distinct(), "rest")
+    if rest.limit(1).count():
         good = verified(rest)
         if good.limit(1).count():
             roots = tables.save(connected_components(edges.unionByName(good), tables), "roots")
