@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens over the same bytes, by skipping along diagonals.
 
 Both encodings of a text are lists of byte ends. While tokens match one to one, token i of the first meets
-token i + shift of the second, so whole stretches of the two lists are equal at the present shift. Slices
-of doubling length are compared until one differs, and halving finds the first difference. There the
-tokens up to the next common end are one irregular group, after which the shift is another one.
+token i + shift of the second, so whole stretches of the two lists of sizes are equal at the present shift.
+Slices of doubling length are compared until one differs, and the lowest bit of their difference tells
+where. There the tokens up to the next common end are one irregular group, after which the shift is another
+one. Texts that are encoded in one call are walked as one: all of them begin and end together.
 
 Tokens and groups stay with their document. What is counted over the corpus are the pairs of token ids
 that end together: blocks of documents count their own pairs first, Spark adds them up, and each block
@@ -16,6 +17,8 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -69,27 +72,55 @@ def byte_level(path: str) -> tuple[list[bytes], Callable[[list[str]], list[list[
     return tokens, lambda texts: [encoder.encode_ordinary(t) for t in texts]
 
 
+def _objects(values: list[bytes]) -> np.ndarray:
+    found = np.empty(len(values), object)
+    found[:] = values
+    return found
+
+
+class Encoded(NamedTuple):
+    """Ids of both for some texts, one text after the other; text k has those from ``at_x[k]`` up to ``at_x[k + 1]``."""
+
+    a: np.ndarray
+    b: np.ndarray
+    at_a: np.ndarray
+    at_b: np.ndarray
+
+
 class Pair:
-    """Both tokenizers with the bytes and the decimal names of their tokens."""
+    """Both tokenizers with the bytes of their tokens, and the decimal ids with the mark that follows them inside and at the end of a group."""
 
     def __init__(self, folder: str):
         import sentencepiece
 
-        self.bytes_a, self.first = byte_level(f"{folder}/{FIRST}")
+        bytes_a, self.first = byte_level(f"{folder}/{FIRST}")
         self.second = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{SECOND}")
         names = [self.second.id_to_piece(k) for k in range(self.second.get_piece_size())]
-        self.bytes_b = [bytes([int(x[3:5], 16)]) if self.second.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
-        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
-        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both, for blank + text; empty where a text is empty or an encoding loses bytes."""
+        bytes_b = [bytes([int(x[3:5], 16)]) if self.second.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
+        self.bytes_a, self.bytes_b = _objects(bytes_a), _objects(bytes_b)
+        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (bytes_a, bytes_b))
+        digits = len(str(max(len(bytes_a), len(bytes_b))))
+        self.marked_a, self.marked_b = (np.array([b"%d%b" % (k, mark) for mark in (b",", last) for k in range(len(x))], f"S{digits + 1}") for x, last in ((bytes_a, b"|"), (bytes_b, b";")))
+
+    def encode(self, texts: list[str]) -> Encoded:
+        """Ids of both, for blank + text; none where a text is empty or an encoding loses bytes."""
         firsts = self.first([" " + t for t in texts])
         seconds = self.second.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, firsts, seconds, strict=True):
+        (a, many_a), (b, many_b) = (self._joined(x) for x in (firsts, seconds))
+        (at_a, at_b), same = (_starts(many_a), _starts(many_b)), np.zeros(len(texts), bool)
+        for k, text in enumerate(texts):
             whole = b" " + text.encode()
-            same = text and b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            yield (a, b) if same else ([], [])
+            same[k] = text != "" and all(b"".join(of[ids[at[k] : at[k + 1]]].tolist()) == whole for of, ids, at in ((self.bytes_a, a, at_a), (self.bytes_b, b, at_b)))
+        return Encoded(a[np.repeat(same, many_a)], b[np.repeat(same, many_b)], _starts(many_a * same), _starts(many_b * same))
+
+    @staticmethod
+    def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        many = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int64, many.sum()), many
+
+
+def _starts(many: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
 
 
 @lru_cache(maxsize=2)
@@ -97,80 +128,82 @@ def _pair(folder: str) -> Pair:
     return Pair(folder)
 
 
-def common_ends(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+def common_ends(ends_a: np.ndarray | list[int], ends_b: np.ndarray | list[int]) -> Iterator[tuple[int, int, int, int]]:
     """``i, j, run, 0`` for stretches of ``run`` one-to-one tokens from i and j, ``i, j, m, n`` for an irregular group of m and n tokens.
 
     The lists ascend strictly and end alike.
     """
-    i, j, most_i, most_j = 0, 0, len(ends_a), len(ends_b)
+    most_i, most_j = len(ends_a), len(ends_b)
+    if not most_i:
+        return
+    sizes = [np.diff(x, prepend=0) for x in (ends_a, ends_b)]
+    kind = np.min_scalar_type(max(x.max() for x in sizes))
+    width, (of_a, of_b) = kind.itemsize, (x.astype(kind.newbyteorder("<")).tobytes() for x in sizes)
+    size_a, size_b = (x.tolist() for x in sizes)
+    i, j = 0, 0
     while i < most_i:
-        run, step, rest = 0, 1, min(most_i - i, most_j - j)
+        run, step, rest = 0, 32, min(most_i - i, most_j - j)
         while run < rest:
             till = min(run + step, rest)
-            if ends_a[i + run : i + till] == ends_b[j + run : j + till]:
-                run, step = till, 2 * step
-                continue
-            while till - run > 1:  # the first difference lies before till
-                mid = (run + till) // 2
-                if ends_a[i + run : i + mid] == ends_b[j + run : j + mid]:
-                    run = mid
-                else:
-                    till = mid
-            break
+            apart = int.from_bytes(of_a[(i + run) * width : (i + till) * width], "little") ^ int.from_bytes(of_b[(j + run) * width : (j + till) * width], "little")
+            if apart:
+                run += ((apart & -apart).bit_length() - 1) // (8 * width)
+                break
+            run, step = till, 2 * step
         if run:
             yield i, j, run, 0
             i, j = i + run, j + run
             if i == most_i:
                 return
-        a, b = i, j
-        while ends_a[a] != ends_b[b]:
-            if ends_a[a] < ends_b[b]:
+        a, b, ahead = i, j, size_a[i] - size_b[j]
+        while ahead:
+            if ahead < 0:
                 a += 1
+                ahead += size_a[a]
             else:
                 b += 1
+                ahead -= size_b[b]
         yield i, j, a + 1 - i, b + 1 - j
         i, j = a + 1, b + 1
 
 
-def _ends(ids: list[int], size: np.ndarray) -> list[int]:
-    return np.cumsum(size[ids]).tolist() if ids else []
+def aligned(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``a`` and ``b`` of each group's last tokens."""
+    walk = common_ends(np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b]))
+    odd, last = np.fromiter(chain.from_iterable(x for x in walk if x[3]), np.int64).reshape(-1, 4), []
+    for ids, at, many in ((a, odd[:, 0], odd[:, 2]), (b, odd[:, 1], odd[:, 3])):
+        inner = np.zeros(len(ids), np.int8)  # 1 from a group's first token on, up to its last one
+        inner[at] += 1
+        inner[at + many - 1] -= 1
+        last.append(np.flatnonzero(np.cumsum(inner) == 0))
+    return last[0], last[1]
 
 
-def aligned(pair: Pair, a: list[int], b: list[int]) -> tuple[list[int], list[int], str]:
-    """Positions in ``a`` and ``b`` of each group's last tokens, and the groups as text (``a1,a2|b1;a3|b2,b3``)."""
-    last_a, last_b, parts = [], [], []
-    names_a, names_b = list(map(pair.names.__getitem__, a)), list(map(pair.names.__getitem__, b))
-    for i, j, m, n in common_ends(_ends(a, pair.size_a), _ends(b, pair.size_b)):
-        if n:
-            last_a.append(i + m - 1)
-            last_b.append(j + n - 1)
-            parts.append(",".join(names_a[i : i + m]) + "|" + ",".join(names_b[j : j + n]))
-        else:
-            last_a.extend(range(i, i + m))
-            last_b.extend(range(j, j + m))
-            parts.extend(map("|".join, zip(names_a[i : i + m], names_b[j : j + m], strict=True)))
-    return last_a, last_b, ";".join(parts)
+def _named(pair: Pair, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> np.ndarray:
+    """All tokens in the order in which groups are written (``a1,a2|b1;a3|b2,b3;``), each with the mark behind it, filled up with zero bytes."""
+    found = np.empty(len(a) + len(b), pair.marked_a.dtype)
+    for ids, last, before, marked in ((a, last_a, np.concatenate([[0], last_b + 1]), pair.marked_a), (b, last_b, last_a + 1, pair.marked_b)):
+        ends = np.zeros(len(ids), np.int64)
+        ends[last] = 1
+        found[np.arange(len(ids)) + before[np.cumsum(ends) - ends]] = marked[ids + ends * (len(marked) // 2)]
+    return found
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[int | None, int, list[int], list[int]]]:
-    """``doc_id, bytes of text, ids of both`` of every row, encoded about ``CALL_BYTES`` at a time."""
+def _encoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[list[int | None], int, Encoded]]:
+    """``doc_ids, bytes of text, ids of both`` of all rows, about ``CALL_BYTES`` at a time (a row counts as one byte more, so that calls of empty texts end too)."""
     pair = _pair(folder)
-
-    def flush(ids: list, texts: list[str]) -> Iterator[tuple]:
-        for k, text, (a, b) in zip(ids, texts, pair.encode(texts), strict=True):
-            yield k, len(text), a, b
-
     ids, texts, held = [], [], 0
     for batch in batches:
         for k, text in zip(batch.column(0), batch.column(1), strict=True):
             text = text.as_py() or ""
             ids.append(k.as_py())
             texts.append(text)
-            held += len(text)
+            held += len(text) + 1
             if held >= CALL_BYTES:
-                yield from flush(ids, texts)
+                yield ids, held, pair.encode(texts)
                 ids, texts, held = [], [], 0
-    yield from flush(ids, texts)
+    if ids:
+        yield ids, held, pair.encode(texts)
 
 
 def align_documents(docs: DataFrame, folder: str = "/opt/tokenizers", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,10 +211,13 @@ def align_documents(docs: DataFrame, folder: str = "/opt/tokenizers", id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(folder)
-        for k, _, a, b in _encoded(batches, folder):
-            last_a, last_b, _ = aligned(pair, a, b)
-            lists = [pa.array([x], pa.list_(pa.int32())) for x in (a, b, last_a, last_b)]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *lists], ["doc_id", "a", "b", "last_a", "last_b"])
+        for ids, _, (a, b, at_a, at_b) in _encoded(batches, folder):
+            lists = [(a, at_a), (b, at_b)]
+            for last, at in zip(aligned(pair, a, b), (at_a, at_b), strict=True):
+                groups = np.searchsorted(last, at)
+                lists.append((last - np.repeat(at[:-1], np.diff(groups)), groups))
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x, at in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", "a", "b", "last_a", "last_b"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id bigint, a array<int>, b array<int>, last_a array<int>, last_b array<int>")
@@ -190,6 +226,16 @@ def align_documents(docs: DataFrame, folder: str = "/opt/tokenizers", id_col: st
 _BLOCK = "block bigint, keys array<bigint>, links array<bigint>, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,groups_sha256:string,held:int>>, at array<int>, times array<int>"
 
 
+def _counted(pair: Pair, a: np.ndarray, b: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the linked ids of texts that have ``groups`` links each: every text's distinct pairs (a << 32 | b), the links of each, and how many pairs each text has."""
+    bits_a, bits_b = ((len(x) - 1).bit_length() for x in (pair.bytes_a, pair.bytes_b))
+    links = np.sort(np.repeat(np.arange(len(groups)), groups) << bits_a + bits_b | a << bits_b | b)  # a call has at most CALL_BYTES texts
+    first = np.flatnonzero(np.diff(links, prepend=-1))
+    times, links = np.diff(first, append=len(links)), links[first]
+    keys = (links >> bits_b & (1 << bits_a) - 1) << 32 | links & (1 << bits_b) - 1
+    return keys, times, np.bincount(links >> bits_a + bits_b, minlength=len(groups))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """One row per block: its distinct id pairs (a << 32 | b), the links of each, its documents, and per document which pairs how often."""
     pair, schema = _pair(folder), pa.schema([
@@ -207,12 +253,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
         values = [[block], [keys], [links], [docs], [at.astype(np.int32)], [times.astype(np.int32)]]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
-    for k, chars, a, b in _encoded(batches, folder):
-        last_a, last_b, text = aligned(pair, a, b)
-        keys = np.array(a, np.int64)[last_a] << 32 | np.array(b, np.int64)[last_b] if a else np.zeros(0, np.int64)
-        keys, times = np.unique(keys, return_counts=True)
+    for ids, chars, (a, b, at_a, at_b) in _encoded(batches, folder):
+        last_a, last_b = aligned(pair, a, b)
+        groups = np.diff(np.searchsorted(last_a, at_a))
+        keys, times, held = _counted(pair, a[last_a], b[last_b], groups)
         found.append((keys, times))
-        docs.append({"doc_id": k, "n_a": len(a), "n_b": len(b), "n_groups": len(last_a), "groups_sha256": hashlib.sha256(text.encode()).hexdigest() if a else "", "held": len(keys)})
+        named, at = _named(pair, a, b, last_a, last_b), (at_a + at_b).tolist()
+        sha = [hashlib.sha256(named[x:y].tobytes().translate(None, b"\0")[:-1]).hexdigest() if y > x else "" for x, y in pairwise(at)]
+        columns = (ids, np.diff(at_a).tolist(), np.diff(at_b).tolist(), groups.tolist(), sha, held.tolist())
+        docs += [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "held"), x, strict=True)) for x in zip(*columns, strict=True)]
         size += chars
         if size >= BLOCK_BYTES:
             yield row()
