@@ -30,8 +30,8 @@ from .shared import WorkTables
 
 #: Files of the two tokenizers, below the folder that is a parameter.
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text that are encoded in one call, and that are one block; a longer text is one of its own.
-CALL_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
+#: Bytes of text that are encoded in one call, and that are one block; a longer text is one of its own. A row counts as some bytes more, so that rows without text are bounded too.
+CALL_BYTES, BLOCK_BYTES, ROW_BYTES = 1 << 20, 8 << 20, 100
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -190,7 +190,7 @@ def _named(pair: Pair, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[list[int | None], int, Encoded]]:
-    """``doc_ids, bytes of text, ids of both`` of all rows, about ``CALL_BYTES`` at a time (a row counts as one byte more, so that calls of empty texts end too)."""
+    """``doc_ids, bytes, ids of both`` of all rows, about ``CALL_BYTES`` at a time."""
     pair = _pair(folder)
     ids, texts, held = [], [], 0
     for batch in batches:
@@ -198,7 +198,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[l
             text = text.as_py() or ""
             ids.append(k.as_py())
             texts.append(text)
-            held += len(text) + 1
+            held += len(text) + ROW_BYTES
             if held >= CALL_BYTES:
                 yield ids, held, pair.encode(texts)
                 ids, texts, held = [], [], 0

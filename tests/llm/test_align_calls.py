@@ -54,7 +54,7 @@ def test_alignment_costs_less_than_encoding():
     assert min(whole) < 2 * min(alone)
 
 
-@pytest.mark.parametrize("call, block", [(1, 1), (1, 1 << 20), (60, 100), (1 << 20, 1)])
+@pytest.mark.parametrize("call, block", [(1, 1), (1, 1 << 20), (400, 900), (1 << 20, 1)])
 def test_calls_and_blocks_end_anywhere(monkeypatch, call, block):
     want = by_document(blocks(TEXTS))
     monkeypatch.setattr(token_align, "CALL_BYTES", call)
@@ -63,8 +63,8 @@ def test_calls_and_blocks_end_anywhere(monkeypatch, call, block):
 
 
 def test_empty_texts_fill_a_block(monkeypatch):
-    monkeypatch.setattr(token_align, "CALL_BYTES", 10)
-    monkeypatch.setattr(token_align, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(token_align, "CALL_BYTES", 1000)
+    monkeypatch.setattr(token_align, "BLOCK_BYTES", 2000)
     found = blocks([None, ""] * 100)
     assert len(found) == 10 and {len(x["docs"]) for x in found} == {20}
 
