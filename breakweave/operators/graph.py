@@ -35,43 +35,156 @@ def flow_constraints(edges: DataFrame) -> DataFrame:
     return entries.join(held, ["amplicon", "vertex"], "left_semi")
 
 
+class _Elimination:
+    """The order in which the unknowns of a sparse symmetric system are eliminated, found once for all its values.
+
+    ``pairs`` (i < j, distinct) are the places off the diagonal. Unknowns with few neighbours go first,
+    in rounds of unknowns that are no neighbours of each other, so a round is a handful of array
+    operations; where few unknowns or only well connected ones are left, the rest is a dense system.
+    """
+
+    def __init__(self, n: int, pairs: list[tuple[int, int]], small: int = 64):
+        self.slots = {p: k for k, p in enumerate(pairs)}
+        near = [set() for _ in range(n)]
+        for i, j in pairs:
+            near[i].add(j)
+            near[j].add(i)
+        alive, self.rounds = set(range(n)), []
+        while len(alive) > small:
+            order = sorted(alive, key=lambda v: (len(near[v]), v))
+            most = max(2, len(near[order[0]]) + 1)
+            if most > len(alive) // 3:
+                break
+            chosen, shut = [], set()
+            for v in order:
+                if len(near[v]) > most:
+                    break
+                if v not in shut:
+                    chosen.append(v)
+                    shut |= near[v]
+            at, arms, owner, a, b, into, by = [], [], [], [], [], [], []
+            for k, v in enumerate(chosen):
+                alive.discard(v)
+                around, first = sorted(near[v]), len(arms)
+                at += [self.slots[min(v, u), max(v, u)] for u in around]
+                arms += around
+                owner += [k] * len(around)
+                for x, u in enumerate(around):
+                    near[u].discard(v)
+                    for y in range(x + 1, len(around)):
+                        w = around[y]
+                        near[u].add(w)
+                        near[w].add(u)
+                        a.append(first + x)
+                        b.append(first + y)
+                        by.append(k)
+                        into.append(self.slots.setdefault((u, w), len(self.slots)))
+            self.rounds.append(tuple(np.array(x, np.int64) for x in (chosen, at, arms, owner, a, b, into, by)))
+        self.rest = np.array(sorted(alive), np.int64)
+        place = {v: k for k, v in enumerate(self.rest.tolist())}
+        kept = [(place[i], place[j], k) for (i, j), k in self.slots.items() if i in place and j in place]
+        self.kept = np.array(kept, np.int64).reshape(-1, 3)
+
+    def solve(self, diagonal: np.ndarray, off: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The solution for the values of the diagonal and of ``pairs``, which must make no negative matrix."""
+        d = diagonal * (1 + 1e-13) + 1e-300  # a singular system with a solution gets one
+        value = np.zeros(len(self.slots))
+        value[: len(off)] = off
+        y, arms_of = right.astype(float), []
+        for chosen, at, arms, owner, a, b, into, by in self.rounds:
+            pivot = d[chosen]
+            arm = value[at]
+            share = arm / pivot[owner]
+            np.subtract.at(d, arms, arm * share)
+            np.subtract.at(value, into, arm[a] * arm[b] / pivot[by])
+            np.subtract.at(y, arms, share * y[chosen][owner])
+            arms_of.append((pivot, share))
+        x = np.zeros(len(d))
+        if len(self.rest):
+            dense = np.diag(d[self.rest])
+            i, j, k = self.kept.T
+            dense[i, j] = value[k]
+            dense[j, i] = value[k]
+            scale = 1 / np.sqrt(np.maximum(np.diag(dense), 1e-300))
+            x[self.rest] = scale * np.linalg.lstsq(dense * scale[:, None] * scale, scale * y[self.rest], rcond=1e-13)[0]
+        for (chosen, _, arms, owner, *_), (pivot, share) in zip(reversed(self.rounds), reversed(arms_of), strict=True):
+            x[chosen] = y[chosen] / pivot - np.bincount(owner, share * x[arms], len(chosen))
+        return x
+
+
+def _unforced(n: int, m: int, row: np.ndarray, column: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which of the ``n`` edges may be above zero: a vertex whose entries all have one sign forces its edges to zero, which may force others."""
+    free = np.ones(n, bool)
+    of_row, of_column = [[] for _ in range(m)], [[] for _ in range(n)]
+    plus, minus = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    for i, j, x in zip(row.tolist(), column.tolist(), value.tolist(), strict=True):
+        of_row[i].append(j)
+        of_column[j].append((i, x > 0))
+        if x > 0:
+            plus[i] += 1
+        else:
+            minus[i] += 1
+    todo = [i for i in range(m) if not (plus[i] and minus[i])]
+    while todo:
+        for j in of_row[todo.pop()]:
+            if free[j]:
+                free[j] = False
+                for i, up in of_column[j]:
+                    if up:
+                        plus[i] -= 1
+                    else:
+                        minus[i] -= 1
+                    if not (plus[i] and minus[i]):
+                        todo.append(i)
+    return free
+
+
 def solve_flow(cost: np.ndarray, count: np.ndarray, matrix: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Copy numbers that minimise cost . x - count . log x with matrix x = 0, by damped Newton steps on the dual.
+    """``solve_sparse_flow`` for a matrix with all its zeros."""
+    row, column = np.nonzero(matrix)
+    return solve_sparse_flow(cost, count, row, column, matrix[row, column], rounds)
+
+
+def solve_sparse_flow(cost: np.ndarray, count: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Copy numbers that minimise cost . x - count . log x with matrix x = 0, by primal-dual Newton steps.
 
-    A zero count is floored; an edge that the constraints force to zero gets zero.
+    ``row, column, value`` are the matrix's entries other than zero, each place once. A zero count is
+    floored; an edge that the constraints force to zero gets zero. A step's system has a row per vertex and entries
+    where two vertices share an edge; it is solved by elimination in an order that keeps it sparse.
     """
-    free = np.ones(len(cost), bool)
-    # A vertex whose entries all have one sign forces its edges to zero, which may force others.
-    while True:
-        live = matrix[:, free]
-        forced = np.zeros(len(cost), bool)
-        one_sign = (live.max(axis=1, initial=0) <= 0) | (live.min(axis=1, initial=0) >= 0)
-        forced[free] = (live[one_sign] != 0).any(axis=0) if one_sign.any() else False
-        if not forced.any():
-            break
-        free &= ~forced
     x = np.zeros(len(cost))
+    free = _unforced(len(cost), int(row.max()) + 1 if len(row) else 0, row, column, value)
     if not free.any():
         return x
-    a, c, k = matrix[:, free].astype(float), cost[free], np.maximum(count[free], 1e-4)
-    nu = np.zeros(len(a))
-    value = lambda v: -(k * np.log(c + a.T @ v)).sum()
-    for _ in range(rounds):
-        slack = c + a.T @ nu
-        gradient = -(a @ (k / slack))
-        hessian = (a * (k / slack**2)) @ a.T
-        step = np.linalg.lstsq(hessian, -gradient, rcond=1e-12)[0]
-        t = 1.0
-        while (c + a.T @ (nu + t * step) <= 0).any() or value(nu + t * step) > value(nu) + 1e-4 * t * gradient @ step:
-            t /= 2
-            if t < 1e-12:
-                break
-        if t < 1e-12:
-            break
-        nu = nu + t * step
-        if abs(gradient @ step) < 1e-12 * max(1.0, k.sum()):
+    held = free[column]
+    c, k = cost[free].astype(float), np.maximum(count[free], 1e-4).astype(float)
+    vertices, i = np.unique(row[held], return_inverse=True)
+    j, v = (np.cumsum(free) - 1)[column[held]], value[held].astype(float)
+    n = len(vertices)
+    # Products of two entries of one edge: with itself they add to the diagonal, with another vertex's off it.
+    of_edge = defaultdict(list)
+    for e, edge in enumerate(j.tolist()):
+        of_edge[edge].append(e)
+    two = np.array([(e, f) if i[e] < i[f] else (f, e) for entries in of_edge.values() for p, e in enumerate(entries) for f in entries[p + 1 :]], np.int64).reshape(-1, 2)
+    places, place = np.unique(i[two[:, 0]] * n + i[two[:, 1]], return_inverse=True)
+    order = _Elimination(n, [(p // n, p % n) for p in places.tolist()])
+    up = lambda nu: np.bincount(j, v * nu[i], len(c))
+    down = lambda x: np.bincount(i, v * x[j], n)
+    reach = lambda a, d: min(1.0, 0.99 / max((-d / a).max(), 1e-300))
+    # Counts begin at the largest one and are let down to their own step by step; at once, steps would end at their bounds.
+    slack, wanted = c, k.max()
+    y = np.maximum(k, wanted) / slack
+    for _ in range(rounds if n else 0):
+        goal, weight = np.maximum(k, wanted), y / slack
+        along = up(order.solve(np.bincount(i, v * v * weight[j], n), np.bincount(place, v[two[:, 0]] * v[two[:, 1]] * weight[j[two[:, 0]]], len(places)), down(goal / slack)))
+        change = goal / slack - y - weight * along
+        t, u = reach(y, change), reach(slack, along)
+        y, slack = y + t * change, slack + u * along
+        if wanted <= k.min() and abs(y * slack / k - 1).max() < 1e-9 and abs(down(y)).max() <= 1e-9 * max(1.0, y.max()):
             break
-    x[free] = k / (c + a.T @ nu)
+        if min(t, u) > 0.3:
+            wanted *= 0.1 if min(t, u) > 0.9 else 0.5
+    x[free] = y
     return x
 
 
@@ -82,11 +195,13 @@ def copy_numbers(edges: DataFrame) -> DataFrame:
         frame = frame.sort_values("edge")
         rows = defaultdict(lambda: len(rows))
         held = {v for v1, v2, kind in zip(frame["v1"], frame["v2"], frame["kind"], strict=True) if kind == "sequence" for v in (v1, v2)}
-        entries = [(rows[v], j, 1 if kind == "sequence" else -1) for j, (v1, v2, kind) in enumerate(zip(frame["v1"], frame["v2"], frame["kind"], strict=True)) for v in (v1, v2) if v in held]
-        matrix = np.zeros((len(rows), len(frame)))
-        for i, j, x in entries:
-            matrix[i, j] += x
-        x = solve_flow(frame["cost"].to_numpy(float), frame["count"].to_numpy(float), matrix)
+        entries = defaultdict(int)
+        for j, (v1, v2, kind) in enumerate(zip(frame["v1"], frame["v2"], frame["kind"], strict=True)):
+            for v in (v1, v2):
+                if v in held:
+                    entries[rows[v], j] += 1 if kind == "sequence" else -1
+        row, column = np.array(list(entries), np.int64).reshape(-1, 2).T
+        x = solve_sparse_flow(frame["cost"].to_numpy(float), frame["count"].to_numpy(float), row, column, np.array(list(entries.values()), float))
         return pd.DataFrame({"amplicon": frame["amplicon"], "edge": frame["edge"], "cn": np.round(x, 6)})
 
     return edges.groupBy("amplicon").applyInPandas(run, "amplicon string, edge string, cn double")
