@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -220,56 +221,146 @@ def _steps(frame: pd.DataFrame) -> tuple[dict, dict]:
     return breaks, spans
 
 
-def widest_walk(start: str, weight: dict, breaks: dict, spans: dict) -> tuple[float, list[str]]:
-    """The closed walk through ``start`` (alternately breakpoint and sequence edges) with the largest bottleneck; an edge used twice counts half."""
-    heap, best = [(-float("inf"), 0, start, ())], {}
-    n = 0
+def _arcs(frame: pd.DataFrame) -> tuple[dict, list[list[tuple[int, int, int]]]]:
+    """Numbers of the vertices, and for each its arcs (breakpoint edge, sequence edge behind it or -1, vertex at the far end); edges are places in the frame."""
+    number = defaultdict(lambda: len(number))
+    breaks, spans = defaultdict(list), {}
+    for edge, (kind, v1, v2) in enumerate(zip(frame["kind"], frame["v1"], frame["v2"], strict=True)):
+        a, b = number[v1], number[v2]
+        if kind == "sequence":
+            spans[a], spans[b] = (edge, b), (edge, a)
+        else:
+            breaks[a].append((edge, b))
+            if a != b:
+                breaks[b].append((edge, a))
+    return dict(number), [[(edge, *spans.get(other, (-1, other))) for edge, other in breaks.get(v, ())] for v in range(len(number))]
+
+
+def widest_walk(start: int, weight: list[float], arcs: list, floor: float = 0.0, inside: dict | None = None) -> tuple[float, tuple[int, ...]]:
+    """The closed walk through ``start`` (alternately breakpoint and sequence edges) with the largest bottleneck; an edge used twice counts half.
+
+    Walks below ``floor`` are not looked for. ``inside`` holds, for the vertices on closed walks of edges of at least ``floor``, the group that such walks stay in.
+    """
+    heap, best, n = [(-float("inf"), 0, start, ())], {}, 0
     while heap:
         width, _, at, path = heapq.heappop(heap)
         width = -width
         if path and at == start:
-            return width, list(path)
+            return width, path
         if best.get(at, -1) >= width:
             continue
         best[at] = width
-        for edge, other in breaks.get(at, ()):
+        for edge, span, other in arcs[at]:
+            if weight[edge] < floor or (inside is not None and inside.get(other) != inside[start]):
+                continue
             through = min(width, weight[edge] / (1 + path.count(edge)))
-            after = path + (edge,)
-            if other in spans:
-                span, other = spans[other]
-                if span in path:
-                    through = min(through, weight[span] / (1 + path.count(span)))
-                after += (span,)
-            if through > 0:
+            after = (*path, edge) if span < 0 else (*path, edge, span)
+            if span in path:
+                through = min(through, weight[span] / (1 + path.count(span)))
+            if through > 0 and through >= floor:
                 n += 1
                 heapq.heappush(heap, (-through, n, other, after))
-    return 0.0, []
+    return 0.0, ()
+
+
+def _rings(least: float, weight: list[float], arcs: list, among: dict | None = None) -> dict[int, int]:
+    """The vertices on closed walks of edges of at least ``least``, each with its strongly connected group, by an iterative depth-first search."""
+    index, low, stack, on, group = {}, {}, [], set(), {}
+    for root in range(len(arcs)) if among is None else among:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        todo = [(root, iter(arcs[root]))]
+        while todo:
+            at, rest = todo[-1]
+            for edge, _, other in rest:
+                if weight[edge] < least or (among is not None and other not in among):
+                    continue
+                if other not in index:
+                    index[other] = low[other] = len(index)
+                    stack.append(other)
+                    on.add(other)
+                    todo.append((other, iter(arcs[other])))
+                    break
+                if other in on:
+                    low[at] = min(low[at], index[other])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[at])
+                if low[at] == index[at]:
+                    members = []
+                    while not members or members[-1] != at:
+                        members.append(stack.pop())
+                    on.difference_update(members)
+                    if len(members) > 1 or any(other == at and weight[edge] >= least for edge, _, other in arcs[at]):
+                        group.update(dict.fromkeys(members, at))
+    return group
+
+
+def _heaviest(weight: list[float], arcs: list, levels: list[float], starts: set[int], names: list[str]) -> tuple[float, float, tuple[int, ...]]:
+    """Width and edges of the widest closed walk through any of ``starts`` that reaches the last of the falling ``levels`` (0 and none: no walk does); of equally wide ones the first by name.
+
+    A walk of width w stays in a strongly connected group of the edges of at least w. So such groups are
+    sought at falling levels, and walks are searched from the vertices in them only, along edges of the group. The
+    first value returned is the level of the first groups: no walk is wider, now or when weights have fallen.
+    """
+    done, step, highest = 0, 4, None
+    while done < len(levels):
+        last = min(done + step, len(levels)) - 1
+        groups = _rings(levels[last], weight, arcs)
+        if groups and highest is None:
+            while done < last:  # the first level with groups lies between
+                middle = (done + last) // 2
+                inner = _rings(levels[middle], weight, arcs, groups)
+                if inner:
+                    last, groups = middle, inner
+                else:
+                    done = middle + 1
+            highest, step = levels[last], 2
+        best, top = None, levels[last]
+        # The least first name of a walk from each vertex; no walk is wider than the highest level, so behind one that reaches it only better names count.
+        names_of = {v: min((names[edge] for edge, _, other in arcs[v] if weight[edge] >= top and groups.get(other) == groups[v]), default="") for v in starts & groups.keys()}
+        for v in sorted(names_of, key=lambda v: (names_of[v], v)):
+            if best and top >= highest and best[2][: len(names_of[v])] < names_of[v][: len(best[2])]:
+                break
+            width, path = widest_walk(v, weight, arcs, top, groups)
+            if path:
+                text = "".join(names[e] for e in path)
+                key = (width, [-ord(c) for c in text])
+                if best is None or key > best[0]:
+                    best, top = (key, path, text), width
+        if best:
+            return highest, best[0][0], best[1]
+        done, step = last + 1, 2 * step
+    return 0.0, 0.0, ()
 
 
 def peel_cycles(frame: pd.DataFrame, least: float = 0.1, enough: float = 0.9) -> pd.DataFrame:
     """Cycles of one graph, heaviest first, until what is left is light or the content is covered."""
     frame = frame.sort_values("edge")
-    weight = dict(zip(frame["edge"], frame["cn"].astype(float), strict=True))
-    size = dict(zip(frame["edge"], frame["size"].astype(float), strict=True))
-    breaks, spans = _steps(frame)
-    total, covered, first = sum(weight[e] * s for e, s in size.items()), 0.0, None
+    names, weight, size = frame["edge"].tolist(), frame["cn"].astype(float).tolist(), frame["size"].astype(float).tolist()
+    number, arcs = _arcs(frame)
+    leads = [number[v] for v in frame["v1"]]
+    total, covered, first, bound = sum(w * s for w, s in zip(weight, size, strict=True)), 0.0, None, float("inf")
     found = []
     while covered <= total:
-        starts = sorted({v for e, v in zip(frame["edge"], frame["v1"], strict=True) if weight[e] >= least} & set(breaks))
-        walks = [widest_walk(v, weight, breaks, spans) for v in starts]
-        if not walks:
-            break
-        cn, path = max(walks, key=lambda w: (w[0], [-ord(c) for c in "".join(w[1])]))
-        if cn <= least:
+        starts = {v for v, w in zip(leads, weight, strict=True) if w >= least and arcs[v]}
+        levels = sorted({weight[edge] for steps in arcs for edge, _, _ in steps if least < weight[edge] <= bound}, reverse=True) + [math.nextafter(least, math.inf)]
+        bound, cn, path = _heaviest(weight, arcs, levels, starts, names)
+        if not path:
             break
         first = first or cn
         content = sum(size[e] for e in path)
         for e in path:
             weight[e] -= cn
-        weight = {e: max(0.0, w) for e, w in weight.items()}
+        for e in path:
+            weight[e] = max(0.0, weight[e])
         if covered <= enough * total or cn > 0.2 * first:
             covered += cn * content
-            found.append((frame["amplicon"].iloc[0], len(found) + 1, round(cn, 6), ",".join(path)))
+            found.append((frame["amplicon"].iloc[0], len(found) + 1, round(cn, 6), ",".join(names[e] for e in path)))
         else:
             break
     return pd.DataFrame(found, columns=["amplicon", "cycle", "cn", "path"])
