@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from breakweave.operators import graph
+from breakweave.operators import amplicons, graph
 
 
 def ring(n, more, seed):
@@ -117,3 +117,20 @@ def test_cycles_of_a_large_graph():
         for edge in path.split(","):
             left[edge] -= cn
     assert all(w > -1e-3 for e, w in left.items() if not e.startswith("s:"))
+
+
+def test_segments_of_a_large_graph(spark):
+    """From edges to numbered segments: each step of a cycle stands for the sequence edges of its walk."""
+    place = lambda v: f"a:{int(v[:-1]) * 100 + (1 if v[-1] == '-' else 100)}{v[-1]}"
+    frame = weighted([(e, kind, place(v1), place(v2)) for e, kind, v1, v2, *_ in ring(800, 300, 6)], lambda rng: rng.uniform(0.05, 8), 6)
+    frame = frame[frame["kind"] != "source"]
+    frame.loc[frame["edge"] == "c:00799", "kind"] = "discordant"  # from the end to the beginning
+    start = time.monotonic()
+    edges = spark.createDataFrame(frame)
+    walks = graph.decompose(edges).collect()
+    segments, cycles = amplicons.cycle_segments(edges, spark.createDataFrame(walks))
+    length = {r.seg: r.end - r.start + 1 for r in segments.collect()}
+    shown = {r.cycle: sum(length[s.seg] for s in r.segments) for r in cycles.collect()}
+    assert time.monotonic() - start < 90
+    assert len(walks) > 30
+    assert shown == {w.cycle: 100 * sum(e.startswith("s:") for e in w.path.split(",")) for w in walks}
