@@ -5,6 +5,8 @@ An edge is a row (edge, chrom1, pos1, strand1, chrom2, pos2, strand2, ...); ``ed
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .overlap import overlap_join, point_join
 from .pairs import pair_edges
 from .work import WorkTables
 
+#: Alignments of one read up to which all of them are paired with each other.
+CROWD = 64
 EDGE = ("edge", "chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2")
 
 
@@ -21,31 +25,69 @@ def turned(edges: DataFrame) -> DataFrame:
     return edges.select(*[swap[c].alias(c) if c in swap else F.col(c) for c in edges.columns])
 
 
+def _window(side: int, reach: int) -> tuple[Column, Column]:
+    """First and last place from which an alignment reaches back from one end of an edge."""
+    pos, plus = F.col(f"pos{side}"), F.col(f"strand{side}") == 1
+    return F.greatest(F.lit(0), F.when(plus, pos - reach).otherwise(pos)), F.when(plus, pos).otherwise(pos + reach)
+
+
+def _aligned(x: Callable[[str], Column], strand: Column) -> Column:
+    return F.struct(x("q_start").alias("q_start"), x("q_end").alias("q_end"), F.when(strand == 1, x("end")).otherwise(x("start")).alias("place"), x("mapq").alias("mapq"))
+
+
 def _near_end(edges: DataFrame, alignments: DataFrame, side: int, reach: int) -> DataFrame:
     """One row per edge and read key for the alignments that reach back from one end; keys that two alignments share are left out.
 
     The second side's key is written as the first side's alignment of the same read must have it:
     the other of primary and secondary, and the other direction where both ends have one strand.
     """
-    pos, strand = F.col(f"pos{side}"), F.col(f"strand{side}")
-    low, high = F.when(strand == 1, F.greatest(F.lit(0), pos - reach)).otherwise(pos), F.when(strand == 1, pos).otherwise(pos + reach)
+    low, high = _window(side, reach)
     same = (F.col("strand1") == F.col("strand2")) if side == 2 else F.lit(False)
-    spans = edges.select("edge", F.col(f"chrom{side}").alias("chrom"), low.alias("start"), high.alias("end"), strand.alias("strand"), same.alias("same"))
+    spans = edges.select("edge", F.col(f"chrom{side}").alias("chrom"), low.alias("start"), high.alias("end"), F.col(f"strand{side}").alias("strand"), same.alias("same"))
     met = overlap_join(spans, alignments, width=max(256, reach))
     secondary = ~F.col("r_secondary") if side == 2 else F.col("r_secondary")
-    place = F.when(F.col("strand") == 1, F.col("r_end")).otherwise(F.col("r_start"))
-    keyed = met.select("edge", F.col("r_qname").alias("qname"), F.col("r_first").alias("first"), (F.col("r_reverse") != F.col("same")).alias("reverse"), secondary.alias("secondary"), F.struct(F.col("r_q_start").alias("q_start"), F.col("r_q_end").alias("q_end"), place.alias("place"), F.col("r_mapq").alias("mapq")).alias("x"))
+    keyed = met.select("edge", F.col("r_qname").alias("qname"), F.col("r_first").alias("first"), (F.col("r_reverse") != F.col("same")).alias("reverse"), secondary.alias("secondary"), _aligned(lambda c: F.col(f"r_{c}"), F.col("strand")).alias("x"))
     return keyed.groupBy("edge", "qname", "first", "reverse", "secondary").agg(F.max("x").alias(f"x{side}"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
+def _paired(edges: DataFrame, alignments: DataFrame, reach: int) -> DataFrame:
+    """What joining ``_near_end`` of both sides gives: ``edge, qname, first, reverse, secondary, x1, x2``, by pairing the alignments of each read before any edge is looked at.
+
+    Every alignment of a key at one end comes with every one at the other, so a key has one of each exactly if it has one row.
+    """
+    width = max(256, reach)
+    sound = (F.col("start") <= F.col("end")) & F.col("chrom").isNotNull()
+    rows = alignments.where(sound).select("qname", "first", "reverse", "secondary", "chrom", "start", "end", "q_start", "q_end", "mapq")
+    x = rows.select("qname", "first", *[F.col(c).alias(f"x_{c}") for c in rows.columns[2:]])
+    y = rows.select("qname", "first", *[F.col(c).alias(f"y_{c}") for c in rows.columns[2:]])
+    bins = lambda low, high: F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+    (low1, high1), (low2, high2) = _window(1, reach), _window(2, reach)
+    ends = edges.select("edge", F.col("chrom1").alias("x_chrom"), low1.alias("low1"), high1.alias("high1"), "strand1", F.col("chrom2").alias("y_chrom"), low2.alias("low2"), high2.alias("high2"), "strand2", (F.col("strand1") == F.col("strand2")).alias("same"))
+    ends = ends.where("low1 <= high1 and low2 <= high2").withColumn("bin1", bins(F.col("low1"), F.col("high1"))).withColumn("bin2", bins(F.col("low2"), F.col("high2")))
+    pairs = x.join(y, ["qname", "first"]).where("x_secondary != y_secondary").withColumn("same", F.col("x_reverse") != F.col("y_reverse"))
+    pairs = pairs.withColumn("bin1", bins(F.col("x_start"), F.col("x_end"))).withColumn("bin2", bins(F.col("y_start"), F.col("y_end")))
+    met = pairs.join(ends, ["x_chrom", "bin1", "y_chrom", "bin2", "same"]).where("low1 <= x_end and x_start <= high1 and low2 <= y_end and y_start <= high2")
+    met = met.where((F.col("bin1") == F.floor(F.greatest("low1", "x_start") / width)) & (F.col("bin2") == F.floor(F.greatest("low2", "y_start") / width)))
+    met = met.select("edge", "qname", "first", F.col("x_reverse").alias("reverse"), F.col("x_secondary").alias("secondary"), _aligned(lambda c: F.col(f"x_{c}"), F.col("strand1")).alias("x1"), _aligned(lambda c: F.col(f"y_{c}"), F.col("strand2")).alias("x2"))
+    return met.groupBy("edge", "qname", "first", "reverse", "secondary").agg(F.max("x1").alias("x1"), F.max("x2").alias("x2"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
 def split_matches(edges: DataFrame, alignments: DataFrame, reach: int) -> DataFrame:
     """Split reads with one part at each end of an edge: ``edge, hom, p1, p2, mapq1, mapq2``, a row per read.
 
     ``alignments`` (qname, first, reverse, secondary, chrom, start, end, q_start, q_end, mapq) hold the
     span of the read that each covers. ``hom`` counts bases in both spans (negative: bases in neither).
     Reads whose one span holds the other, or whose order contradicts the edge's direction, don't count.
+    Alignments of one read are paired and then meet the edges; reads of more than ``CROWD`` alignments meet the edges first.
     """
-    both = _near_end(edges, alignments, 1, reach).join(_near_end(edges, alignments, 2, reach), ["edge", "qname", "first", "reverse", "secondary"])
+    spark, read = edges.sparkSession, ["qname", "first"]
+    crowded = WorkTables(spark).save(alignments.groupBy(*read).count().where(F.col("count") > CROWD).select(*read), "crowded")
+    if crowded.isEmpty():
+        both = _paired(edges, alignments, reach)
+    else:
+        many = alignments.join(crowded, read, "left_semi")
+        key = ["edge", *read, "reverse", "secondary"]
+        both = _paired(edges, alignments.join(crowded, read, "left_anti"), reach).unionByName(_near_end(edges, many, 1, reach).join(_near_end(edges, many, 2, reach), key))
     ahead = (F.col("x1.q_start") <= F.col("x2.q_start")) & (F.col("x1.q_end") <= F.col("x2.q_end"))
     behind = (F.col("x1.q_start") >= F.col("x2.q_start")) & (F.col("x1.q_end") >= F.col("x2.q_end"))
     hom = F.when(ahead, F.col("x1.q_end") - F.col("x2.q_start") + 1).when(behind, F.col("x2.q_end") - F.col("x1.q_start") + 1)
@@ -93,7 +135,7 @@ def interval_edges(pairs: DataFrame, intervals: DataFrame, masks: DataFrame, ext
     kept = tables.save(overlap_join(both.where(apart), intervals, width=width, how="left_semi"), "inside")
     kept = tables.save(overlap_join(kept, masks, width=width, how="left_anti"), "clear")
     kept = tables.save(other(overlap_join(other(kept), masks, width=width, how="left_anti")), "kept")
-    found = pair_edges(kept, extend, support).withColumn("edge", F.concat_ws("/", *EDGE[1:]))
+    found = pair_edges(kept, extend, support, tables).withColumn("edge", F.concat_ws("/", *EDGE[1:]))
     return artefact(found, max_insert).where("not artefact").drop("artefact")
 
 

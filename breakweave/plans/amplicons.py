@@ -37,8 +37,7 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str, tables: WorkTables) -> DataFrame:
     """The supported edges between clusters of read ends, each with a name, written once."""
-    pairs = tables.save(_named_pairs(spark, d), "pairs")
-    return tables.save(P.pair_edges(pairs, 200, 2).withColumn("edge", F.concat_ws("/", *B.EDGE[1:])), "edges")
+    return tables.save(P.pair_edges(_named_pairs(spark, d), 200, 2, tables).withColumn("edge", F.concat_ws("/", *B.EDGE[1:])), "edges")
 
 
 def proper_pairs(spark: SparkSession, d: str) -> DataFrame:
